@@ -80,7 +80,7 @@ def default_fences() -> dict[str, Fence]:
     return {
         "symbols": Fence(_per("n_symbols", words), 4.0, 0.10),
         "dup_lines": Fence(_per("n_dup_lines", words), 6.0, 0.05),
-        "repeats": Fence(_per("n_repeat_words", words), 6.0, 0.30),
+        "repeats": Fence(_per("n_repeat_words", words), 6.0, 0.45),
         "word_length": Fence(chars / F.greatest(words, F.lit(1)), 4.0, 12.0, 3.0),
     }
 

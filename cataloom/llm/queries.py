@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .chat import op4_chat_format
+from .media import op3_media
+from .mixing import op1_mixing
 from .quality_rules import op6_quality_rules
 from .sharding import OP5_SQL, op5_sharding
 from .simhash import op7_simhash
 from .substrings import op9_substring_dedup
 from .subword import op2_quality_classifier
+from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_media": op3_media,
     "op4_chat_format": op4_chat_format,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {"op5_sharding": OP5_SQL}

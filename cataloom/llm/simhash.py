@@ -169,17 +169,35 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, most: int = MOST) -> DataFra
     return met.select("block", "key", "sub", "fp").mapInArrow(run, "a long, b long")
 
 
+def _components(fps: DataFrame, max_bits: int, most: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of `fps`: root is the component's smallest fingerprint."""
+    first = fps.select("fp").distinct()
+    roots = components(links(first, max_bits, most))
+    return first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     fps = cut(fingerprints(docs, size), "simhash")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(first.select("fp"), max_bits, most))
-    joined = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = cut(joined, "simhash-roots")
-    ids = cut(joined.join(joined.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id"), "simhash-components")
+    roots = cut(_components(fps, max_bits, most).join(first, "fp"), "simhash-roots")
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = cut(roots.join(least, "root").select("fp", "component_id"), "simhash-components")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:
+    """One row of `docs` for each component: that of the smallest id (nulls last), then of the smallest hash of id and text."""
+    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    fps = cut(fingerprints(rows.select(F.col("rid").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "rid"), "simhash")
+    ids = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id")).join(fps.dropDuplicates(["rid"]), "rid")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    first = cut(ids.groupBy("fp").agg(F.min(order).alias("first")), "simhash-first")
+    kept = first.join(cut(_components(fps, max_bits, most), "simhash-roots"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = cut(kept.select(F.col("first.rid").alias("rid")), "simhash-kept")
+    return rows.join(kept, "rid").dropDuplicates(["rid"]).drop("rid")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -38,6 +38,8 @@ WINDOW = 20
 UNIT_WORDS = 1 << 21
 REMEMBERED = 300_000
 ROWS = "bucket int, unit long, kind int, data binary"
+#: Where null ids stand in the order of ids.
+NULL_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -245,7 +247,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
-    """(rid, places): rows of ROWS by bucket, settled there, back by unit; places are starts of 4 bytes each."""
+    """(_rid, _places): rows of ROWS by bucket, settled there, back by unit; places are starts of 4 bytes each."""
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, entries = None, []
@@ -273,7 +275,7 @@ def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
             which, first = np.unique(doc, return_index=True)
             ends = np.append(first, len(doc))
             places = [start[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(rids[which] if len(which) else [], pa.int64()), pa.array(places, pa.binary())], names=["rid", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(rids[which] if len(which) else [], pa.int64()), pa.array(places, pa.binary())], names=["_rid", "_places"])
 
         for batch in batches:
             for _, u, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -291,23 +293,28 @@ def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
             yield close()
 
     back = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "unit").mapInArrow(by_bucket, ROWS)
-    return back.repartition(buckets, "unit").sortWithinPartitions("unit", "kind").mapInArrow(by_unit, "rid long, places binary")
+    return back.repartition(buckets, "unit").sortWithinPartitions("unit", "kind").mapInArrow(by_unit, "_rid long, _places binary")
 
 
 def _distinct(places: DataFrame) -> DataFrame:
-    """One row for each rid: rows of equal id and text may lie in several units, each with its own part of the answer."""
-    return places.groupBy("rid").agg(F.collect_set("places").alias("all")).select("rid", F.expr("aggregate(all, cast('' as binary), (a, b) -> concat(a, b))").alias("places"))
+    """One row for each _rid: rows of equal id and text may lie in several units, each with its own part of the answer."""
+    joined_ = F.expr("aggregate(all, cast('' as binary), (a, b) -> concat(a, b))")
+    return places.groupBy("_rid").agg(F.collect_set("_places").alias("all")).select("_rid", joined_.alias("_places"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, places) of documents with repeats: starts of the windows whose words go. `docs` has rid, doc_id and text."""
+    """(_rid, places) of documents with repeats: starts of the windows whose words go. `docs` has _rid, doc_id and text.
+
+    Extra columns of `docs` go along into the workers, so that its exchange by _rid is the same one, and read again, in a
+    join that keeps them.
+    """
     block = (window + 1) // 2
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, unit = WordHashes(), Unit()
         for batch in slices(batches, 128):
-            for rid, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            for rid, raw in zip(batch.column("_rid").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 if len(found := raw.split()) >= window:
                     unit.add(rid, 0, words.of(found))
             if unit.words >= UNIT_WORDS:
@@ -319,17 +326,18 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, unit = WordHashes(), Unit()
         for batch in slices(batches, 128):
-            rids, ids, places = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            for rid, doc, raw, hits in zip(rids, ids, as_bytes(batch.column(2)), places, strict=True):
-                unit.add(rid, doc, words.of(raw.split()), np.frombuffer(hits, "<u4").astype(np.int64))
+            rids, places = batch.column("_rid").to_pylist(), batch.column("_places").to_pylist()
+            ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+            for rid, doc, raw, hits in zip(rids, ids, as_bytes(batch.column("text")), places, strict=True):
+                unit.add(rid, NULL_ID if doc is None else doc, words.of(raw.split()), np.frombuffer(hits, "<u4").astype(np.int64))
             if unit.words >= UNIT_WORDS:
                 yield _rows(windows(unit, buckets, window, block))
                 unit = Unit()
         if unit.words:
             yield _rows(windows(unit, buckets, window, block))
 
-    hits = _distinct(_meet(docs.select("rid", "text").mapInArrow(first, ROWS), buckets, met))
-    near = docs.join(hits, "rid").select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", "places")
+    hits = _distinct(_meet(docs.mapInArrow(first, ROWS), buckets, met))
+    near = docs.join(hits, "_rid")
     return _distinct(_meet(near.mapInArrow(second, ROWS), buckets, repeated))
 
 
@@ -361,13 +369,12 @@ def _kept_udf(window: int, digest: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """`docs` with dedup: a struct of n_words, n_removed and kept (the words left, joined by one space; or their SHA-256).
 
-    One plan: the exchange of the texts by rid is written once and read by both joins.
+    One plan: the exchange of the texts by _rid is written once and read by both joins.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.drop("dedup").withColumn("rid", F.xxhash64("doc_id", "text"))
-    gone = repeats(rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
-    out = rows.join(gone, "rid", "left").withColumn("dedup", _kept_udf(window, digest)("text", F.col("places")))
-    return out.drop("rid", "places")
+    rows = docs.drop("dedup", "_places").withColumn("_rid", F.xxhash64("doc_id", "text"))
+    out = rows.join(repeats(rows, window), "_rid", "left").withColumn("dedup", _kept_udf(window, digest)("text", F.col("_places")))
+    return out.drop("_rid", "_places")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ A word equal to the one before also counts as the feature REPEAT. Texts without
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from operator import eq
@@ -111,11 +111,14 @@ class _Places(dict):
 
 
 class Scorer:
-    """Class probabilities of texts, with words remembered."""
+    """Class probabilities of texts, with words remembered; `extra` gives a number for each word, to be summed beside."""
 
-    def __init__(self, model: Model):
-        self.model, self.classes = model, model.parts.shape[1]
-        self.at, self.table = _Places(), np.zeros((1024, self.classes + 1))
+    def __init__(self, model: Model, extra: Callable[[bytes], float] | None = None):
+        self.model, self.classes, self.extra = model, model.parts.shape[1], extra
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at, self.table = _Places(), np.zeros((1024, self.classes + 2))
 
     def _learn(self) -> None:
         new, n = self.at.new, len(self.at)
@@ -124,22 +127,24 @@ class Scorer:
         rows = [features(w) for w in new]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = self.model.parts[np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))].astype(np.float64)
-        self.table[n - len(new) : n, :-1] = np.add.reduceat(flat, np.cumsum(sizes) - sizes, axis=0)
-        self.table[n - len(new) : n, -1] = sizes
+        self.table[n - len(new) : n, : self.classes] = np.add.reduceat(flat, np.cumsum(sizes) - sizes, axis=0)
+        self.table[n - len(new) : n, -2] = sizes
+        if self.extra:
+            self.table[n - len(new) : n, -1] = np.fromiter(map(self.extra, new), np.float64, len(new))
         self.at.new = []
 
-    def score(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities, words) of each text; equal texts get equal values."""
+    def score(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities, words, sum of extras) of each text; equal texts get equal values."""
         if len(self.at) > REMEMBERED:
-            self.at, self.table = _Places(), np.zeros((1024, self.classes + 1))
+            self._forget()
         found = [np.fromiter(map(self.at.__getitem__, words := raw.split()), np.int64, len(words)) for raw in raws]
         if self.at.new:
             self._learn()
-        repeat = np.append(self.model.parts[REPEAT].astype(np.float64), 1.0)
-        sums = np.stack([self.table[rows].sum(axis=0) + repeat * np.count_nonzero(rows[1:] == rows[:-1]) for rows in found] or [np.zeros(self.classes + 1)])[: len(raws)]
-        logits = self.model.bias + sums[:, :-1] / np.maximum(1.0, sums[:, -1:])
+        repeat = np.append(self.model.parts[REPEAT].astype(np.float64), [1.0, 0.0])
+        sums = np.stack([self.table[rows].sum(axis=0) + repeat * np.count_nonzero(rows[1:] == rows[:-1]) for rows in found] or [np.zeros(self.classes + 2)])[: len(raws)]
+        logits = self.model.bias + sums[:, :-2] / np.maximum(1.0, sums[:, -2:-1])
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return np.round(p / p.sum(axis=1, keepdims=True), 6), np.fromiter(map(len, found), np.int64, len(found))
+        return np.round(p / p.sum(axis=1, keepdims=True), 6), np.fromiter(map(len, found), np.int64, len(found)), sums[:, -1]
 
 
 SCORED = StructType([StructField("p", ArrayType(DoubleType())), StructField("n_words", LongType())])
@@ -153,7 +158,7 @@ def scorer_udf(model: Model, spark: SparkSession):
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(held.value)
         for text in batches:
-            p, n = scorer.score(as_bytes(text))
+            p, n, _ = scorer.score(as_bytes(text))
             ends = pa.array(np.arange(0, p.size + 1, scorer.classes, dtype=np.int32))
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(p.ravel())), pa.array(n)], fields=[pa.field("p", pa.list_(pa.float64())), pa.field("n_words", pa.int64())])
 
