@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six; bytes.split() cuts UTF-8 at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SLICE_ROWS = 512
 
 
@@ -60,7 +62,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def give_back() -> None:
+    """Workers are used again by later tasks: what earlier ones freed goes back to the system first."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a libc without it keeps its pages
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

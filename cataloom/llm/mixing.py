@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, cut, read
+from .common import as_bytes, bound_batches, cut, give_back, read
 from .samples import labelled_sample
 from .subword import SCORED, Model, Scorer, train
 from .toxicity import INSULTS, Grammar, bare, beginnings, fit_curve, learn_lexicon
@@ -64,16 +64,19 @@ def strength_of(lexicon: dict[str, float]):
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier:
-    texts, y = labelled_sample(docs, labels.select("doc_id", domain_of().alias("y")))
+    texts, y = labelled_sample(docs, labels.select("doc_id", domain_of().alias("y")), rows=3000)
     toxic = [int(d == 2) for d in y]
     lexicon = dict.fromkeys(INSULTS, 1.0) | learn_lexicon(texts, toxic)
     clean = [k for k, d in enumerate(y) if d != 2]
     quality = train([texts[k] for k in clean], [y[k] for k in clean], 2)
     strength = strength_of(lexicon)
     known: dict[bytes, float] = {}
-    words = [t.encode().split() for t in texts]
-    weights = [sum(known[w] if w in known else known.setdefault(w, strength(w)) for w in ws) for ws in words]
-    curve = fit_curve(weights, [len(ws) for ws in words], toxic) if len(set(toxic)) == 2 else Grammar.curve
+    weights, words = [], []
+    for text in texts:
+        found = text.encode().split()
+        weights.append(sum(known[w] if w in known else known.setdefault(w, strength(w)) for w in found))
+        words.append(len(found))
+    curve = fit_curve(weights, words, toxic) if len(set(toxic)) == 2 else Grammar.curve
     return Classifier(quality, lexicon, curve)
 
 
@@ -84,6 +87,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
     @F.arrow_udf(SCORED)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         model = held.value
         scorer = Scorer(model.quality, strength_of(model.lexicon))
         a, b, c = model.curve

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bound_batches, cut, read
+from .common import bound_batches, cut, give_back, read
 
 MEASURES = pa.struct([(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 MEASURES_TYPE = StructType([StructField(x.name, LongType()) for x in MEASURES])
@@ -54,6 +54,7 @@ def measure(raw: bytes) -> tuple[int, int, int, int, int]:
 
 @F.arrow_udf(MEASURES_TYPE)
 def measures(text: pa.Array) -> pa.Array:
+    give_back()
     rows = [measure(x or b"") for x in text.cast(pa.binary()).to_pylist()]
     columns = zip(*rows, strict=True) if rows else [()] * 5
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(MEASURES))

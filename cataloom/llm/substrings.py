@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import as_bytes, bound_batches, read, slices
+from .common import as_bytes, bound_batches, give_back, read, slices
 
 WINDOW = 20
-UNIT_WORDS = 1 << 21
+UNIT_WORDS = 1 << 20
 REMEMBERED = 300_000
 ROWS = "bucket int, unit long, kind int, data binary"
 #: Where null ids stand in the order of ids.
@@ -250,6 +250,7 @@ def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
     """(_rid, _places): rows of ROWS by bucket, settled there, back by unit; places are starts of 4 bytes each."""
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bucket, entries = None, []
         for batch in batches:
             out: list[tuple] = []
@@ -266,6 +267,7 @@ def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
         yield _rows([(0, u, RESULT, r) for u, r in settle(entries)] if entries else [])
 
     def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         unit, rids, docs, starts = None, None, [], []
 
         def close() -> pa.RecordBatch:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import as_bytes, bound_batches, crc32_of_id, read
+from .common import as_bytes, bound_batches, crc32_of_id, give_back, read
 from .samples import labelled_sample
 
 BUCKETS = 1 << 17
@@ -45,7 +45,8 @@ def counted(raw: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.n
         if (f := known.get(w)) is None:
             known[w] = f = features(w)
         flat += f
-    return np.unique(np.array(flat, np.int64), return_counts=True)
+    idx, times = np.unique(np.array(flat, np.int32), return_counts=True)
+    return idx, times.astype(np.int32)
 
 
 @dataclass
@@ -156,6 +157,7 @@ def scorer_udf(model: Model, spark: SparkSession):
 
     @F.arrow_udf(SCORED)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         scorer = Scorer(held.value)
         for text in batches:
             p, n, _ = scorer.score(as_bytes(text))
