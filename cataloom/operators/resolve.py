@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, predicates, stores, text, urls
 from ..functions.price import parse_yen
+from ..sources.shared import cut
 
 MARKET = ("market_price", "market_price_text", "market_url", "market_source")
 
@@ -46,7 +47,9 @@ def fold(items: DataFrame, into: DataFrame) -> DataFrame:
     """`items` without the rows of `into`; what stays takes over market facts, lottery and highlights it lacks, in order of pos.
 
     The market facts go as one: from the first row with a price, where none is there; a text alone only where no price is.
+    The result's lineage is cut: a fold reads its input several times, and a chain of them would grow as a power.
     """
+    into = cut(into, "fold-into")
     lost = items.join(into, "id").select("into", "pos", *MARKET, "has_lottery", "highlights")
     priced, texted = F.col("market_price").isNotNull(), F.col("market_price").isNull() & blank(F.col("market_price_text")).isNotNull()
     facts = F.struct("pos", *MARKET)
@@ -70,7 +73,7 @@ def fold(items: DataFrame, into: DataFrame) -> DataFrame:
         "has_lottery": F.when(~F.coalesce("has_lottery", F.lit(False)) & F.coalesce("l", F.lit(False)), True).otherwise(F.col("has_lottery")),
         "highlights": F.coalesce(blank(F.col("highlights")), F.col("h.highlights"), F.col("highlights")),
     }
-    return kept.select(*[new.get(c, F.col(c)).alias(c) for c in items.columns])
+    return cut(kept.select(*[new.get(c, F.col(c)).alias(c) for c in items.columns]), "fold")
 
 
 def collapse(items: DataFrame, key: Column, order: list[Column], sources: int = 1) -> DataFrame:
@@ -159,7 +162,7 @@ def same_name_with_stores(items: DataFrame, key: Column, today: str) -> DataFram
 
 def resolve(items: DataFrame, today: str, weaker: str = "snkrdunk", stronger: str = "nike_snkrs") -> DataFrame:
     """All steps, in their order; `items` has the columns of schema.ITEM. Names are keyed once, for all steps."""
-    x = with_order(live_deadlines(items, today)).withColumn("name_key", text.compare_key(text.clean_title(F.col("title"))))
+    x = cut(with_order(live_deadlines(items, today)).withColumn("name_key", text.compare_key(text.clean_title(F.col("title")))), "resolve-keyed")
     key, source = F.col("name_key"), F.col("source")
     x = same_product_page(identical_titles(x))
     x = across_sources(x, key)

@@ -772,7 +772,7 @@ def _(spark, sf):
 
 @query("quality_genre_split", f"{TITLES} SELECT 'genre_split' AS key, CAST(min(id) AS VARCHAR) AS id, CAST(count(DISTINCT source) AS VARCHAR) AS detail FROM t WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT source) > 1")
 def _(spark, sf):
-    return quality.split_groups(titles(spark, sf).withColumn("k", F.md5("k")), "genre_split", F.col("k"), "source")
+    return quality.split_groups(titles(spark, sf), "genre_split", F.when(F.length("k") >= 10, F.md5("k")), "source")
 
 
 @query("quality_date_sanity", f"{ITEMS} SELECT 'date_sanity' AS key, CAST(id AS VARCHAR) AS id, CAST(event_date AS VARCHAR) AS detail FROM items WHERE event_date < DATE '1995-02-01' OR event_date > DATE '2000-08-02'")
