@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, scratch, shared_folder  # noqa: F401 - for the operators
+
 #: A word is a run of characters other than these six; bytes.split() cuts UTF-8 at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 4 << 20
@@ -30,38 +29,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='cataloom-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001 - the session has ended, and with it the JVM that could delete
-        pass
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, deleted when the driver ends."""
-    folder = f"{shared_folder(spark)}/cataloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, folder)
-    return folder
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows with their lineage cut: written as a table in the shared folder and read again."""
-    spark, folder = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def give_back() -> None:
     """Workers are used again by later tasks: what earlier ones freed goes back to the system first."""
     pa.default_memory_pool().release_unused()
