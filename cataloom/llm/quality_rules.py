@@ -141,8 +141,8 @@ def judge(rows: DataFrame, thresholds: DataFrame, fences: dict[str, Fence]) -> D
     x = rows.join(thresholds, rows["lang"].eqNullSafe(thresholds["f_lang"]) & rows["source"].eqNullSafe(thresholds["f_source"]), "left")
     fine = ~base_failed()
     for k, f in fences.items():
-        fine &= F.coalesce(f.value <= F.col("high")[k], F.lit(True)) & F.coalesce(f.value >= F.col("low")[k], F.lit(True))
-    return x.withColumn("kept", fine).drop("f_lang", "f_source", "high", "low")
+        fine &= F.coalesce(f.value <= thresholds["high"][k], F.lit(True)) & F.coalesce(f.value >= thresholds["low"][k], F.lit(True))
+    return x.select(*[rows[c] for c in rows.columns if c != "kept"], fine.alias("kept"))
 
 
 def apply_rules(docs: DataFrame, fences: dict[str, Fence] | None = None, least_rows: int = 200) -> DataFrame:
