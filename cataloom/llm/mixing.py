@@ -16,7 +16,7 @@ that runs again takes the same.
 
 A domain without tokens can't be met and doesn't count. Nulls: a null text has no tokens and gets the class odds as its
 posterior; null ids are hashed as nulls. Empty tables give empty results. Extra columns stay; columns named `scored`,
-`rate` or `copies` are replaced.
+`rate` or `copies` are replaced, one named `rid` is dropped.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def copies(rate: Column) -> Column:
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: str | None = None, most: float | None = None) -> DataFrame:
     """`docs` with scored (p, n_words), rate and copies. Posteriors are taken once, and stored without texts for the fit."""
-    docs = docs.drop("scored", "rate", "copies")
+    docs = docs.drop("scored", "rate", "copies", "rid")
     model = fit_classifier(docs, labels)
     rows = cut(posteriors(docs.select("doc_id", "text"), model).select(F.xxhash64("doc_id", "text").alias("rid"), "scored"), "mixing-posteriors")
     steps = fit_rates(rows, weights or WEIGHTS, anchor, most)

@@ -187,7 +187,10 @@ def groups(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int =
 
 
 def representatives(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:
-    """One row of `docs` for each component: that of the smallest id (nulls last), then of the smallest hash of id and text."""
+    """One row of `docs` for each component: that of the smallest id (nulls last), then of the smallest hash of id and text.
+
+    Rows of equal id and text are one. A column of `docs` named rid is dropped.
+    """
     rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     fps = cut(fingerprints(rows.select(F.col("rid").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "rid"), "simhash")
     ids = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id")).join(fps.dropDuplicates(["rid"]), "rid")

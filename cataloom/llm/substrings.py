@@ -17,7 +17,8 @@ Each task first settles what it can by itself: of equal probes or windows in one
 documents is ever made. Results return to the unit, whose directory turns them into rows of documents.
 
 Nulls: a null text has no words; null ids sort before all others. A row's identity is a hash of id and text, so rows with
-equal ids and texts are one document and get equal results, rows with equal ids and other texts are told apart.
+equal ids and texts are one document and get equal results, rows with equal ids and other texts are told apart. Extra
+columns stay; one named dedup is replaced, those named _rid and _places are dropped.
 """
 
 from __future__ import annotations

@@ -14,28 +14,44 @@ from cataloom.llm.simhash import representatives
 from cataloom.llm.substrings import remove_repeats
 
 
+#: What the operators read; all other columns ride along in one struct, so that no name of theirs meets an operator's own.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    more = [c for c in docs.columns if c not in READ]
+    return docs.select(*[c for c in docs.columns if c in READ], *([F.struct(*more).alias("_more")] if more else []))
+
+
+def unpacked(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, in their order."""
+    return out.select(*[F.col(c) if c in READ else F.col("_more")[c].alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fences of their language and source keep."""
-    return apply_rules(docs).where("kept").select(docs.columns)
+    return unpacked(apply_rules(packed(docs)).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return representatives(docs).select(docs.columns)
+    return unpacked(representatives(packed(docs)), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that start earlier in the corpus; a text without any stays as it is."""
-    out = remove_repeats(docs)
+    out = remove_repeats(packed(docs))
     out = out.withColumn("text", F.when(F.col("dedup.n_removed") > 0, F.col("dedup.kept")).otherwise(F.col("text")))
+    out = unpacked(out, docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by their rates, which are at most 1: after de-duplication nothing is repeated, and clean tokens all stay."""
-    return mix(docs, read(spark, sf_dir, "labels"), anchor="clean", most=1.0).where("copies > 0").select(docs.columns)
+    mixed = mix(packed(docs), read(spark, sf_dir, "labels"), anchor="clean", most=1.0).where("copies > 0")
+    return unpacked(mixed, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
