@@ -8,8 +8,9 @@ the strength of words that labels teach as toxic (a few in a long text, which av
 
 by projected gradient descent from r = 1, where n are tokens, p posteriors and T target token totals. In the metric that
 weighs documents by their tokens, a step is r_i <- clip(r_i - <p_i, g>), with one vector g of a value for each domain and
-iteration; so a rate is a fold of its document's posterior over the vectors so far. Nothing of document size is kept
-between iterations: each is one aggregation to a sum for each domain, and the vectors are all that the driver holds.
+iteration; so a rate is a fold of its document's posterior over the vectors so far. Posteriors are in thousandths, and the
+tokens of equal ones are summed once: iterations read those classes, each is one aggregation to a sum for each domain, and
+the vectors are all that the driver holds.
 
 Rounding takes floor(r + u) copies, u in [0, 1) a hash of id and text: the expected totals are the fitted ones, and a task
 that runs again takes the same.
@@ -39,6 +40,8 @@ DOMAINS = ("low", "clean", "toxic")
 WEIGHTS = {"low": 0.04, "clean": 0.94, "toxic": 0.02}
 #: Shares of a posterior below this are the classifier's noise and go to the others.
 LEAST_SHARE = 1 / 16
+#: Posteriors are whole parts of 1 over this many, so that documents fall into a bounded number of classes of equal rate.
+PARTS = 1000
 
 
 def domain_of() -> Column:
@@ -80,6 +83,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier(quality, lexicon, curve)
 
 
+def in_parts(p: np.ndarray) -> np.ndarray:
+    """Rows that sum to 1, in whole parts of 1 / PARTS; what rounding down leaves goes to the largest."""
+    whole = np.floor(p * PARTS + 1e-6)
+    whole[np.arange(len(p)), p.argmax(axis=1)] += PARTS - whole.sum(axis=1)
+    return whole / PARTS
+
+
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """`docs` with scored: a struct of p (the posterior of each of DOMAINS) and n_words. The model's size has a bound of its own."""
     bound_batches(docs.sparkSession)
@@ -96,7 +106,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
             toxic = 1 / (1 + np.exp(-np.minimum(30.0, a + b * np.log1p(w) + c * np.minimum(10.0, 100 * w / np.maximum(1, n)))))
             p = np.stack([(1 - toxic) * q[:, 0], (1 - toxic) * q[:, 1], toxic], axis=1)
             p[p < LEAST_SHARE] = 0
-            p = np.round(p / p.sum(axis=1, keepdims=True), 6)
+            p = in_parts(p / p.sum(axis=1, keepdims=True))
             ends = pa.array(np.arange(0, p.size + 1, len(DOMAINS), dtype=np.int32))
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(p.ravel())), pa.array(n)], fields=[pa.field("p", pa.list_(pa.float64())), pa.field("n_words", pa.int64())])
 
@@ -116,9 +126,14 @@ def rate_of(steps: list[list[float]], most: float | None) -> Column:
 def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str | None = None, most: float | None = None, rounds: int = 30, close: float = 1e-3, slack: float = 1.02) -> list[list[float]]:
     """Steps for `rate_of`. `rows` has `scored`.
 
+    A rate depends on the posterior alone, so one aggregation first sums the tokens of equal posteriors: the iterations
+    read that table, of at most about PARTS^2 / 2 rows however many documents there are.
+
     The total is the corpus's own, or, with an anchor, what keeps that domain's tokens; times `slack`, so that with rates of
     at most 1 the anchor's documents end at 1.
     """
+    classes = rows.groupBy("scored.p").agg(F.sum("scored.n_words").alias("n_words"))
+    rows = cut(classes.select(F.struct("p", "n_words").alias("scored")), "mixing-classes")
     n, p = F.col("scored.n_words"), [F.element_at(F.col("scored.p"), k + 1) for k in range(len(DOMAINS))]
     some = lambda *xs: np.array([float(v or 0) for v in rows.agg(*[F.sum(x) for x in xs]).first()])
     held = some(*[n * x for x in p])
