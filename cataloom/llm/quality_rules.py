@@ -3,9 +3,11 @@
 Counts of each text come from one pass. A mergeable quantile sketch for each measure, language and source then replaces
 fixed cutoffs: values fall into logarithmic bins of a fixed relative error (as DDSketch does), so that a sketch is a small
 set of (bin, count) rows, partial sketches of tasks merge by adding counts, and the result doesn't depend on the order.
-A hot source sends one row for each bin and task. Upper fences are `q75 + reach * (q75 - q25)`, never below a floor under
-which no text is suspect; lower fences the like. A cell of fewer than `least_rows` rows uses its language's sketch, a
-language of fewer uses that of all rows. The fences join back by (lang, source), null-safe.
+A hot source sends one row for each bin and task. Texts that fail the base rules are out already and don't count. An upper
+fence is `b + reach * (b - a)` of two quantiles a and b of the measure, a lower one `a - reach * (b - a)`; where the spread
+is about 0 (most texts have no symbol) a small margin stands in its place, so that a fence always follows its cell, and no
+fixed cutoff decides. A cell of fewer than `least_rows` rows uses its language's sketch, a language of fewer uses that of
+all rows. The fences join back by (lang, source), null-safe.
 
 Nulls: a null text has no words; null lang or source are cells of their own. Texts without words get zero measures. Extra
 columns stay; columns named `measures` or `kept` are replaced.
@@ -62,14 +64,16 @@ def measures(text: pa.Array) -> pa.Array:
 
 @dataclass(frozen=True)
 class Fence:
-    """A measure's limits: outside `floor`..`ceiling` nothing is suspect inside; the sketch may only widen them."""
+    """A measure's limits, by the sketch of its cell."""
 
     value: Column
-    #: Fence above q75 in interquartile ranges, and the value below which no text is suspect.
+    #: Distance of the fence from its quantile, in spreads (differences of the two quantiles).
     reach: float
-    floor: float
-    #: The same below q25, and the value above which no text is suspect; None: no lower fence.
-    ceiling: float | None = None
+    #: The least such distance, for cells without spread: absolute, and as a part of the quantile.
+    margin: float = 0.0
+    relative: float = 0.0
+    lower: bool = False
+    span: tuple[float, float] = (0.25, 0.75)
 
 
 def _per(part: str, whole: Column) -> Column:
@@ -77,12 +81,16 @@ def _per(part: str, whole: Column) -> Column:
 
 
 def default_fences() -> dict[str, Fence]:
+    """Margins of rates are two finds (symbols, lines, windows of three words) in the 50 words that the base rules ask for.
+
+    Few texts repeat any line or words, so the spread of these is taken from the median up to the 95th percentile.
+    """
     words, chars = F.col("measures.n_words"), F.col("measures.word_chars")
     return {
-        "symbols": Fence(_per("n_symbols", words), 4.0, 0.10),
-        "dup_lines": Fence(_per("n_dup_lines", words), 6.0, 0.05),
-        "repeats": Fence(_per("n_repeat_words", words), 6.0, 0.45),
-        "word_length": Fence(chars / F.greatest(words, F.lit(1)), 4.0, 12.0, 3.0),
+        "symbols": Fence(_per("n_symbols", words), 4.0, 0.04),
+        "dup_lines": Fence(_per("n_dup_lines", words), 6.0, 0.04, span=(0.5, 0.95)),
+        "repeats": Fence(_per("n_repeat_words", words), 8.0, 0.12, span=(0.5, 0.95)),
+        "word_length": Fence(chars / F.greatest(words, F.lit(1)), 4.0, relative=0.15, lower=True),
     }
 
 
@@ -105,30 +113,33 @@ def sketch(rows: DataFrame, fences: dict[str, Fence]) -> DataFrame:
     return rows.select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def quantiles(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, rows, q25, q75) of sketches merged by keys; the bins of one measure are few, so windows over them are small."""
+def _by_measure(fences: dict[str, Fence], of) -> Column:
+    """A value of each measure's fence, for rows with `measure`."""
+    return F.create_map(*[F.lit(y) for k, f in fences.items() for y in (k, of(f))])[F.col("measure")]
+
+
+def quantiles(merged: DataFrame, keys: list[str], fences: dict[str, Fence]) -> DataFrame:
+    """(keys, measure, rows, a, b): the quantiles of each fence's span, of sketches merged by keys; the bins of one measure are few, so windows over them are small."""
     by = merged.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*keys, "measure")
     run = by.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("rows", F.sum("n").over(part))
-    at = lambda q: value_of(F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bin"))))
-    return run.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    at = lambda k: value_of(F.min(F.when(F.col("upto") >= F.col("rows") * _by_measure(fences, lambda f: f.span[k]), F.col("bin"))))
+    return run.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0).alias("a"), at(1).alias("b"))
 
 
 def fit(rows: DataFrame, fences: dict[str, Fence], least_rows: int) -> DataFrame:
     """(lang, source, high, low): maps from measure to fence."""
-    cells = cut(sketch(rows, fences), "quality-sketch")
-    own = quantiles(cells, ["lang", "source"])
-    lang = quantiles(cells, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.col("rows").alias("l_rows"), F.col("q25").alias("l25"), F.col("q75").alias("l75"))
-    every = quantiles(cells, []).select(F.col("measure").alias("em"), F.col("q25").alias("e25"), F.col("q75").alias("e75"))
+    cells = cut(sketch(rows.where(~base_failed()), fences), "quality-sketch")
+    own = quantiles(cells, ["lang", "source"], fences)
+    lang = quantiles(cells, ["lang"], fences).select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.col("rows").alias("l_rows"), F.col("a").alias("la"), F.col("b").alias("lb"))
+    every = quantiles(cells, [], fences).select(F.col("measure").alias("em"), F.col("a").alias("ea"), F.col("b").alias("eb"))
     x = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["measure"] == lang["lm"])).join(F.broadcast(every), F.col("measure") == F.col("em"))  # `every` has one row for each measure
-    pick = lambda q: F.when(F.col("rows") >= least_rows, F.col(f"q{q}")).when(F.col("l_rows") >= least_rows, F.col(f"l{q}")).otherwise(F.col(f"e{q}"))
-    x = x.select("lang", "source", "measure", pick(25).alias("a"), pick(75).alias("b"))
-    # an interquartile range of 0 (most texts have no symbol) leaves the floor to decide
-    table = F.create_map(*[y for k, f in fences.items() for y in (F.lit(k), F.struct(F.lit(f.reach).alias("reach"), F.lit(f.floor).alias("floor"), F.lit(f.ceiling).cast("double").alias("ceiling")))])
-    rule = table[F.col("measure")]
-    high = F.greatest(rule["floor"], F.col("b") + rule["reach"] * (F.col("b") - F.col("a")))
-    low = F.least(rule["ceiling"], F.col("a") - rule["reach"] * (F.col("b") - F.col("a")))
-    return x.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(F.map_from_entries(F.collect_list(F.struct("measure", high.alias("high")))).alias("high"), F.map_from_entries(F.collect_list(F.struct("measure", F.when(rule["ceiling"].isNotNull(), low).alias("low")))).alias("low"))
+    pick = lambda q: F.when(F.col("rows") >= least_rows, F.col(q)).when(F.col("l_rows") >= least_rows, F.col(f"l{q}")).otherwise(F.col(f"e{q}"))
+    x = x.select("lang", "source", "measure", pick("a").alias("a"), pick("b").alias("b"))
+    rule = lambda of: _by_measure(fences, of)
+    beyond = lambda q: F.greatest(rule(lambda f: f.reach) * (F.col("b") - F.col("a")), rule(lambda f: f.margin), rule(lambda f: f.relative) * F.col(q))
+    high, low = F.col("b") + beyond("b"), F.when(rule(lambda f: f.lower), F.col("a") - beyond("a"))
+    return x.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(F.map_from_entries(F.collect_list(F.struct("measure", high.alias("high")))).alias("high"), F.map_from_entries(F.collect_list(F.struct("measure", low.alias("low")))).alias("low"))
 
 
 def base_failed() -> Column:

@@ -225,6 +225,27 @@ def test_quality_rules_edges(spark):
     assert quality_rules.apply_rules(edges.docs(spark, [])).count() == 0
 
 
+def test_quality_rules_cells_decide(spark):
+    """One text, in two sources whose texts differ: kept where such texts are usual, and not elsewhere."""
+    body = lambda k, extra: " ".join([f"w{k:03}x{i:02}"[: 5 + (k + i) % 3] + str(i) for i in range(100)] + extra)
+    signs = [(k, body(k, ["#"] * (4 + k % 8)), "en", "signs") for k in range(300)]
+    plain = [(k + 300, body(k, []), "en", "plain") for k in range(300)]
+    long = [(k + 600, " ".join(f"{'z' * (7 + (k + i) % 6)}{i:02}" for i in range(100)), "en", "long") for k in range(300)]
+    probes = [(9000, body(7, ["#"] * 9), "en"), (9001, " ".join(f"{'y' * 8}{i:02}" for i in range(100)), "en")]
+    rows = signs + plain + long + [(*p, s) for p in probes for s in ("signs", "plain", "long")]
+    kept = {(r.doc_id, r.source): r.kept for r in quality_rules.apply_rules(edges.docs(spark, rows, clashes=False)).collect()}
+    assert (kept[9000, "signs"], kept[9000, "plain"]) == (True, False)
+    assert (kept[9001, "long"], kept[9001, "plain"]) == (True, False)
+    assert all(v for (d, _), v in kept.items() if d < 9000)
+
+
+def test_quality_rules_keep_labelled_clean_rows(spark):
+    got = run(spark, "op6_quality_rules", LARGE).merge(pd.read_parquet(f"{LARGE}/labels.parquet"), on="doc_id")
+    past = got[~got.base_failed]
+    assert past[(past.quality == 1) & (past.toxic == 0)].kept.mean() > 0.999
+    assert not past[past.quality == 0].kept.any()
+
+
 # --- op7 ---------------------------------------------------------------------------------------------------------------
 
 
