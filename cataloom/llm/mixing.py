@@ -9,8 +9,13 @@ the strength of words that labels teach as toxic (a few in a long text, which av
 by projected gradient descent from r = 1, where n are tokens, p posteriors and T target token totals. In the metric that
 weighs documents by their tokens, a step is r_i <- clip(r_i - <p_i, g>), with one vector g of a value for each domain and
 iteration; so a rate is a fold of its document's posterior over the vectors so far. Posteriors are in thousandths, and the
-tokens of equal ones are summed once: iterations read those classes, each is one aggregation to a sum for each domain, and
-the vectors are all that the driver holds.
+tokens of equal ones are summed once: iterations read those classes, each is a few aggregations to a sum for each domain or
+pair of domains, and the vectors are all that the driver holds.
+
+A step of one length for all domains is slow where some domain holds many times its target. So each step is first scaled by
+the domains' own curvature over the documents that no limit holds, which meets the targets at once if no rate comes to a
+limit; where that doesn't lower the objective, the unscaled step does. Iterations end when every domain is within `close` of its
+target, or when neither step gains any more; what then is missing is logged as a warning.
 
 Rounding takes floor(r + u) copies, u in [0, 1) a hash of id and text: the expected totals are the fitted ones, and a task
 that runs again takes the same.
@@ -22,6 +27,7 @@ posterior; null ids are hashed as nulls. Empty tables give empty results. Extra
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,7 +129,7 @@ def rate_of(steps: list[list[float]], most: float | None) -> Column:
     return F.aggregate(table, F.lit(1.0), lambda r, g: F.least(top, F.greatest(F.lit(0.0), r - dot(g))))
 
 
-def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str | None = None, most: float | None = None, rounds: int = 30, close: float = 1e-3, slack: float = 1.02) -> list[list[float]]:
+def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str | None = None, most: float | None = None, rounds: int = 100, close: float = 1e-3, slack: float = 1.02) -> list[list[float]]:
     """Steps for `rate_of`. `rows` has `scored`.
 
     A rate depends on the posterior alone, so one aggregation first sums the tokens of equal posteriors: the iterations
@@ -146,21 +152,38 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str | None = N
     target = share * total
     live = target > 0
     root = np.sqrt(np.where(live, target, 1.0))
-    h = some(*[n * a * b for a in p for b in p]).reshape(len(DOMAINS), -1) / np.outer(root, root) * np.outer(live, live)
-    step = 1 / max(np.linalg.eigvalsh(h).max(), 1e-12)
+    top = float("inf") if most is None else float(most)
+
+    def curvature(free: Column) -> np.ndarray:
+        return some(*[F.when(free, n * a * b) for a in p for b in p]).reshape(len(DOMAINS), -1) / np.outer(root, root) * np.outer(live, live)
+
+    def missing(got: np.ndarray) -> np.ndarray:
+        return np.where(live, (got - target) / root, 0.0)
+
+    step = 1 / max(np.linalg.eigvalsh(curvature(F.lit(True))).max(), 1e-12)
     steps: list[list[float]] = []
-    before = None
+    got = held
     for _ in range(rounds):
-        got = some(*[rate_of(steps, most) * n * x for x in p]) if steps else held
-        left = np.where(live, (got - target) / root, 0.0)
-        still = before is not None and np.abs((got - before)[live] / target[live]).max() < close / 10
-        if still or np.abs(left / root).max() < close:
-            break
-        before = got
-        new = [round(float(x), 9) for x in step * left / root]
-        if not any(new):
+        left = missing(got)
+        if np.abs(left / root).max() < close:
+            return steps
+        plain = step * left / root
+        rate, move = rate_of(steps, most), sum((x * float(g) for x, g in zip(p, plain, strict=True)), F.lit(0.0))
+        free = curvature(((rate > 0) | (move < 0)) & ((rate < top) | (move > 0)))
+        best = None
+        for new in (np.linalg.pinv(free, rcond=1e-9, hermitian=True) @ left / root, plain):
+            trial = [*steps, [round(float(x), 9) for x in new]]
+            now = some(*[rate_of(trial, most) * n * x for x in p])
+            if best is None or (missing(now) ** 2).sum() < (missing(best[1]) ** 2).sum():
+                best = trial, now
+            if (missing(now) ** 2).sum() < (left**2).sum() / 2:
+                break
+        if (missing(best[1]) ** 2).sum() > (left**2).sum() * (1 - 1e-3):
             break
-        steps.append(new)
+        steps, got = best
+    left = {d: round(float(x), 6) for d, x, on in zip(DOMAINS, missing(got) / root, live, strict=True) if on}
+    if max(map(abs, left.values())) >= close:
+        logging.getLogger(__name__).warning("mixing ends %d steps from r = 1 with targets missed by these parts of them: %s", len(steps), left)
     return steps
 
 

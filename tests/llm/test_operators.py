@@ -71,6 +71,30 @@ def test_mixing_rates_are_those_of_dense_projected_gradient(spark):
     assert np.allclose(got, r, atol=0.05)
 
 
+@pytest.mark.parametrize("held", [(0.10, 0.57, 0.33), (0.50, 0.45, 0.05), (0.30, 0.60, 0.10)])
+@pytest.mark.parametrize("soft", [False, True])
+def test_mixing_meets_absolute_targets_of_hot_sources(spark, held, soft):
+    """With the parameters of the query, where low or toxic tokens are many times their targets."""
+    rng = np.random.default_rng(5)
+    domain = rng.choice(3, 400, p=held)
+    p = mixing.in_parts(np.where(soft, 0.9, 1.0) * np.eye(3)[domain] + np.where(soft, 0.1, 0.0) * rng.dirichlet((1, 1, 1), 400))
+    p[p < mixing.LEAST_SHARE] = 0
+    p = mixing.in_parts(p / p.sum(axis=1, keepdims=True))
+    n = rng.integers(50, 400, 400)
+    rows = spark.createDataFrame([(k, [float(x) for x in p[k]], int(n[k])) for k in range(400)], "doc_id long, p array<double>, n_words long").select("doc_id", F.struct("p", "n_words").alias("scored"))
+    steps = mixing.fit_rates(rows, mixing.WEIGHTS)
+    r = np.array([x[0] for x in rows.select("doc_id", mixing.rate_of(steps, None).alias("r")).orderBy("doc_id").select("r").collect()])
+    target = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS]) * n.sum()
+    assert (r >= 0).all() and np.allclose((r * n) @ p, target, rtol=1e-3, atol=0)
+
+
+def test_mixing_reports_what_is_missing(spark, caplog):
+    """Rates of at most 1 can't take more toxic tokens than there are."""
+    rows = spark.createDataFrame([([0.0, 1.0, 0.0], 900), ([0.0, 0.0, 1.0], 100)], "p array<double>, n_words long").select(F.struct("p", "n_words").alias("scored"))
+    assert mixing.fit_rates(rows, {"clean": 0.5, "toxic": 0.5}, most=1.0)
+    assert "toxic" in caplog.text and "-0.8" in caplog.text
+
+
 def test_mixing_edges(spark):
     got = mixing.mix(edges.docs(spark), edges.labels(spark))
     assert got.count() == len(edges.ROWS)
