@@ -4,7 +4,8 @@ Words become symbols: INSULT, THREAT, TARGET, NEGATION, REPORT, or OTHER. Five s
 and threat machines give weight at their symbols, the target, negation and reported-speech machines keep scopes that
 multiply such weight. Composed, they are one deterministic table (state, symbol) -> (state, weight), and a document's
 clauses run through it. What counts is the matched clause: an insult aimed at somebody weighs more than one that is
-negated or told of others, and a threat needs a target.
+negated or told of others, and a threat needs a target. The target may stand before or after: a symbol that waits for its
+target is remembered with the factors of its own scopes, and gets its weight when the target follows in the clause.
 
 The lexicon has a few fixed words, and words or word beginnings that labelled rows teach: those found in toxic rows too
 often for chance, with a strength below 1 where other rows have them too. Near copies in the sample count once. A logistic curve over the document's weight is fitted on the
@@ -20,7 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import ceil, log
+from math import ceil, log, prod
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,16 @@ STEMS = range(3, 9)
 
 @dataclass(frozen=True)
 class Machine:
-    """moves: (state, symbol) -> state, others stay; factor: of a state, for weights given in it; gives: weights of symbols."""
+    """moves: (state, symbol) -> state, others stay; factor: of a state, for weights given in it; gives: weights of symbols.
+
+    owes: weights of symbols that count once a TARGET follows in the clause.
+    """
 
     start: int
     moves: dict[tuple[int, int], int]
     factor: dict[int, float] = field(default_factory=dict)
     gives: dict[tuple[int, int], float] = field(default_factory=dict)
+    owes: dict[tuple[int, int], float] = field(default_factory=dict)
 
 
 def scope(opened_by: int, reach: int, factor: float) -> Machine:
@@ -65,37 +70,38 @@ def scope(opened_by: int, reach: int, factor: float) -> Machine:
 
 
 def grammar() -> list[Machine]:
-    insult = Machine(0, {}, gives={(0, INSULT): 1.0})
-    threat = Machine(0, {(0, TARGET): 1}, gives={(1, THREAT): 1.5})
+    # what is owed makes both orders weigh the same: 1.5 times as much as without the target machine's factor
+    insult = Machine(0, {(0, TARGET): 1}, gives={(0, INSULT): 1.0, (1, INSULT): 1.0}, owes={(0, INSULT): 0.5})
+    threat = Machine(0, {(0, TARGET): 1}, gives={(1, THREAT): 1.5}, owes={(0, THREAT): 1.5 * 1.5})
     target = Machine(0, {(0, TARGET): 1}, {1: 1.5})
     negation = scope(NEGATION, 3, 0.4)
     reported = Machine(0, {(0, REPORT): 1}, {1: 0.5})
     return [insult, threat, target, negation, reported]
 
 
-def compose(machines: list[Machine]) -> tuple[list[list[int]], list[list[float]]]:
-    """The product machine, reachable states alone: tables [state][symbol] of the next state and the weight given.
+def compose(machines: list[Machine]) -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
+    """The product machine, reachable states alone: tables [state][symbol] of the next state, the weight given and the weight owed.
 
-    A symbol's weight is the sum of what the machines give, times the factors of the states that read it.
+    A symbol's weight is the sum of what the machines give (or owe), times the factors of the states that read it.
     """
     at = {tuple(m.start for m in machines): 0}
-    todo, nexts, weights = list(at), [], []
+    todo, nexts, weights, owed = list(at), [], [], []
     while todo:
         state = todo.pop(0)
-        row, given = [], []
+        row, given, later = [], [], []
         for symbol in SYMBOLS:
             new = tuple(m.moves.get((k, symbol), k) for m, k in zip(machines, state, strict=True))
             if new not in at:
                 at[new] = len(at)
                 todo.append(new)
             row.append(at[new])
-            weight = sum(m.gives.get((k, symbol), 0.0) for m, k in zip(machines, state, strict=True))
-            for m, k in zip(machines, state, strict=True):
-                weight *= m.factor.get(k, 1.0)
-            given.append(weight)
+            factor = prod(m.factor.get(k, 1.0) for m, k in zip(machines, state, strict=True))
+            given.append(factor * sum(m.gives.get((k, symbol), 0.0) for m, k in zip(machines, state, strict=True)))
+            later.append(factor * sum(m.owes.get((k, symbol), 0.0) for m, k in zip(machines, state, strict=True)))
         nexts.append(row)
         weights.append(given)
-    return nexts, weights
+        owed.append(later)
+    return nexts, weights, owed
 
 
 def bare(word: str) -> str:
@@ -165,7 +171,7 @@ class Reader:
     """Weights of texts by the composed grammar."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.nexts, self.weights = compose(grammar())
+        self.nexts, self.weights, self.owed = compose(grammar())
         self.lexicon = dict.fromkeys(INSULTS, 1.0) | lexicon
         fixed = ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
         self.fixed = {w: s for words, s in fixed for w in words}
@@ -192,10 +198,13 @@ class Reader:
             return 0.0, 0, len(words)
         total, matched = 0.0, 0
         for clause in CLAUSE.split(text):
-            state, weight = 0, 0.0
+            state, weight, owed = 0, 0.0, 0.0
             for w in clause.split():
                 symbol, strength = known.get(w) or self.symbol(w)
+                if symbol == TARGET:
+                    weight, owed = weight + owed, 0.0
                 weight += strength * self.weights[state][symbol]
+                owed += strength * self.owed[state][symbol]
                 state = self.nexts[state][symbol]
             total += weight
             matched += weight > 0

@@ -382,6 +382,19 @@ def test_toxicity_grammar_reads_clauses():
     assert weigh("kill the process") == 0
 
 
+def test_toxicity_grammar_reads_targets_that_follow():
+    weigh = lambda t: toxicity.Reader({}).weigh(t)[0]
+    assert weigh("I will kill you") == weigh("you I will kill") > 0
+    assert weigh("gonna stab him") > 0 and weigh("murder them all") > 0
+    assert 0 < weigh("I will not kill you") < weigh("I will kill you")
+    assert weigh("I will not kill any one single person of you") == weigh("I will not kill you")  # the negation is the verb's
+    assert 0 < weigh("John said I will kill you") < weigh("I will kill you")
+    assert weigh("kill the process. you can wait") == 0
+    assert weigh("idiot, all of you") == weigh("you idiot") > weigh("idiot, all of it")
+    assert weigh("not an idiot, all of you") < weigh("idiot, all of you")
+    assert weigh("idiot, you and you") == weigh("idiot, you")
+
+
 def test_toxicity_edges(spark):
     got = toxicity.score_toxicity(edges.docs(spark), toxicity.fit([], [])).select("text", "toxicity.*").collect()
     assert len(got) == len(edges.ROWS) and all(0 <= r.score < 0.5 and r.clauses == 0 for r in got)
