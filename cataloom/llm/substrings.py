@@ -8,8 +8,8 @@ earlier (smaller id, or the same document and an earlier start) goes. Two rounds
    blocks, and if its sequence occurs again, each of its blocks is met by a probe from there. Probes and blocks meet in
    buckets of their hashes; a probe is four bytes, delta-coded, so that all of them fit a fraction of the input. What
    comes back are the blocks that occur elsewhere. Hash collisions add candidates here and lose none.
-2. Extension. Hits extend word by word to maximal repeats: the windows all of whose blocks were hit are compared with
-   each other by 96-bit hashes of the whole window; all but the first of each sequence are repeats, and the union of
+2. Extension, by hashes and not word by word: the windows all of whose blocks were hit are compared with each other by
+   96-bit hashes of the whole window, not by their words; all but the first of each sequence are repeats, and the union of
    their words is what goes.
 
 Each task first settles what it can by itself: of equal probes or windows in one unit (the documents of a task, up to
