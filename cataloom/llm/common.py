@@ -7,7 +7,7 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, scratch, shared_folder  # noqa: F401 - for the operators
@@ -48,5 +48,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def quoted(name: str) -> str:
+    """A column's name for `col`, whatever characters are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_id(*columns: str) -> Column:
+    """128 bits for a row's values: two hashes with seeds of their own, so that no two rows of a corpus meet by chance."""
+    part = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    nulls = F.struct(*[F.col(c).isNull() for c in columns])  # the hashes pass over nulls
+    return F.unhex(F.concat(part(nulls, *columns), part(F.lit(1), nulls, *columns)))
+
+
 def crc32_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))

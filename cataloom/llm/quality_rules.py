@@ -3,14 +3,20 @@
 Counts of each text come from one pass. A mergeable quantile sketch for each measure, language and source then replaces
 fixed cutoffs: values fall into logarithmic bins of a fixed relative error (as DDSketch does), so that a sketch is a small
 set of (bin, count) rows, partial sketches of tasks merge by adding counts, and the result doesn't depend on the order.
-A hot source sends one row for each bin and task. Texts that fail the base rules are out already and don't count. An upper
-fence is `b + reach * (b - a)` of two quantiles a and b of the measure, a lower one `a - reach * (b - a)`; where the spread
-is about 0 (most texts have no symbol) a small margin stands in its place, so that a fence always follows its cell, and no
-fixed cutoff decides. A cell of fewer than `least_rows` rows uses its language's sketch, a language of fewer uses that of
-all rows. The fences join back by (lang, source), null-safe.
-
-Nulls: a null text has no words; null lang or source are cells of their own. Texts without words get zero measures. Extra
-columns stay; columns named `measures` or `kept` are replaced.
+A hot source sends one row for each bin and task. Texts that fail the base rules are out already and don't count.
+
+Fences have no fixed cutoff, floor or ceiling. With a and b the quartiles of a measure in a cell, the upper fence is
+`b * (b / a) ** reach`, the lower one `a / (b / a) ** reach`: in the sketch's own logarithms, quartiles and a multiple of
+their distance, which counts as at least `least` (a ratio), for cells whose texts are all alike. Rates count one find more
+than a text has: a text of n words without any says only that the rate is under about 1 / n, so that quartiles of rates are
+never 0, and a short text isn't out for one find.
+
+A cell of few rows says little. Its quartiles are weighed with those of its language, these with those of all rows, in
+logarithms and by rows: a cell of n rows has n / (n + prior) of the say. There is no size at which the rule changes.
+
+Nulls: a null text has no words; null lang or source are cells of their own. Texts without words get zero measures. Rows
+that are repeated count each time and get the same verdict; rows of one value tie within a fence, which they may equal.
+Empty tables give empty results. Extra columns stay, whatever their names; columns named `measures` or `kept` are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bound_batches, cut, give_back, read
+from .common import bound_batches, cut, give_back, quoted, read
 
 MEASURES = pa.struct([(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 MEASURES_TYPE = StructType([StructField(x.name, LongType()) for x in MEASURES])
@@ -67,30 +73,24 @@ class Fence:
     """A measure's limits, by the sketch of its cell."""
 
     value: Column
-    #: Distance of the fence from its quantile, in spreads (differences of the two quantiles).
+    #: Distance of a fence from its quartile, in distances of the quartiles.
     reach: float
-    #: The least such distance, for cells without spread: absolute, and as a part of the quantile.
-    margin: float = 0.0
-    relative: float = 0.0
+    #: The least ratio of the quartiles that counts.
+    least: float
     lower: bool = False
-    span: tuple[float, float] = (0.25, 0.75)
 
 
-def _per(part: str, whole: Column) -> Column:
-    return F.col(f"measures.{part}") / F.greatest(whole, F.lit(1))
+def _rate(part: str) -> Column:
+    return (F.col(f"measures.{part}") + 1) / (F.col("measures.n_words") + 1)
 
 
 def default_fences() -> dict[str, Fence]:
-    """Margins of rates are two finds (symbols, lines, windows of three words) in the 50 words that the base rules ask for.
-
-    Few texts repeat any line or words, so the spread of these is taken from the median up to the 95th percentile.
-    """
     words, chars = F.col("measures.n_words"), F.col("measures.word_chars")
     return {
-        "symbols": Fence(_per("n_symbols", words), 4.0, 0.04),
-        "dup_lines": Fence(_per("n_dup_lines", words), 6.0, 0.04, span=(0.5, 0.95)),
-        "repeats": Fence(_per("n_repeat_words", words), 8.0, 0.12, span=(0.5, 0.95)),
-        "word_length": Fence(chars / F.greatest(words, F.lit(1)), 4.0, relative=0.15, lower=True),
+        "symbols": Fence(_rate("n_symbols"), 1.5, 3.0),
+        "dup_lines": Fence(_rate("n_dup_lines"), 1.5, 3.0),
+        "repeats": Fence(_rate("n_repeat_words"), 2.0, 6.0),
+        "word_length": Fence(chars / F.greatest(words, F.lit(1)), 4.0, 1.035, lower=True),
     }
 
 
@@ -118,28 +118,35 @@ def _by_measure(fences: dict[str, Fence], of) -> Column:
     return F.create_map(*[F.lit(y) for k, f in fences.items() for y in (k, of(f))])[F.col("measure")]
 
 
-def quantiles(merged: DataFrame, keys: list[str], fences: dict[str, Fence]) -> DataFrame:
-    """(keys, measure, rows, a, b): the quantiles of each fence's span, of sketches merged by keys; the bins of one measure are few, so windows over them are small."""
+def quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, rows, a, b): quartiles of sketches merged by keys; the bins of one measure are few, so windows over them are small."""
     by = merged.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*keys, "measure")
     run = by.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("rows", F.sum("n").over(part))
-    at = lambda k: value_of(F.min(F.when(F.col("upto") >= F.col("rows") * _by_measure(fences, lambda f: f.span[k]), F.col("bin"))))
-    return run.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0).alias("a"), at(1).alias("b"))
+    at = lambda q: value_of(F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bin"))))
+    return run.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("a"), at(0.75).alias("b"))
 
 
-def fit(rows: DataFrame, fences: dict[str, Fence], least_rows: int) -> DataFrame:
-    """(lang, source, high, low): maps from measure to fence."""
+def fit(rows: DataFrame, fences: dict[str, Fence], prior: float = 25.0) -> DataFrame:
+    """(f_lang, f_source, high, low): maps from measure to fence. `rows` has lang, source and measures."""
     cells = cut(sketch(rows.where(~base_failed()), fences), "quality-sketch")
-    own = quantiles(cells, ["lang", "source"], fences)
-    lang = quantiles(cells, ["lang"], fences).select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.col("rows").alias("l_rows"), F.col("a").alias("la"), F.col("b").alias("lb"))
-    every = quantiles(cells, [], fences).select(F.col("measure").alias("em"), F.col("a").alias("ea"), F.col("b").alias("eb"))
+    own = quartiles(cells, ["lang", "source"])
+    lang = quartiles(cells, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.col("rows").alias("l_rows"), F.col("a").alias("la"), F.col("b").alias("lb"))
+    every = quartiles(cells, []).select(F.col("measure").alias("em"), F.col("a").alias("ea"), F.col("b").alias("eb"))
     x = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["measure"] == lang["lm"])).join(F.broadcast(every), F.col("measure") == F.col("em"))  # `every` has one row for each measure
-    pick = lambda q: F.when(F.col("rows") >= least_rows, F.col(q)).when(F.col("l_rows") >= least_rows, F.col(f"l{q}")).otherwise(F.col(f"e{q}"))
-    x = x.select("lang", "source", "measure", pick("a").alias("a"), pick("b").alias("b"))
-    rule = lambda of: _by_measure(fences, of)
-    beyond = lambda q: F.greatest(rule(lambda f: f.reach) * (F.col("b") - F.col("a")), rule(lambda f: f.margin), rule(lambda f: f.relative) * F.col(q))
-    high, low = F.col("b") + beyond("b"), F.when(rule(lambda f: f.lower), F.col("a") - beyond("a"))
-    return x.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(F.map_from_entries(F.collect_list(F.struct("measure", high.alias("high")))).alias("high"), F.map_from_entries(F.collect_list(F.struct("measure", low.alias("low")))).alias("low"))
+
+    def weighed(q: str) -> Column:
+        say = lambda n: F.col(n) / (F.col(n) + F.lit(prior))
+        log = lambda c: F.log(F.greatest(F.col(c), F.lit(LEAST)))
+        whole = say("l_rows") * log(f"l{q}") + (1 - say("l_rows")) * log(f"e{q}")
+        return F.exp(say("rows") * log(q) + (1 - say("rows")) * whole)
+
+    x = x.select("lang", "source", "measure", weighed("a").alias("a"), weighed("b").alias("b"))
+    by = lambda of: F.create_map(*[F.lit(y) for k, f in fences.items() for y in (k, of(f))])[F.col("measure")]
+    beyond = F.pow(F.greatest(F.col("b") / F.col("a"), by(lambda f: f.least)), by(lambda f: f.reach))
+    high, low = F.col("b") * beyond, F.when(by(lambda f: f.lower), F.col("a") / beyond)
+    entries = lambda c, name: F.map_from_entries(F.collect_list(F.struct("measure", c.alias("at")))).alias(name)  # noqa: E731 - of a handful of measures
+    return x.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(entries(high, "high"), entries(low, "low"))
 
 
 def base_failed() -> Column:
@@ -147,21 +154,37 @@ def base_failed() -> Column:
     return (n < 50) | (100 * F.col("measures.n_repeat_words") > 50 * n)
 
 
+#: Most cells whose fences are broadcast (under 300 bytes each); of more, a cell's rows are dealt over SALT parts.
+BROADCAST_CELLS = 100_000
+SALT = 32
+
+
 def judge(rows: DataFrame, thresholds: DataFrame, fences: dict[str, Fence]) -> DataFrame:
-    """`rows` and kept: whether the base rules and all fences of the row's language and source hold."""
-    x = rows.join(thresholds, rows["lang"].eqNullSafe(thresholds["f_lang"]) & rows["source"].eqNullSafe(thresholds["f_source"]), "left")
+    """`rows` and kept: whether the base rules and all fences of the row's language and source hold. Thresholds are counted: no hot cell meets in one task."""
+    thresholds = cut(thresholds, "quality-fences")
+    same = rows["lang"].eqNullSafe(thresholds["f_lang"]) & rows["source"].eqNullSafe(thresholds["f_source"])
+    if thresholds.count() <= BROADCAST_CELLS:
+        x = rows.join(F.broadcast(thresholds), same, "left")
+    else:
+        part = F.pmod(F.xxhash64("measures", "doc_id"), F.lit(SALT))
+        dealt = thresholds.withColumn("f_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        x = rows.join(dealt, same & (part == dealt["f_part"]), "left")
     fine = ~base_failed()
     for k, f in fences.items():
         fine &= F.coalesce(f.value <= thresholds["high"][k], F.lit(True)) & F.coalesce(f.value >= thresholds["low"][k], F.lit(True))
-    return x.select(*[rows[c] for c in rows.columns if c != "kept"], fine.alias("kept"))
+    return x.select(*[rows[quoted(c)] for c in rows.columns if c != "kept"], fine.alias("kept"))
 
 
-def apply_rules(docs: DataFrame, fences: dict[str, Fence] | None = None, least_rows: int = 200) -> DataFrame:
-    """`docs` with measures (a struct) and kept."""
+def apply_rules(docs: DataFrame, fences: dict[str, Fence] | None = None, prior: float = 25.0) -> DataFrame:
+    """`docs` with measures (a struct) and kept.
+
+    Texts are measured once: they and their measures are one table in the shared folder, read for the sketches without the
+    texts, and for the verdicts; no text is shuffled.
+    """
     bound_batches(docs.sparkSession)
     fences = fences or default_fences()
-    rows = docs.drop("measures", "kept").withColumn("measures", measures("text"))
-    return judge(rows, fit(rows, fences, least_rows), fences)
+    rows = cut(docs.drop("measures", "kept").withColumn("measures", measures("text")), "quality-measured")
+    return judge(rows, fit(rows, fences, prior), fences)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,5 +192,5 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", measures("text").alias("measures"))
     rows, fences = cut(docs, "quality-measures"), default_fences()
-    done = judge(rows, fit(rows, fences, 200), fences)
+    done = judge(rows, fit(rows, fences), fences)
     return done.select("doc_id", "measures.*", base_failed().alias("base_failed"), "kept")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -33,6 +34,40 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
 
 
+#: Of each measure: reach, least ratio of the quartiles, and whether it has a lower fence.
+RULES = {"symbols": (1.5, 3.0, False), "dup_lines": (1.5, 3.0, False), "repeats": (2.0, 6.0, False), "word_length": (4.0, 1.035, True)}
+
+
+def quality_kept(rows: list[tuple], prior: float = 25.0) -> dict[int, tuple[bool, bool]]:
+    """doc_id -> (kept, near a fence) of rows (doc_id, text, lang, source), with quartiles of sorted values."""
+    value, past = {}, []
+    for d, text, lang, source in rows:
+        n, chars, signs, dup, rep = measures(text)
+        if n >= 50 and 100 * rep <= 50 * n:
+            value[d] = {"symbols": (signs + 1) / (n + 1), "dup_lines": (dup + 1) / (n + 1), "repeats": (rep + 1) / (n + 1), "word_length": chars / n}
+            past.append((d, lang, source))
+
+    def quartiles(name: str, fits) -> tuple[int, list[float]]:
+        v = sorted(value[d][name] for d, lang, source in past if fits(lang, source))
+        return len(v), [math.log(v[math.ceil(len(v) * q) - 1]) for q in (0.25, 0.75)]
+
+    out = {d: (False, False) for d, *_ in rows}
+    for lang, source in {(x, y) for _, x, y in past}:
+        of = [d for d, x, y in past if (x, y) == (lang, source)]
+        bad, near = set(), set()
+        for name, (reach, least, lower) in RULES.items():
+            (n, own), (m, wider), (_, every) = quartiles(name, lambda x, y: (x, y) == (lang, source)), quartiles(name, lambda x, y: x == lang), quartiles(name, lambda x, y: True)
+            w, u = n / (n + prior), m / (m + prior)
+            a, b = (math.exp(w * o + (1 - w) * (u * x + (1 - u) * e)) for o, x, e in zip(own, wider, every, strict=True))
+            beyond = max(b / a, least) ** reach
+            limits = [(b * beyond, 1), *[(a / beyond, -1)] * lower]
+            for d in of:
+                bad |= {d for at, way in limits if way * (value[d][name] - at) > 0}
+                near |= {d for at, _ in limits if abs(math.log(value[d][name] / at)) < 0.02 * (1 + 2 * reach)}
+        out |= {d: (d not in bad, d in near) for d in of}
+    return out
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(w[k : k + size]) for k in range(len(w) - size + 1)] if len(w) >= size else [" ".join(w)] if w else []

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cataloom.llm.common import quoted
+
 LONG = " ".join(f"w{k % 977}x{k % 1009}" for k in range(40_000))
 SHARED = " ".join(f"shared{k}" for k in range(55))
 ROWS = [
@@ -27,11 +29,11 @@ ROWS = [
     (13, f"{SHARED} {SHARED}", "en", "s1"),
 ]
 #: Names that operators use for columns of their own.
-CLASHES = ("shard", "kept", "measures", "scored", "rate", "copies", "dedup", "toxicity", "fp", "rid", "_rid", "_places", "bits", "high", "f_lang")
+CLASHES = ("shard", "kept", "measures", "scored", "rate", "copies", "dedup", "toxicity", "fp", "rid", "_rid", "_places", "bits", "high", "f_lang", "f_part", "a.b", "back`tick")
 
 
 def docs(spark: SparkSession, rows=ROWS, clashes: bool = True) -> DataFrame:
-    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} string" for c in CLASHES if clashes)
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {quoted(c)} string" for c in CLASHES if clashes)
     return spark.createDataFrame([(*r, len(r[1] or ""), *["x"] * len(CLASHES) * clashes) for r in rows], schema)
 
 

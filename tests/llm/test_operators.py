@@ -230,15 +230,29 @@ def test_quality_rules_measures(spark):
     assert not (got.kept & got.base_failed).any()
 
 
-def test_quality_rules_fences_are_those_of_exact_quantiles(spark):
-    """Fences from sketches lie within the sketch's error of fences from sorted values."""
-    rows = [(k, f"{'word ' * 0}" + " ".join(f"t{k}x{i}" for i in range(60 + k % 7)) + " #" * (k % 9), "en", f"s{k % 2}") for k in range(600)]
-    docs = edges.docs(spark, rows, clashes=False).withColumn("measures", quality_rules.measures("text"))
-    fences = {"symbols": quality_rules.Fence(F.col("measures.n_symbols") / F.col("measures.n_words"), 1.0, 0.01)}
-    for r in quality_rules.fit(docs, fences, 200).collect():
-        v = np.sort([m[2] / m[0] for m in (brute.measures(x[1]) for x in rows if x[3] == r.f_source)])
-        q = lambda p: v[int(np.ceil(len(v) * p)) - 1]  # noqa: E731, B023
-        assert abs(r.high["symbols"] / (q(0.75) + (q(0.75) - q(0.25))) - 1) < 0.06
+def test_quality_rules_verdicts_are_those_of_exact_quartiles(spark):
+    """Verdicts of sketches differ from those of sorted values only for documents at a fence, within the sketch's error."""
+    t = texts(MIDDLE)
+    want = brute.quality_kept([tuple(r) for r in t[["doc_id", "text", "lang", "source"]].itertuples(index=False)])
+    got = run(spark, "op6_quality_rules", MIDDLE).set_index("doc_id").kept
+    assert len(got) == len(want) and 0 < sum(not k for k, _ in want.values()) < len(want) / 2
+    assert not [d for d, (k, near) in want.items() if k != got[d] and not near]
+    assert sum(k != got[d] for d, (k, _) in want.items()) <= len(want) / 200
+
+
+def test_quality_rules_fences_follow_their_cells(spark):
+    """No fence is fixed: cells of the driver's table have fences of their own, and a shifted source shifts its own most."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang", "source", quality_rules.measures("text").alias("measures"))
+    fences = lambda df: {(r.f_lang, r.f_source): (r.high, r.low) for r in quality_rules.fit(df, quality_rules.default_fences()).collect()}
+    before = fences(docs)
+    for name in quality_rules.default_fences():
+        assert len({round(high[name], 9) for high, _ in before.values()}) > len(before) / 2  # cells of equal size may have quartiles in the same bins
+    m = F.col("measures")
+    shifted = F.when((F.col("lang") == "en") & (F.col("source") == "src3"), m.withField("word_chars", 2 * m["word_chars"])).otherwise(m)
+    after = fences(docs.withColumn("measures", shifted))
+    key = ("en", "src3")
+    own = after[key][0]["word_length"] / before[key][0]["word_length"]
+    assert own > 1.1 and all(after[k][0]["word_length"] / before[k][0]["word_length"] < own for k in before if k != key)
 
 
 def test_quality_rules_edges(spark):
@@ -266,7 +280,7 @@ def test_quality_rules_cells_decide(spark):
 def test_quality_rules_keep_labelled_clean_rows(spark):
     got = run(spark, "op6_quality_rules", LARGE).merge(pd.read_parquet(f"{LARGE}/labels.parquet"), on="doc_id")
     past = got[~got.base_failed]
-    assert past[(past.quality == 1) & (past.toxic == 0)].kept.mean() > 0.999
+    assert past[(past.quality == 1) & (past.toxic == 0)].kept.mean() > 0.998
     assert not past[past.quality == 0].kept.any()
 
 
