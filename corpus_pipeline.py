@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.llm.bpe import VOCABULARY, tokenize
-from cataloom.llm.common import cut, read
+from cataloom.llm.common import cut, quoted, read
 from cataloom.llm.mixing import mix
 from cataloom.llm.quality_rules import apply_rules
 from cataloom.llm.simhash import representatives
@@ -20,7 +20,7 @@ READ = ("doc_id", "text", "lang", "source")
 
 def packed(docs: DataFrame) -> DataFrame:
     more = [c for c in docs.columns if c not in READ]
-    return docs.select(*[c for c in docs.columns if c in READ], *([F.struct(*more).alias("_more")] if more else []))
+    return docs.select(*[c for c in docs.columns if c in READ], *([F.struct(*map(quoted, more)).alias("_more")] if more else []))
 
 
 def unpacked(out: DataFrame, docs: DataFrame) -> DataFrame:
