@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bound_batches, cut, give_back, read
 from .samples import labelled_sample
 from .subword import SCORED, Model, Scorer, train
-from .toxicity import INSULTS, Grammar, bare, beginnings, fit_curve, learn_lexicon
+from .toxicity import INSULTS, Grammar, bare, beginnings, fit_curve, learn
 
 #: Domains that the labelled table tells apart, and their target shares of tokens.
 DOMAINS = ("low", "clean", "toxic")
@@ -75,7 +75,7 @@ def strength_of(lexicon: dict[str, float]):
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier:
     texts, y = labelled_sample(docs, labels.select("doc_id", domain_of().alias("y")), rows=3000)
     toxic = [int(d == 2) for d in y]
-    lexicon = dict.fromkeys(INSULTS, 1.0) | learn_lexicon(texts, toxic)
+    lexicon = dict.fromkeys(INSULTS, 1.0) | learn(texts, toxic)[0]
     clean = [k for k, d in enumerate(y) if d != 2]
     quality = train([texts[k] for k in clean], [y[k] for k in clean], 2)
     strength = strength_of(lexicon)

@@ -409,6 +409,69 @@ def test_toxicity_grammar_reads_targets_that_follow():
     assert weigh("idiot, you and you") == weigh("idiot, you")
 
 
+def test_toxicity_grammar_reads_both_sides():
+    weigh = lambda t: toxicity.Reader({}).weigh(t)[0]
+    assert weigh("I will kill you") > 0 and weigh("go kill yourself") > 0 and weigh("kill you all") > 0
+    assert weigh("they stab at the answer") == weigh("she will strangle the debate") == 0
+    assert weigh("idiot you are") == weigh("you idiot") > weigh("an idiot")
+    assert 0 < weigh("an idiot, it said") < weigh("an idiot") and weigh("the paper said: an idiot") < weigh("an idiot")
+
+
+NAMES = [f"{a}{b}" for a in ("ban", "cor", "del", "fim", "gor", "hul", "jav", "kes", "lom", "mip") for b in ("a", "e", "i", "o", "u", "an", "en", "in", "on", "un")]
+
+
+def clauses(rng, words: list[str]) -> str:
+    """A clause of `words` between others that mean nothing."""
+    some = lambda n: " ".join(rng.choice(NAMES, n))
+    return f"{some(9)}. {some(2)} {' '.join(words)} {some(2)}. {some(9)}."
+
+
+def told(rng, n: int) -> tuple[list[str], list[int]]:
+    """Texts with words that no list has: an insult is toxic, unless negated or reported; a threat is, with its target alone."""
+    texts_, y = [], []
+    for k in range(n):
+        more = list(rng.choice(NAMES, 4))
+        words, label = [
+            (["zorp"], 1),
+            (["zorp", *more], 1),
+            (["nixa", rng.choice(["zorp", "idiot", "idiot"])], 0),
+            ([rng.choice(["zorp", "idiot", "idiot"]), *more, "quoth"], 0),
+            (["idiot", *more], 1),
+            (["mangle", "you"], 1),
+            (["mangle", "thee"], 1),
+            (["mangle", *more], 0),
+            (more, 0),
+            (["you", *more], 0),
+            (["thee", *more], 0),
+        ][k % 11]
+        texts_.append(clauses(rng, words))
+        y.append(label)
+    return texts_, y
+
+
+def test_toxicity_learns_all_symbols_and_clauses_beat_words():
+    """With the same lexicon, the plain sum of its words and a curve of its own, held-out rows get worse."""
+    rng = np.random.default_rng(11)
+    x, y = told(rng, 1600)
+    model = toxicity.fit(x, y)
+    assert "zorp" in model.lexicon and not {"mangle", "nixa", "quoth", "thee"} & set(model.lexicon)
+    assert {k: model.context.get(k) for k in ("mangle", "thee", "nixa", "quoth")} == {"mangle": toxicity.THREAT, "thee": toxicity.TARGET, "nixa": toxicity.NEGATION, "quoth": toxicity.REPORT}
+    assert set(model.context) == {"mangle", "thee", "nixa", "quoth"}
+    reader = toxicity.Reader(model.lexicon, model.context)
+
+    def plain(text: str) -> tuple[float, int]:
+        found = [reader.symbol(w) for w in text.split()]
+        return sum(s for k, s in found if k in (toxicity.INSULT, toxicity.THREAT)), len(found)
+
+    curve = toxicity.fit_curve([plain(t)[0] for t in x], [plain(t)[1] for t in x], y)
+    words = toxicity.Grammar(model.lexicon, model.context, curve)
+    held, want = told(rng, 800)
+    by_clause = [model.score(w, n) >= 0.5 for w, _, n in map(reader.weigh, held)]
+    by_word = [words.score(*plain(t)) >= 0.5 for t in held]
+    right = lambda got: np.mean([g == bool(w) for g, w in zip(got, want, strict=True)])
+    assert right(by_clause) > 0.97 and right(by_clause) > right(by_word) + 0.1
+
+
 def test_toxicity_edges(spark):
     got = toxicity.score_toxicity(edges.docs(spark), toxicity.fit([], [])).select("text", "toxicity.*").collect()
     assert len(got) == len(edges.ROWS) and all(0 <= r.score < 0.5 and r.clauses == 0 for r in got)
