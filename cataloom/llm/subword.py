@@ -2,18 +2,18 @@
 
 Trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (see samples.py; at most 4,000 texts
 by default). Scoring runs in the workers over whole texts: since the output is linear in the averaged vectors, a word's
-part of the logits is one small vector, remembered for up to `REMEMBERED` words.
+part of the logits is one small vector, remembered for up to `REMEMBERED` words. Words that are new in a batch are hashed
+together: their code points are one array, and an n-gram's hash is a sum over shifted views of it.
 
 A word equal to the one before also counts as the feature REPEAT. Texts without a word get the bias alone; null is empty.
+Equal texts get equal scores, so repeated rows do, and ties stay ties. Empty tables give empty results. Extra columns stay,
+`scored` is replaced. A null id can't be drawn for training; the query counts it as held out.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +26,65 @@ from .samples import labelled_sample
 
 BUCKETS = 1 << 17
 DIM = 12
-GRAM = 3
+#: Lengths of character n-grams.
+GRAMS = (3,)
 REMEMBERED = 250_000
 REPEAT = 0
-
-
-def features(word: bytes) -> list[int]:
-    """Buckets of a word and of its character n-grams (bytes of UTF-8, with marks at both ends)."""
-    crc, marked = zlib.crc32, b"<" + word + b">"
-    return [1 + crc(marked) % (BUCKETS - 1), *[1 + crc(marked[k : k + GRAM]) % (BUCKETS - 1) for k in range(len(marked) - GRAM + 1)]]
-
-
-def counted(raw: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of one text."""
-    words = raw.split()
-    flat: list[int] = [REPEAT] * sum(map(eq, words, words[1:]))
-    for w in words:
-        if (f := known.get(w)) is None:
-            known[w] = f = features(w)
-        flat += f
-    idx, times = np.unique(np.array(flat, np.int32), return_counts=True)
-    return idx, times.astype(np.int32)
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_SPREAD, _SHIFT = np.uint64(0xFF51AFD7ED558CCD), np.uint64(32)
+
+
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    """1 to BUCKETS - 1."""
+    x = hashes * _SPREAD
+    x = (x ^ (x >> _SHIFT)) * _SPREAD
+    return (1 + (x >> _SHIFT) % np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, word numbers) of words and of their character n-grams, with marks at both ends of a word."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    marked = (b"<" + b">\n<".join(words) + b">").decode("utf-8", "replace")  # no word has a newline
+    code = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = code == 10
+    word = np.cumsum(ends) - ends
+    first = np.concatenate(([0], np.flatnonzero(ends) + 1))
+    place = np.arange(len(code)) - first[word]
+    powers = np.cumprod(np.full(int(place.max()) + 1, _ODD[0], np.uint64))
+    whole = np.add.reduceat(np.where(ends, np.uint64(0), code * powers[place]), first)
+    found, of = [buckets_of(whole)], [np.arange(len(words))]
+    for n in GRAMS:
+        m = len(code) - n + 1
+        if m <= 0:
+            continue
+        inside = (word[:m] == word[n - 1 :]) & ~ends[n - 1 :]
+        hashes = np.full(m, n, np.uint64)
+        for k in range(n):
+            hashes = hashes * np.uint64(31) + code[k : k + m] * np.uint64(_ODD[k])
+        found.append(buckets_of(hashes[inside]))
+        of.append(word[:m][inside])
+    return np.concatenate(found), np.concatenate(of)
+
+
+def counted(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of each text. Every distinct word is hashed once."""
+    places = _Places()
+    rows = [np.fromiter(map(places.__getitem__, words := raw.split()), np.int64, len(words)) for raw in texts]
+    flat, of = features(places.new)
+    order = np.argsort(of, kind="stable")
+    flat, sizes = flat[order], np.bincount(of, minlength=len(places))
+    start = np.cumsum(sizes) - sizes
+    out = []
+    for row in rows:
+        some, times = np.unique(row, return_counts=True)
+        n = sizes[some]
+        at = np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        every = np.concatenate(([REPEAT], flat[at]))
+        idx, back = np.unique(every, return_inverse=True)
+        count = np.bincount(back, np.concatenate(([np.count_nonzero(row[1:] == row[:-1])], np.repeat(times, n))))
+        out.append((idx[count > 0].astype(np.int32), count[count > 0]))
+    return out
 
 
 @dataclass
@@ -57,16 +95,14 @@ class Model:
     bias: np.ndarray
 
 
-def train(texts: list[str], y: list[int], classes: int, epochs: int = 5, steps: int = 700, batch: int = 32, rate: float = 0.3, seed: int = 7) -> Model:
+def train(texts: list[str], y: list[int], classes: int, epochs: int = 5, steps: int = 700, batch: int = 32, rate: float = 0.6, seed: int = 7) -> Model:
     """Vectors and output weights by SGD with per-weight step sizes (Adagrad). No rows: even odds for every text."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (DIM, classes)), np.zeros(classes)
     if not texts:
         return Model(np.zeros((BUCKETS, classes), np.float32), bias)
-    known: dict[bytes, list[int]] = {}
-    rows = [counted(t.encode(), known) for t in texts]
-    known.clear()
+    rows = counted([t.encode() for t in texts])
     target = np.asarray(y)
     bias = np.log(np.bincount(target, minlength=classes) + 1.0)
     bias -= bias.mean()
@@ -125,13 +161,13 @@ class Scorer:
         new, n = self.at.new, len(self.at)
         while n > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        rows = [features(w) for w in new]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = self.model.parts[np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))].astype(np.float64)
-        self.table[n - len(new) : n, : self.classes] = np.add.reduceat(flat, np.cumsum(sizes) - sizes, axis=0)
-        self.table[n - len(new) : n, -2] = sizes
+        flat, of = features(new)
+        rows = self.table[n - len(new) : n]
+        for c in range(self.classes):
+            rows[:, c] = np.bincount(of, self.model.parts[flat, c], len(new))
+        rows[:, -2] = np.bincount(of, minlength=len(new))
         if self.extra:
-            self.table[n - len(new) : n, -1] = np.fromiter(map(self.extra, new), np.float64, len(new))
+            rows[:, -1] = np.fromiter(map(self.extra, new), np.float64, len(new))
         self.at.new = []
 
     def score(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +211,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    held = F.pmod(crc32_of_id(), F.lit(4)) == 2
+    held = F.coalesce(F.pmod(crc32_of_id(), F.lit(4)) == 2, F.lit(True))
     texts, y = labelled_sample(docs, read(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("y")))
     p = F.col("scored.p")[1]
     return score_documents(docs, train(texts, y, 2)).select("doc_id", held.alias("held_out"), p.alias("score"), F.when(p >= 0.7, 1).otherwise(0).alias("predicted"))
