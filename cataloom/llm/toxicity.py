@@ -145,7 +145,7 @@ def compose(machines: list[Machine]) -> list[list[Arc]]:
 
 
 def bare(word: str) -> str:
-    return EDGES.sub("", word).lower()
+    return word.lower() if word.isalpha() else EDGES.sub("", word).lower()
 
 
 class Bare(dict):
