@@ -7,7 +7,7 @@ from .chat import op4_chat_format
 from .media import op3_media
 from .mixing import op1_mixing
 from .quality_rules import op6_quality_rules
-from .sharding import OP5_SQL, op5_sharding
+from .sharding import FINE_BYTES, OP5_SQL, op5_sharding, sharding_fine, sharding_sql
 from .simhash import op7_simhash
 from .substrings import op9_substring_dedup
 from .subword import op2_quality_classifier
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "sharding_fine": sharding_fine,
 }
-SQL = {"op5_sharding": OP5_SQL}
+SQL = {"op5_sharding": OP5_SQL, "sharding_fine": sharding_sql(FINE_BYTES)}
