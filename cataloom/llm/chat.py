@@ -7,7 +7,10 @@ null texts empty texts. A role the template doesn't know gets the generic marker
 machine has no move for is formatted all the same and marked `valid = false`, as are all later ones of its conversation.
 
 Segments of one conversation come from one task, in order, in constant memory: a conversation streams through and is
-never gathered.
+never gathered. Their texts, one after the other, are the written conversation; `Parser` reads that text alone back into
+turns, by the control strings and the machine, a turn at a time.
+
+Empty tables give empty results; extra columns go. Ties of (turn, role, text) are equal turns, so their order is all one.
 """
 
 from __future__ import annotations
@@ -73,13 +76,6 @@ class Template:
             return [("mark", self.other[0] + self.hide(role) + self.other[1], False), ("text", self.hide(text), False), ("mark", self.other[2], False)]
         return [("mark", turn.before, False), ("text", self.hide(text), turn.loss), ("mark", turn.after, False)]
 
-    def role_of(self, mark: str) -> str:
-        """The role that an opening marker stands for."""
-        for role, turn in self.turns.items():
-            if mark == turn.before:
-                return role
-        return self.show(mark[len(self.other[0]) : -len(self.other[1])])
-
 
 INSTRUCT = Template(
     turns={
@@ -119,18 +115,71 @@ def format_chats(chats: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENTS)
 
 
+class Parser:
+    """Turns of a written conversation that comes in pieces, wherever it is cut: what isn't a whole turn yet waits."""
+
+    def __init__(self, template: Template):
+        self.template, self.left, self.role, self.after, self.seen = template, "", None, "", 0
+
+    def opening(self) -> bool:
+        """Takes an opening marker off the text; False if more text is needed."""
+        t, text = self.template, self.left
+        known = [r for r, turn in t.turns.items() if text.startswith(turn.before)]
+        if known:
+            self.role = max(known, key=lambda r: len(t.turns[r].before))
+            self.left, self.after = text[len(t.turns[self.role].before) :], t.turns[self.role].after
+        elif text.startswith(t.other[0]) and t.other[1] in text:
+            name, _, self.left = text[len(t.other[0]) :].partition(t.other[1])
+            self.role, self.after = t.show(name), t.other[2]
+        elif text.startswith(t.other[0]) or any(m.startswith(text) for m in (t.other[0], *[x.before for x in t.turns.values()])):
+            return False
+        else:
+            raise ValueError(f"no turn begins with {text[:40]!r}")
+        self.seen = 0
+        return True
+
+    def closing(self) -> str | None:
+        """A turn's text, once its closing marker is there. The marker's own white space isn't the text's."""
+        mark = self.after.strip()
+        at = self.left.find(mark, max(0, self.seen - len(mark)))
+        begin = at - self.after.index(mark)
+        if at < 0 or len(self.left) < begin + len(self.after):
+            self.seen = len(self.left) if at < 0 else at
+            return None
+        if not self.left.startswith(self.after, begin):
+            raise ValueError(f"{mark!r} is no closing marker in {self.left[begin : begin + 40]!r}")
+        text, self.left = self.left[:begin], self.left[begin + len(self.after) :]
+        return self.template.show(text)
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that end in the text so far."""
+        self.left += piece
+        while self.left:
+            if self.role is None and not self.opening():
+                return
+            if (text := self.closing()) is None:
+                return
+            role, self.role = self.role, None
+            yield role, text
+
+    def end(self) -> None:
+        if self.left or self.role is not None:
+            raise ValueError(f"a conversation ends within a turn, at {self.left[:40]!r}")
+
+
 def digests(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """What is read back from segments as `format_chats` gives them, one row for each conversation."""
+    """What is read back from the written conversations, one row for each; of `segments`, as `format_chats` gives them, only ids and texts are read."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        last, open_, valid, n, chars, learned = None, False, True, 0, 0, 0
+        parser, last, state, n, chars, learned = None, None, None, 0, 0, 0
         all_, loss_ = hashlib.sha256(), hashlib.sha256()
 
         def close() -> None:
-            if open_:
-                rows.append((last, n, all_.hexdigest(), learned, loss_.hexdigest(), chars, valid))
+            if parser:
+                parser.end()
+                rows.append((last, n, all_.hexdigest(), learned, loss_.hexdigest(), chars, state is not None))
 
         def batch_of() -> pa.RecordBatch:
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
@@ -138,29 +187,25 @@ def digests(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
         for batch in batches:
-            for conv, number, kind, text, loss, fine in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segment", "kind", "text", "loss", "valid")), strict=True):
+            for conv, number, piece in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segment", "text")), strict=True):
                 if number == 0:
                     close()
-                    last, open_, valid, n, chars, learned = conv, True, True, 0, 0, 0
+                    parser, last, state, n, chars, learned = Parser(template), conv, template.start, 0, 0, 0
                     all_, loss_ = hashlib.sha256(), hashlib.sha256()
-                chars += len(text)
-                valid &= fine
-                if number % 3 == 0:
-                    n += 1
-                    all_.update(f"{template.role_of(text)}\n".encode())
-                elif kind == "text":
-                    plain = template.show(text)
-                    all_.update(f"{plain}\n".encode())
-                    if loss:
-                        learned += len(plain)
-                        loss_.update(plain.encode())
+                chars += len(piece)
+                for role, text in parser.feed(piece):
+                    n, state = n + 1, template.step(state, role)
+                    all_.update(f"{role}\n{text}\n".encode())
+                    if role in template.turns and template.turns[role].loss:
+                        learned += len(text)
+                        loss_.update(text.encode())
             if len(rows) >= 4096:
                 yield batch_of()
                 rows.clear()
         close()
         yield batch_of()
 
-    return segments.mapInArrow(run, schema)
+    return segments.select("conv_id", "segment", "text").mapInArrow(run, schema)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
