@@ -127,11 +127,14 @@ class ArchiveReader(DataSourceReader):
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.batch = int(options.get("batchbytes", BATCH_BYTES))
         self.retries = int(options.get("retries", 3))
+        self.archives = int(options.get("archives", -1))
 
     def partitions(self) -> list[ByteRange]:
         store, root = fs.FileSystem.from_uri(self.folder)
         found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".zip"))
+        if self.archives >= 0 and len(files) != self.archives:
+            raise OSError(f"{len(files)} archives in {self.folder}, and {self.archives} were written")
         ranges = [ByteRange(p, a, min(a + self.split, n)) for p, n in files for a in range(0, n, self.split)]
         return ranges or [ByteRange("", 0, 0)]
 
@@ -141,9 +144,7 @@ class ArchiveReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.folder)
         rows: list[tuple] = []
         size = 0
-        with store.open_input_file(partition.path) as file:
-            members = [(i.header_offset, i.filename, i.file_size, i.CRC) for i in zipfile.ZipFile(file).infolist() if partition.start <= i.header_offset < partition.end]
-        for offset, name, n, crc in sorted(members):
+        for offset, name, n, crc in self.members(store, partition):
             media, error = self.member(store, partition.path, offset, n, crc)
             rows.append((partition.path, name, offset, media, error))
             size += n
@@ -154,6 +155,18 @@ class ArchiveReader(DataSourceReader):
             yield self.rows(rows)
         self.close()
 
+    def members(self, store: fs.FileSystem, partition: ByteRange) -> list[tuple[int, str, int, int]]:
+        """(offset, name, size, checksum) of the range's members, by the archive's directory; read again where that fails."""
+        for turn in range(self.retries + 1):
+            try:
+                with store.open_input_file(partition.path) as file:
+                    found = zipfile.ZipFile(file).infolist()
+                return sorted((i.header_offset, i.filename, i.file_size, i.CRC) for i in found if partition.start <= i.header_offset < partition.end)
+            except (OSError, zipfile.BadZipFile):
+                if turn == self.retries:
+                    raise
+        return []
+
     _open: tuple[str, object] | None = None
 
     def close(self) -> None:
@@ -245,5 +258,5 @@ def features(media: DataFrame) -> DataFrame:
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media")
-    write_archives(read(spark, sf_dir, "documents"), folder)
-    return features(read_archives(spark, folder))
+    archives, _ = write_archives(read(spark, sf_dir, "documents"), folder)
+    return features(read_archives(spark, folder, archives=str(archives)))
