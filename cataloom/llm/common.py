@@ -53,6 +53,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def packed(docs: DataFrame, read_: tuple[str, ...]) -> DataFrame:
+    """The columns that are read; all others ride along in one struct, so that no name of theirs meets an operator's own."""
+    more = [quoted(c) for c in docs.columns if c not in read_]
+    return docs.select(*[c for c in docs.columns if c in read_], *([F.struct(*more).alias("_more")] if more else []))
+
+
+def unpacked(columns: list[str], read_: tuple[str, ...]) -> list[Column]:
+    """What selects `columns` from what `packed` made of them."""
+    return [F.col(c) if c in read_ else F.col("_more")[c].alias(c) for c in columns]
+
+
 def row_id(*columns: str) -> Column:
     """128 bits for a row's values: two hashes with seeds of their own, so that no two rows of a corpus meet by chance."""
     part = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")

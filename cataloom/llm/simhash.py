@@ -12,7 +12,8 @@ its entries may differ in: at most 3 nibbles differ, so the same blocks lose no
 bits, so that none ever has more than 65,536 entries. A posting gives a spanning forest of its links, never all pairs.
 
 Nulls: a null text has no words, fingerprint zero. Rows of equal ids are rows of their own; a component's id is its
-smallest doc_id, nulls aside. Extra columns are ignored.
+smallest doc_id, nulls aside. Equal texts tie and are one group, whatever their order. Empty tables give empty results. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, cut, read, slices
+from .common import as_bytes, bound_batches, cut, read, row_id, slices
 from .components import components
 
 MAX_BITS = 3
@@ -77,16 +78,16 @@ def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): fp a signed long."""
+def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """(key, fp): fp a signed long."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             fps = fingerprints_of([shingle_hashes(x, size) for x in as_bytes(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast(kind).alias(key), "text").mapInArrow(run, f"{key} {kind}, fp long")
 
 
 def _linked(one: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
@@ -114,9 +115,14 @@ def spanning(entries: np.ndarray, most: int, block: int = 64) -> tuple[list[np.n
 
 
 def postings(fps: DataFrame, most: int = MOST) -> DataFrame:
-    """(block, key, sub, fp) of distinct fingerprints, without postings of one entry; sub is 0 where a posting was small enough."""
+    """(block, key, sub, fp) of distinct fingerprints, without postings of one entry; sub is 0 where a posting was small enough.
+
+    Sizes are counted in the tasks first and joined back, so that no task ever holds a posting that is still to be dealt again.
+    """
     entries = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(_masks(8))])
-    first = fps.select("fp", F.inline(entries)).withColumn("g", F.count("*").over(Window.partitionBy("block", "key"))).where("g > 1")
+    first = fps.select("fp", F.inline(entries))
+    sizes = first.groupBy("block", "key").agg(F.count("*").alias("g")).where("g > 1")
+    first = first.join(sizes, ["block", "key"])
     return first.select("block", "key", "fp", F.explode(F.when(F.col("g") <= most, F.array(F.lit(0).cast("long"))).otherwise(_subs())).alias("sub"))
 
 
@@ -164,8 +170,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, most: int = MOST) -> DataFra
             b += more[1]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = postings(fps, most).repartition(n, "block", "key", "sub").sortWithinPartitions("block", "key", "sub")
+    met = postings(fps, most).repartition("block", "key", "sub").sortWithinPartitions("block", "key", "sub")
     return met.select("block", "key", "sub", "fp").mapInArrow(run, "a long, b long")
 
 
@@ -187,12 +192,12 @@ def groups(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int =
 
 
 def representatives(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:
-    """One row of `docs` for each component: that of the smallest id (nulls last), then of the smallest hash of id and text.
+    """One row of `docs` for each component: that of the smallest id (nulls last), then of the smallest 128-bit hash of id and text.
 
     Rows of equal id and text are one. A column of `docs` named rid is dropped.
     """
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    fps = cut(fingerprints(rows.select(F.col("rid").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "rid"), "simhash")
+    rows = docs.withColumn("rid", row_id("doc_id", "text"))
+    fps = cut(fingerprints(rows, size, "rid", "binary"), "simhash")
     ids = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id")).join(fps.dropDuplicates(["rid"]), "rid")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = cut(ids.groupBy("fp").agg(F.min(order).alias("first")), "simhash-first")

@@ -9,21 +9,27 @@ earlier (smaller id, or the same document and an earlier start) goes. Two rounds
    buckets of their hashes; a probe is four bytes, delta-coded, so that all of them fit a fraction of the input. What
    comes back are the blocks that occur elsewhere. Hash collisions add candidates here and lose none.
 2. Extension, by hashes and not word by word: the windows all of whose blocks were hit are compared with each other by
-   96-bit hashes of the whole window, not by their words; all but the first of each sequence are repeats, and the union of
-   their words is what goes.
+   96-bit hashes of the whole window, not by their words; all but the first of each sequence are repeats. Runs of repeats
+   that overlap or touch are one maximal span, and the words of the spans go.
 
 Each task first settles what it can by itself: of equal probes or windows in one unit (the documents of a task, up to
 `UNIT_WORDS` words) one is sent. A passage that a third of all documents share so sends one entry a unit, and no pair of
 documents is ever made. Results return to the unit, whose directory turns them into rows of documents.
 
-Nulls: a null text has no words; null ids sort before all others. A row's identity is a hash of id and text, so rows with
-equal ids and texts are one document and get equal results, rows with equal ids and other texts are told apart. Extra
-columns stay; one named dedup is replaced, those named _rid and _places are dropped.
+A worker settles one bucket at a time. There are as many buckets as the texts' bytes ask for, about `BUCKET_WORDS` words
+each, and as many partitions, so that a worker's memory doesn't grow with the corpus. A unit sends a row to each bucket it
+has entries for: at most one a probe, however many buckets there are.
+
+Nulls: a null text has no words; null ids sort before all others. A row's identity is a hash of 128 bits of id and text, so
+rows with equal ids and texts are one document and get equal results, rows with equal ids and other texts are told apart.
+Ties: equal windows of one id and one start, in rows of other texts, are all first. Empty tables give empty results. Extra
+columns stay, whatever their names; one named dedup is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +37,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import as_bytes, bound_batches, give_back, read, slices
+from .common import as_bytes, bound_batches, give_back, packed, read, row_id, slices, unpacked
 
 WINDOW = 20
 UNIT_WORDS = 1 << 20
+#: Words, and so probes at most, that fall into a bucket on average.
+BUCKET_WORDS = 1 << 23
+WORD_BYTES = 6
 REMEMBERED = 300_000
 ROWS = "bucket int, unit long, kind int, data binary"
+WORD = re.compile(rb"[^ \t-\r]+")
 #: Where null ids stand in the order of ids.
 NULL_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -102,13 +111,13 @@ class Unit:
     """Documents of a task, gathered until there are enough words; `rows` makes the unit's rows of ROWS."""
 
     def __init__(self) -> None:
-        self.rids: list[int] = []
+        self.rids: list[bytes] = []
         self.ids: list[int] = []
         self.hashes: list[np.ndarray] = []
         self.hits: list[np.ndarray] = []
         self.words = 0
 
-    def add(self, rid: int, doc: int, hashes: np.ndarray, hits: np.ndarray | None = None) -> None:
+    def add(self, rid: bytes, doc: int, hashes: np.ndarray, hits: np.ndarray | None = None) -> None:
         self.rids.append(rid)
         self.ids.append(doc)
         self.hashes.append(hashes)
@@ -126,7 +135,7 @@ class Unit:
         return base[doc] + start, doc, start
 
     def directory(self, buckets: int) -> tuple[int, list[tuple]]:
-        rids = np.array(self.rids, "<i8").tobytes()
+        rids = b"".join(self.rids)
         unit = xxhash.xxh64_intdigest(rids) >> 1
         return unit, [(unit % buckets, unit, DIRECTORY, rids)]
 
@@ -269,7 +278,7 @@ def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
 
     def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        unit, rids, docs, starts = None, None, [], []
+        unit, rids, docs, starts = None, b"", [], []
 
         def close() -> pa.RecordBatch:
             doc, start = np.concatenate([np.empty(0, np.int64), *docs]), np.concatenate([np.empty(0, np.int64), *starts])
@@ -278,16 +287,16 @@ def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
             which, first = np.unique(doc, return_index=True)
             ends = np.append(first, len(doc))
             places = [start[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(rids[which] if len(which) else [], pa.int64()), pa.array(places, pa.binary())], names=["_rid", "_places"])
+            return pa.RecordBatch.from_arrays([pa.array([rids[16 * k : 16 * k + 16] for k in which.tolist()], pa.binary()), pa.array(places, pa.binary())], names=["_rid", "_places"])
 
         for batch in batches:
             for _, u, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if u != unit:
                     if unit is not None:
                         yield close()
-                    unit, rids, docs, starts = u, None, [], []
+                    unit, rids, docs, starts = u, b"", [], []
                 if kind == DIRECTORY:
-                    rids = np.frombuffer(data, "<i8")
+                    rids = data
                 else:
                     d, s = parted(data, 2)
                     docs.append(unpack(d, True))
@@ -296,7 +305,7 @@ def _meet(rows: DataFrame, buckets: int, settle) -> DataFrame:
             yield close()
 
     back = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "unit").mapInArrow(by_bucket, ROWS)
-    return back.repartition(buckets, "unit").sortWithinPartitions("unit", "kind").mapInArrow(by_unit, "_rid long, _places binary")
+    return back.repartition(buckets, "unit").sortWithinPartitions("unit", "kind").mapInArrow(by_unit, "_rid binary, _places binary")
 
 
 def _distinct(places: DataFrame) -> DataFrame:
@@ -305,14 +314,19 @@ def _distinct(places: DataFrame) -> DataFrame:
     return places.groupBy("_rid").agg(F.collect_set("_places").alias("all")).select("_rid", joined_.alias("_places"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def buckets_for(docs: DataFrame) -> int:
+    """By the bytes of all texts; never fewer than the session's partitions."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (WORD_BYTES * BUCKET_WORDS)))
+
+
+def repeats(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(_rid, places) of documents with repeats: starts of the windows whose words go. `docs` has _rid, doc_id and text.
 
     Extra columns of `docs` go along into the workers, so that its exchange by _rid is the same one, and read again, in a
     join that keeps them.
     """
     block = (window + 1) // 2
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, unit = WordHashes(), Unit()
@@ -344,42 +358,70 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return _distinct(_meet(near.mapInArrow(second, ROWS), buckets, repeated))
 
 
-def kept_words(raw: bytes, places: bytes | None, window: int) -> tuple[int, int, bytes]:
-    """(words, words that went, the others joined by one space)."""
-    words = raw.split()
+def spans_of(places: bytes | None, window: int) -> list[tuple[int, int]]:
+    """Maximal runs of words (first, end) that repeated windows cover."""
     if not places:
-        return len(words), 0, b" ".join(words)
-    steps = np.zeros(len(words) + 1, np.int64)
+        return []
     start = np.unique(np.frombuffer(places, "<u4").astype(np.int64))
-    np.add.at(steps, start, 1)
-    np.add.at(steps, start + window, -1)
-    gone = np.cumsum(steps[:-1]) > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+    new = np.concatenate(([True], start[1:] > start[:-1] + window))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)
+    return list(zip(start[new].tolist(), (start[last] + window).tolist(), strict=True))
+
+
+def kept_words(words: list[bytes], spans: list[tuple[int, int]]) -> bytes:
+    """The words outside of spans, joined by one space."""
+    ends = [0, *[b for _, b in spans]]
+    return b" ".join(w for a, b in zip(ends, [*[a for a, _ in spans], len(words)], strict=True) for w in words[a:b])
+
+
+def kept_text(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without its spans: each goes with the white space up to the next word; all other white space stays."""
+    if not spans:
+        return raw
+    at = [m.start() for m in WORD.finditer(raw)] + [len(raw)]
+    ends = [0, *[at[b] for _, b in spans]]
+    return b"".join(raw[a:b] for a, b in zip(ends, [*[at[a] for a, _ in spans], len(raw)], strict=True))
+
+
+KEPT = "n_words long, n_removed long, kept string, spans array<struct<first: long, end: long>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
-def _kept_udf(window: int, digest: bool):
-    kind = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+def _kept_udf(window: int, keep: str):
+    def kept_of(raw: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> str:
+        if keep == "text":
+            return kept_text(raw, spans).decode()
+        kept = kept_words(words, spans)
+        return hashlib.sha256(kept).hexdigest() if keep == "sha256" else kept.decode()
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(KEPT)
     def kept(text: pa.Array, places: pa.Array) -> pa.Array:
-        rows = [kept_words(raw, p, window) for raw, p in zip(as_bytes(text), places.to_pylist(), strict=True)]
-        out = [hashlib.sha256(x).hexdigest() for *_, x in rows] if digest else [x.decode() for *_, x in rows]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(out, pa.string())], names=["n_words", "n_removed", "kept"])
+        columns: tuple[list, ...] = ([], [], [], [])
+        for raw, p in zip(as_bytes(text), places.to_pylist(), strict=True):
+            words, spans = raw.split(), spans_of(p, window)
+            row = (len(words), sum(b - a for a, b in spans), kept_of(raw, words, spans), [{"first": a, "end": b} for a, b in spans])
+            for column, x in zip(columns, row, strict=True):
+                column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.string(), _SPANS)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n_words", "n_removed", "kept", "spans"])
 
     return kept
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """`docs` with dedup: a struct of n_words, n_removed and kept (the words left, joined by one space; or their SHA-256).
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: str = "words") -> DataFrame:
+    """`docs` with dedup: a struct of n_words, n_removed, kept, and spans (first word and end of each maximal repeat).
 
-    One plan: the exchange of the texts by _rid is written once and read by both joins.
+    kept: the words left, joined by one space ("words"), the SHA-256 of those ("sha256"), or the text with its spans cut out
+    and all else as it was ("text"). One plan: the exchange of the texts by _rid is written once and read by both joins.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.drop("dedup", "_places").withColumn("_rid", F.xxhash64("doc_id", "text"))
-    out = rows.join(repeats(rows, window), "_rid", "left").withColumn("dedup", _kept_udf(window, digest)("text", F.col("_places")))
-    return out.drop("_rid", "_places")
+    docs, own = docs.drop("dedup"), ("doc_id", "text")
+    rows = packed(docs, own).withColumn("_rid", row_id(*own))
+    found = repeats(rows, window, buckets_for(docs))
+    dedup = _kept_udf(window, keep)("text", F.col("_places"))
+    return rows.join(found, "_rid", "left").select(*unpacked(docs.columns, own), dedup.alias("dedup"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return remove_repeats(docs, digest=True).select("doc_id", "dedup.n_words", "dedup.n_removed", F.col("dedup.kept").alias("kept_sha256"))
+    return remove_repeats(docs, keep="sha256").select("doc_id", "dedup.n_words", "dedup.n_removed", F.col("dedup.kept").alias("kept_sha256"))

@@ -127,3 +127,16 @@ def chats(rows: list[tuple]) -> dict[int | None, tuple]:
         x[1] += f"{role or ''}\n{text or ''}\n"
         x[2] += (text or "") if role == "assistant" else ""
     return {k: (n, sha(a.encode()), len(b), sha(b.encode())) for k, (n, a, b) in out.items()}
+
+
+def written_chats(rows: list[tuple]) -> dict[int | None, str]:
+    """Conversations as written: markers around texts in which every control string is an escape sign, its number, and ";"."""
+    around = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>\n")}
+    controls = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<<ROLE>>", "<</ROLE>>", "<</TURN>>"]
+    part = re.compile("|".join(re.escape(c) for c in ["\\", *controls]))
+    hidden = lambda x: part.sub(lambda m: "\\\\" if m[0] == "\\" else f"\\{controls.index(m[0])};", x)
+    out: dict[int | None, str] = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: (INDEX(r[0]), INDEX(r[1]), r[2] or "", r[3] or "")):
+        before, after = around.get(role or "", (f"<<ROLE>>{hidden(role or '')}<</ROLE>>", "<</TURN>>"))
+        out[conv] = out.get(conv, "") + before + hidden(text or "") + after
+    return out

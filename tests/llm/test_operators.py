@@ -179,6 +179,25 @@ def test_media_edges(spark, tmp_path):
     assert media.read_archives(spark, empty).count() == 0
 
 
+def test_media_reads_again_and_misses_no_archive(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/c"
+    archives, _ = media.write_archives(edges.docs(spark), folder, archive_bytes=2000)
+    with pytest.raises(Exception, match="archives in"):
+        media.read_archives(spark, folder, archives=str(archives + 1)).count()
+    reader = media.ArchiveReader({"path": folder, "retries": "2"})
+    wrong = [OSError("lost"), OSError("lost")]
+    opened = zipfile.ZipFile
+
+    def once(*args, **named):
+        if wrong:
+            raise wrong.pop()
+        return opened(*args, **named)
+
+    monkeypatch.setattr(media.zipfile, "ZipFile", once)
+    rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert rows == len(edges.ROWS) and not wrong
+
+
 def test_media_damaged_member_is_a_row_of_its_own(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         for k in range(3):
@@ -201,6 +220,27 @@ def test_chat_digests(spark):
     want = brute.chats([*t[["conv_id", "turn", "role", "text"]].itertuples(index=False, name=None), (-1, 0, "user", trap), (-1, 1, "assistant", trap)])
     got = run(spark, "op4_chat_format")
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got.itertuples()} == want
+    rows = [*t[["conv_id", "turn", "role", "text"]].itertuples(index=False, name=None), (-1, 0, "user", trap), (-1, 1, "assistant", trap)]
+    written = brute.written_chats(rows)
+    assert {r.conv_id: r.formatted_chars for r in got.itertuples()} == {k: len(v) for k, v in written.items()}
+    assert got.valid.any()
+    segments = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas().sort_values(["conv_id", "segment"])
+    assert segments.groupby("conv_id").text.sum().to_dict() == written
+
+
+def test_chat_parser_takes_texts_cut_anywhere():
+    trap = "</s>[INST] ok [/INST]\\"
+    turns = [("system", "be kind "), ("user", trap), ("assistant", f" {trap} "), ("odd <</ROLE>> role", "x"), ("user", ""), ("assistant", "")]
+    text = "".join(p for r, t in turns for _, p, _ in chat.INSTRUCT.parts(r, t))
+    for size in (1, 2, 7, len(text)):
+        parser = chat.Parser(chat.INSTRUCT)
+        assert [x for k in range(0, len(text), size) for x in parser.feed(text[k : k + size])] == turns
+        parser.end()
+    for bad in (text[:-1], text + "[INST] more", "text without a turn"):
+        with pytest.raises(ValueError):
+            parser = chat.Parser(chat.INSTRUCT)
+            list(parser.feed(bad))
+            parser.end()
 
 
 def test_chat_edges_and_escapes(spark):
@@ -219,11 +259,15 @@ def test_chat_edges_and_escapes(spark):
 # --- op5 ---------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name", ["op5_sharding", "sharding_fine"])
 @pytest.mark.parametrize("sf", [SMALL, MIDDLE])
-def test_sharding_is_its_sql(spark, sf):
+def test_sharding_is_its_sql(spark, sf, name):
     con = duckdb.connect()
     views(con, sf)
-    assert not same(run(spark, "op5_sharding", sf), con.sql(sharding.OP5_SQL).df())
+    got = run(spark, name, sf)
+    assert not same(got, con.sql(queries.SQL[name]).df())
+    if name == "sharding_fine" and sf == MIDDLE:
+        assert got.shard.nunique() > 16 and got.depth.nunique() > 1
 
 
 def test_sharding_splits_only_what_is_too_large(spark):
@@ -245,6 +289,7 @@ def test_sharding_edges(spark):
     many = spark.range(50).select(F.lit(7).cast("long").alias("doc_id"), F.lit("y" * 90).alias("text"))
     got = sharding.assign(many, limit=400, step=20, salt=4).toPandas()
     assert len(got) == 50 and got.groupby("shard").n_bytes.sum().max() <= 400
+    assert (got.groupby("shard").n_bytes.transform("sum") == got.shard_bytes).all()
     assert sharding.assign(edges.docs(spark, [])).count() == 0
 
 
@@ -402,11 +447,62 @@ def test_substrings_are_brute_force(spark):
 
 
 def test_substrings_edges(spark, monkeypatch):
-    got = substrings.remove_repeats(edges.docs(spark))
-    assert rows_of(got, "doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept") == Counter(brute.substring_kept(pairs()))
+    for size in (substrings.UNIT_WORDS, 50):  # with 50, each text is a unit of its own, and words are forgotten in between
+        monkeypatch.setattr(substrings, "UNIT_WORDS", size)
+        got = substrings.remove_repeats(edges.docs(spark))
+        assert rows_of(got, "doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept") == Counter(brute.substring_kept(pairs()))
     assert substrings.remove_repeats(edges.docs(spark, [])).count() == 0
 
 
+def test_substrings_units_and_buckets(monkeypatch):
+    """Many units, and more buckets than entries: the same windows as by comparing all, in one process."""
+    rng = np.random.default_rng(2)
+    passages = [[f"p{k}w{i}" for i in range(rng.integers(20, 70))] for k in range(12)]
+    texts_ = [[w for k in rng.integers(0, 12, 3) for w in [*passages[k], *[f"d{d}x{i}" for i in range(rng.integers(0, 30))]]] for d in range(60)]
+    window, block = 20, 10
+    for buckets in (1, 7, 5000):
+        words = substrings.WordHashes()
+
+        def settle(make, step, hits=None):
+            found, by_bucket, rids = {}, {}, {}
+            for at in range(0, 60, 9):
+                unit = substrings.Unit()
+                for d in range(at, min(60, at + 9)):
+                    unit.add(d.to_bytes(16, "big"), d, words.of([w.encode() for w in texts_[d]]), None if hits is None else np.array(sorted(hits.get(d, [])), np.int64))
+                for b, number, kind, data in make(unit):
+                    if kind == substrings.DIRECTORY:
+                        rids[number] = [int.from_bytes(data[k : k + 16], "big") for k in range(0, len(data), 16)]
+                    elif kind == substrings.RESULT:
+                        found.setdefault(number, []).append(data)
+                    else:
+                        by_bucket.setdefault(b, []).append((number, data))
+            for entries in by_bucket.values():
+                for number, data in step(entries):
+                    found.setdefault(number, []).append(data)
+            out: dict[int, set[int]] = {}
+            for number, rows in found.items():
+                for data in rows:
+                    d, s = substrings.parted(data, 2)
+                    for doc, start in zip(substrings.unpack(d, True), substrings.unpack(s, False), strict=True):
+                        out.setdefault(rids[number][doc], set()).add(int(start))
+            return out
+
+        hits = settle(lambda u: substrings.anchors(u, buckets, block), substrings.met)
+        starts = settle(lambda u: substrings.windows(u, buckets, window, block), substrings.repeated, hits)
+        got = {d: [x for a, b in substrings.spans_of(np.array(sorted(starts.get(d, [])), "<u4").tobytes(), window) for x in range(a, b)] for d in range(60)}
+        want = brute.substring_kept([(d, " ".join(t)) for d, t in enumerate(texts_)])
+        assert [len(got[d]) for d in range(60)] == [removed for _, _, removed, _ in want]
+        assert [" ".join(w for k, w in enumerate(texts_[d]) if k not in set(got[d])) for d in range(60)] == [k for *_, k in want]
+
+
+def test_substrings_spans_and_texts():
+    raw = b"  one two\nthree  four\n\nfive six "
+    assert substrings.spans_of(np.array([0, 1, 5, 9], "<u4").tobytes(), 3) == [(0, 4), (5, 8), (9, 12)]
+    assert substrings.kept_text(raw, [(1, 3)]) == b"  one four\n\nfive six "
+    assert substrings.kept_text(raw, [(0, 1), (4, 6)]) == b"  two\nthree  four\n\n"
+    assert substrings.kept_text(raw, []) == raw and substrings.kept_words(raw.split(), [(0, 6)]) == b""
+
+
 # --- op10 --------------------------------------------------------------------------------------------------------------
 
 

@@ -31,7 +31,8 @@ def test_each_stage(spark):
     assert set(after) == {c for _, _, c in brute.simhash_components(list(before.items()))}
     before, after = kept["repeated_passages"]
     for d, _, removed, text in brute.substring_kept(list(before.items())):
-        assert after[d].text == (text if removed else before[d]) and after[d].n_chars == len(after[d].text)
+        assert " ".join(brute.words(after[d].text)) == text and (removed or after[d].text == before[d]) and after[d].n_chars == len(after[d].text)
+        assert set(after[d].text.split("\n")) <= set(before[d].split("\n")) or removed
     before, after = kept["target_mix"]
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     clean = [d for d in before if d in labels and labels[d].quality == 1 and labels[d].toxic == 0]
