@@ -1,48 +1,50 @@
-"""From raw documents to token ids: quality rules, near-duplicates, repeated passages, mixing, tokens."""
+"""From raw documents to token ids: quality rules, near-duplicates, repeated passages, mixing, tokens.
+
+Every stage takes all that the one before kept, and all but the last return the columns of documents. Nulls: a null text has
+no words, and the quality rules reject it; a null id, language or source is a value like others. Empty and very long texts
+are read whole. Rows of equal id and text are one document from the second stage on; of equal texts with other ids the
+smallest id stays. Empty tables pass through as empty. Extra columns ride along, whatever their names.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.llm.bpe import VOCABULARY, tokenize
-from cataloom.llm.common import cut, quoted, read
+from cataloom.llm.common import cut, packed, read, unpacked
 from cataloom.llm.mixing import mix
 from cataloom.llm.quality_rules import apply_rules
 from cataloom.llm.simhash import representatives
 from cataloom.llm.substrings import remove_repeats
 
 
-#: What the operators read; all other columns ride along in one struct, so that no name of theirs meets an operator's own.
+#: What the operators read.
 READ = ("doc_id", "text", "lang", "source")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    more = [c for c in docs.columns if c not in READ]
-    return docs.select(*[c for c in docs.columns if c in READ], *([F.struct(*map(quoted, more)).alias("_more")] if more else []))
-
-
-def unpacked(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of `docs`, in their order."""
-    return out.select(*[F.col(c) if c in READ else F.col("_more")[c].alias(c) for c in docs.columns])
+def through(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an operator keeps of `docs`, in their own columns."""
+    return operator(packed(docs, READ)).select(*unpacked(docs.columns, READ))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fences of their language and source keep."""
-    return unpacked(apply_rules(packed(docs)).where("kept"), docs)
+    return through(docs, lambda rows: apply_rules(rows).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return unpacked(representatives(packed(docs)), docs)
+    return through(docs, representatives)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that start earlier in the corpus; a text without any stays as it is."""
-    out = remove_repeats(packed(docs))
-    out = out.withColumn("text", F.when(F.col("dedup.n_removed") > 0, F.col("dedup.kept")).otherwise(F.col("text")))
-    out = unpacked(out, docs)
+    """Texts without passages that start earlier in the corpus; the rest of a text, with its lines, stays as it is."""
+    cut_out = F.when(F.col("dedup.n_removed") > 0, F.col("dedup.kept")).otherwise(F.col("text"))
+    out = through(docs, lambda rows: remove_repeats(rows, keep="text").withColumn("text", cut_out))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -50,8 +52,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by their rates, which are at most 1: after de-duplication nothing is repeated, and clean tokens all stay."""
-    mixed = mix(packed(docs), read(spark, sf_dir, "labels"), anchor="clean", most=1.0).where("copies > 0")
-    return unpacked(mixed, docs)
+    labels = read(spark, sf_dir, "labels")
+    return through(docs, lambda rows: mix(rows, labels, anchor="clean", most=1.0).where("copies > 0"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
