@@ -37,7 +37,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows with their lineage cut: written as a table in the shared folder and read again."""
+    """The same rows with their lineage cut: written as a table in the shared folder and read again.
+
+    Tables of texts are as large as the input: they are packed closer than usual.
+    """
     spark, folder = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.cut_folder = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what `cut` wrote, once nothing will read it again."""
+    for df in tables:
+        if folder := getattr(df, "cut_folder", None):
+            _delete(df.sparkSession, folder)
