@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.price import half_up
+from ..sources.shared import cut
 
 
 def top_values(events: DataFrame, name: str, value: Column, limit: int = 20, blank: str = "(不明)") -> DataFrame:
@@ -61,10 +62,25 @@ def price_buckets(rows: DataFrame, noun: Column, price: Column, pos: Column, mos
     return x.orderBy("first_pos").limit(most)
 
 
-def stride_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
-    """Every (n / k)-th row of each group, k at most."""
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """`rows` with rn (from 1, by `order` within a group) and group_rows.
+
+    Rows are dealt in ranges of (group, order), numbered within a range, and ranges start where those before end: a group of
+    any size is numbered by many tasks. The ranges are stored, since a number must not change when a task runs again.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(group)
-    x = rows.withColumn("rn", F.row_number().over(w.orderBy(order))).withColumn("step", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / k)))
-    return x.where(((F.col("rn") - 1) % F.col("step") == 0) & ((F.col("rn") - 1) / F.col("step") < k)).drop("rn", "step")
+    x = cut(rows.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = x.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    part = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(part.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_n").over(part).alias("group_rows"))
+    at = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order))
+    x = x.withColumn("rn", at).join(sizes, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return x.withColumn("rn", F.col("rn") + F.col("_before")).drop("_range", "_r", "_group", "_before")
+
+
+def stride_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
+    """Every (n / k)-th row of each group, k at most."""
+    x = numbered(rows, group, order).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("group_rows") / k)))
+    return x.where(((F.col("rn") - 1) % F.col("step") == 0) & ((F.col("rn") - 1) / F.col("step") < k)).drop("rn", "step", "group_rows")

@@ -28,17 +28,39 @@ def score(a: Column, b: Column, codes_a: Column, codes_b: Column) -> Column:
     return F.when(both & F.arrays_overlap(codes_a, codes_b), F.greatest(base, F.lit(0.85))).when(both, F.least(base, F.lit(0.35))).otherwise(base)
 
 
-def best_matches(queries: DataFrame, catalog: DataFrame, tokens: str = "tokens", threshold: float = 0.5, most_share: float = 0.5) -> DataFrame:
+def best_matches(queries: DataFrame, catalog: DataFrame, tokens: str = "tokens", threshold: float = 0.5, most_share: float = 0.5, rarest: int = 3) -> DataFrame:
     """(query_id, item_id, score) of the best item of each query.
 
-    Both frames have id, key, codes and an array of tokens. Candidates share a token; tokens that more than `most_share` of
-    the catalog has bring none, so that a word in every title doesn't pair everything. Ties go to the smallest item id.
+    Both frames have id, key, codes and an array of tokens. Candidates share one of a query's `rarest` tokens, of those that
+    the catalog has and at most `most_share` of it: common words pair nothing. Ties go to the smallest item id.
     """
-    known = distinctive(catalog, "id", F.col(tokens), most_share).select(F.col("id").alias("item_id"), "token")
+    known = distinctive(catalog, "id", F.col(tokens), most_share).select(F.col("id").alias("item_id"), "token", "df")
     asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(tokens)).alias("token"))
-    pairs = asked.join(known, "token").select("query_id", "item_id").distinct()
+    ranked = asked.join(known.select("token", "df").distinct(), "token").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # one query's own tokens
+    asked = ranked.select("query_id", F.explode(F.slice("t", 1, rarest)).alias("t")).select("query_id", "t.token")
+    pairs = asked.join(known.select("item_id", "token"), "token").select("query_id", "item_id").distinct()
     q = queries.select(F.col("id").alias("query_id"), F.col("key").alias("a"), F.col("codes").alias("ca"))
     c = catalog.select(F.col("id").alias("item_id"), F.col("key").alias("b"), F.col("codes").alias("cb"))
     scored = pairs.join(q, "query_id").join(c, "item_id").withColumn("score", score(F.col("a"), F.col("b"), F.col("ca"), F.col("cb")))
     best = scored.groupBy("query_id").agg(F.max(F.struct("score", -F.col("item_id"))).alias("m"))
     return best.select("query_id", (-F.col("m")["col2"]).alias("item_id"), F.col("m.score").alias("score")).where(F.col("score") >= threshold)
+
+
+def containing_sets(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, overlap), a < b, of sets that share at least `least` of the smaller one. `rows` has id and grams, a set.
+
+    A set of n grams that shares k = ceil(least * n) with another has one of its n - k + 1 rarest grams there too: those
+    alone are looked up, among all grams of sets at least as large. No pair is lost, and common grams pair little.
+    """
+    sized = rows.select("id", "grams", F.size("grams").alias("n")).where("n > 0")
+    every = sized.select("id", "n", F.explode("grams").alias("gram"))
+    df = every.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = every.join(df, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))  # one set's own grams
+    first = F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))
+    small = ranked.select(F.col("id").alias("s"), F.col("n").alias("sn"), F.explode(first).alias("g")).select("s", "sn", F.col("g.gram").alias("gram"))
+    pairs = small.join(every, "gram").where((F.col("sn") < F.col("n")) | ((F.col("sn") == F.col("n")) & (F.col("s") < F.col("id"))))
+    pairs = pairs.select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")).distinct()
+    one = lambda name, grams: sized.select(F.col("id").alias(name), F.col("grams").alias(grams))
+    both = pairs.join(one("a", "ga"), "a").join(one("b", "gb"), "b")
+    overlap = F.size(F.array_intersect("ga", "gb")) / F.least(F.size("ga"), F.size("gb"))
+    return both.select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= least)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, predicates, stores, text, urls
 from ..functions.price import parse_yen
-from ..sources.shared import cut
+from ..sources.shared import cut, release
 
 MARKET = ("market_price", "market_price_text", "market_url", "market_source")
 
@@ -73,7 +73,9 @@ def fold(items: DataFrame, into: DataFrame) -> DataFrame:
         "has_lottery": F.when(~F.coalesce("has_lottery", F.lit(False)) & F.coalesce("l", F.lit(False)), True).otherwise(F.col("has_lottery")),
         "highlights": F.coalesce(blank(F.col("highlights")), F.col("h.highlights"), F.col("highlights")),
     }
-    return cut(kept.select(*[new.get(c, F.col(c)).alias(c) for c in items.columns]), "fold")
+    out = cut(kept.select(*[new.get(c, F.col(c)).alias(c) for c in items.columns]), "fold")
+    release(into)
+    return out
 
 
 def collapse(items: DataFrame, key: Column, order: list[Column], sources: int = 1) -> DataFrame:
@@ -97,8 +99,9 @@ def identical_titles(items: DataFrame) -> DataFrame:
     """Within a source and title: equal days collapse; rows without a day of their own join the first dated row, else the month's."""
     month = clock.is_month_precision(F.col("event_date_text"))
     exact = F.col("event_date").isNotNull() & ~month
-    mark = F.concat_ws("|", "source", "title")
-    same = F.concat_ws("|", mark, exact.cast("string"), F.coalesce(F.col("event_date").cast("string"), F.lit("none")))
+    named = F.col("title").isNotNull()
+    mark = F.when(named, F.struct("source", "title"))
+    same = F.when(named, F.struct("source", "title", exact.alias("exact"), "event_date"))
     x = collapse(items, same, best_first())
     rank = F.when(exact, 0).when(F.col("event_date").isNotNull(), 1).otherwise(2)
     firsts = x.select(mark.alias("k"), rank.alias("rank"), "pos", "id").groupBy("k").agg(F.min(F.struct("rank", "pos", "id")).alias("first"))
@@ -110,8 +113,9 @@ def identical_titles(items: DataFrame) -> DataFrame:
 def same_product_page(items: DataFrame) -> DataFrame:
     """Rows of several sources that point to one product page on one day. A row's two addresses count one after the other."""
     for column in ("url", "official_url"):
-        key = F.when(F.col("event_date").isNotNull(), F.concat_ws("|", urls.product_key(F.col(column)), "event_date"))
-        items = collapse(items, F.when(urls.product_key(F.col(column)).isNotNull(), key), best_first(), sources=2)
+        page = urls.product_key(F.col(column))
+        key = F.when(F.col("event_date").isNotNull() & page.isNotNull(), F.struct(page.alias("page"), "event_date"))
+        items = collapse(items, key, best_first(), sources=2)
     return items
 
 
@@ -122,12 +126,17 @@ def across_sources(items: DataFrame, key: Column, least: int = 6) -> DataFrame:
 def contained_names(items: DataFrame, key: Column) -> DataFrame:
     """Within a source, page, stores and day the name that another of at least 8 characters contains goes into the longest such.
 
-    Names are compared within these groups by an equality join; a group is one page's rows of one day.
+    Only rows with a page: a group is one page's rows of one day. A name is contained only where its first characters are,
+    so the longer ones' pieces of up to `head` characters meet the shorter ones' beginnings; no group is compared as a whole.
     """
-    group = F.concat_ws("|", "source", "url", F.coalesce("stores", F.lit("none")), F.coalesce(F.col("event_date").cast("string"), F.lit("none")))
-    x = items.select("id", group.alias("g"), key.alias("name")).where(F.length("name") > 0)
-    a, b = x.where(F.length("name") >= 8).alias("a"), x.alias("b")
-    inside = a.join(b, F.col("a.g") == F.col("b.g")).where((F.col("a.name") != F.col("b.name")) & F.contains("a.name", "b.name"))
+    head = 4
+    group = F.struct("source", "url", "stores", "event_date")
+    x = items.where(blank(F.col("url")).isNotNull()).select("id", group.alias("g"), key.alias("name")).where(F.length("name") > 0)
+    place = F.sequence(F.lit(1), F.length("name"))
+    pieces = F.array_distinct(F.flatten(F.transform(place, lambda i: F.transform(F.sequence(F.lit(1), F.lit(head)), lambda n: F.substring("name", i, n)))))
+    a = x.where(F.length("name") >= 8).select("*", F.explode(pieces).alias("piece")).alias("a")
+    b = x.withColumn("piece", F.substring("name", 1, head)).alias("b")
+    inside = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.piece") == F.col("b.piece"))).where((F.col("a.name") != F.col("b.name")) & F.contains("a.name", "b.name"))
     longest = inside.groupBy(F.col("b.id").alias("id")).agg(F.min(F.struct(-F.length("a.name"), F.col("a.id"))).alias("o"))
     return fold(items, longest.select("id", F.col("o")["id"].alias("into")))
 
@@ -144,10 +153,10 @@ def already_listed(items: DataFrame, weaker: str, stronger: str) -> DataFrame:
 def sale_units(items: DataFrame) -> DataFrame:
     """Boxes and cartons of one product: if all units differ, the plain row stays, else a dated one."""
     unit, base = text.sale_unit(F.col("title")), text.unit_base(F.col("title"))
-    x = items.select("id", "source", "worth", "event_date", unit.alias("unit"), F.when(F.length(base) >= 8, F.concat_ws("|", "source", base)).alias("b"), F.coalesce(F.col("event_date").cast("string"), F.col("event_date_text")).alias("d")).where("b is not null")
+    x = items.select("id", "source", "worth", "event_date", unit.alias("unit"), F.when(F.length(base) >= 8, F.struct("source", base.alias("base"))).alias("b"), F.coalesce(F.col("event_date").cast("string"), F.col("event_date_text")).alias("d")).where("b is not null")
     days = x.groupBy("b").agg(F.min("d").alias("d1"), F.max("d").alias("d2"))
     x = x.join(days, "b").withColumn("many", F.coalesce(F.col("d1") != F.col("d2"), F.lit(False))).where(~F.col("many") | F.col("d").isNotNull())
-    x = x.withColumn("g", F.concat_ws("|", "b", F.when(F.col("many"), F.col("d")).otherwise("")))
+    x = x.withColumn("g", F.struct("b", F.when(F.col("many"), F.col("d")).alias("day")))
     group = x.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("unit", F.lit(""))).alias("labels"), F.count("unit").alias("labelled"), F.min(F.struct(F.col("unit").isNotNull().alias("u"), F.col("event_date").isNull().alias("e"), -F.col("worth"), F.col("id").alias("first_id"))).alias("best"))
     fine = group.where((F.col("n") > 1) & (F.col("labelled") > 0) & (F.col("labels") == F.col("n")))
     return fold(items, x.join(fine, "g").select("id", F.col("best.first_id").alias("into")).where("id <> into"))
@@ -156,7 +165,7 @@ def sale_units(items: DataFrame) -> DataFrame:
 def same_name_with_stores(items: DataFrame, key: Column, today: str) -> DataFrame:
     """Of rows with stores and one name in a source the one whose stores move soonest stays."""
     near = F.coalesce(stores.nearest_move(stores.parse_stores(F.col("stores")), today), F.lit(1 << 30))
-    k = F.when(F.col("stores").isNotNull() & (F.length(key) >= 8), F.concat_ws("|", "source", key))
+    k = F.when(F.col("stores").isNotNull() & (F.length(key) >= 8), F.struct("source", key.alias("name")))
     return collapse(items, k, [near, -F.col("worth")])
 
 
@@ -167,8 +176,7 @@ def resolve(items: DataFrame, today: str, weaker: str = "snkrdunk", stronger: st
     x = same_product_page(identical_titles(x))
     x = across_sources(x, key)
     x = across_sources(x, F.when(F.length(key) >= 10, text.anagram_key(key)), 10)
-    day_or = F.coalesce(F.col("event_date").cast("string"), F.lit("none"))
-    x = collapse(x, F.when(F.length(key) >= 8, F.concat_ws("|", source, key, day_or)), best_first())
+    x = collapse(x, F.when(F.length(key) >= 8, F.struct("source", key.alias("name"), "event_date")), best_first())
     x = already_listed(contained_names(x, key), weaker, stronger)
     x = same_name_with_stores(sale_units(x), key, today)
     planned = clock.planned_date(F.col("event_date_text"))

@@ -97,11 +97,12 @@ def _(spark, sf):
     return x.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in flags.items()]))).alias("status"), "id")
 
 
-@query("catalog_week_window", f"{ITEMS} SELECT id, event_date FROM items WHERE event_date >= DATE '1998-08-02' AND event_date < DATE '1998-08-03' OR event_date >= DATE '1998-08-03' AND event_date < DATE '1998-08-10' AND id % 2 = 0")
+@query("catalog_week_window", f"{ITEMS} SELECT day, id, event_date FROM items, (SELECT unnest(['1998-08-02', '1998-08-03']) AS day) WHERE event_date >= DATE '1998-08-02' AND event_date < DATE '1998-08-03' AND day = '1998-08-02' OR event_date >= DATE '1998-08-03' AND event_date < DATE '1998-08-10' AND day = '1998-08-03'")
 def _(spark, sf):
-    x = items(spark, sf)
-    sunday, monday = predicates.this_week(F.col("event_date"), "1998-08-02"), predicates.this_week(F.col("event_date"), "1998-08-03")
-    return x.where(sunday | (monday & (F.col("id") % 2 == 0))).select("id", "event_date")
+    """The weeks of a Sunday and of the Monday after it, each whole."""
+    days = ("1998-08-02", "1998-08-03")
+    week = F.array_compact(F.array(*[F.when(predicates.this_week(F.col("event_date"), d), F.lit(d)) for d in days]))
+    return items(spark, sf).select(F.explode(week).alias("day"), "id", "event_date")
 
 
 @query("catalog_month_window", f"{ITEMS} SELECT id, event_date FROM items WHERE event_date >= DATE '1998-08-02' AND event_date < DATE '1998-09-01'")
@@ -632,12 +633,11 @@ def _(spark, sf):
 BIGRAMS = "list_distinct(list_transform(generate_series(1, length({0}) - 1), lambda i: substr({0}, CAST(i AS INTEGER), 2)))"
 
 
-@query("bigram_overlap", "WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON substr(x.a, 1, 3) = substr(y.a, 1, 3) AND x.a < y.a) SELECT a, b, round(len(list_intersect(" + BIGRAMS.format("a") + ", " + BIGRAMS.format("b") + ")) / least(len(" + BIGRAMS.format("a") + "), len(" + BIGRAMS.format("b") + ")), 9) AS overlap FROM p")
+@query("bigram_overlap", "WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a < y.a) SELECT * FROM (SELECT a, b, round(len(list_intersect(" + BIGRAMS.format("a") + ", " + BIGRAMS.format("b") + ")) / least(len(" + BIGRAMS.format("a") + "), len(" + BIGRAMS.format("b") + ")), 9) AS overlap FROM p) WHERE overlap >= 0.3")
 def _(spark, sf):
-    n = table(spark, sf, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("a")).distinct()
-    m = n.withColumnRenamed("a", "b")
-    pairs = n.join(m, F.substring("a", 1, 3) == F.substring("b", 1, 3)).where("a < b")
-    return pairs.select("a", "b", F.round(text.bigram_overlap(F.col("a"), F.col("b")), 9).alias("overlap"))
+    n = table(spark, sf, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("id")).distinct()
+    sets = n.select("id", F.array_distinct(text.bigrams(F.col("id"))).alias("grams"))
+    return matching.containing_sets(sets, 0.3).select("a", "b", F.round("overlap", 9).alias("overlap"))
 
 
 @query("fuzzy_match")

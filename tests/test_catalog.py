@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cataloom.operators import resolve
+from cataloom.operators import matching, resolve
 from cataloom.plans import catalog_queries
 from cataloom.schema import ITEM, conform
 from tests.rows import same, views
@@ -51,3 +51,25 @@ def test_targets_need_several_sources(spark):
     x = resolve.with_order(item(spark, [{"id": k, "source": s, "title": t} for k, s, t in ((1, "a", "x"), (2, "b", "x"), (3, "a", "y"), (4, "a", "y"))]))
     got = {tuple(r) for r in resolve.targets(x, F.col("title"), [F.col("id")], sources=2).collect()}
     assert got == {(2, 1)}
+
+
+def test_keys_of_several_columns_do_not_run_together(spark):
+    x = resolve.with_order(item(spark, [{"id": 1, "source": "a", "title": "b|c"}, {"id": 2, "source": "a|b", "title": "c"}, {"id": 3, "source": "a", "title": "b|c"}, {"id": 4, "source": "a"}, {"id": 5, "source": "a"}]))
+    assert {r.id for r in resolve.identical_titles(x).collect()} in ({1, 2, 4, 5}, {2, 3, 4, 5})
+
+
+def test_contained_names_need_one_page(spark):
+    rows = [{"id": 1, "title": "Figure One"}, {"id": 2, "title": "Figure One Deluxe"}, {"id": 3, "title": "Figure Two", "url": "https://a.example/x"}, {"id": 4, "title": "New Figure Two Deluxe", "url": "https://a.example/x"}, {"id": 5, "title": "Fig", "url": "https://a.example/x"}]
+    x = resolve.with_order(item(spark, [{"source": "a", **r} for r in rows]))
+    key = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
+    assert {r.id for r in resolve.contained_names(x, key).collect()} == {1, 2, 4}
+
+
+def test_containing_sets_is_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = [(k, sorted({f"g{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 12))})) for k in range(60)]
+    for least in (0.2, 0.5, 0.8, 1.0):
+        got = {(r.a, r.b) for r in matching.containing_sets(spark.createDataFrame(sets, "id long, grams array<string>"), least).collect()}
+        assert got == {(a, b) for a, x in sets for b, y in sets if a < b and len({*x} & {*y}) / min(len(x), len(y)) >= least}
