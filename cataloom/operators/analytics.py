@@ -56,6 +56,20 @@ def upper_median(rows: DataFrame, value: Column, group: str) -> DataFrame:
     return run.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(group).agg(F.min("v").alias("median"))
 
 
+def distinct_titles(rows: DataFrame, title: str, code: str) -> DataFrame:
+    """Titles that several rows have get the row's code behind them, so that they can be told apart."""
+    often = rows.groupBy(title).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(title).alias("_title"))
+    x = rows.join(often, F.col(title) == F.col("_title"), "left")
+    both = F.when(F.col("_title").isNotNull() & ~F.col(title).contains(F.col(code)), F.concat(F.col(title), F.lit(" "), F.col(code))).otherwise(F.col(title))
+    return x.withColumn(title, both).drop("_title")
+
+
+def frequent_fragments(fragments: DataFrame, least: int = 3, most: int = 30, limit: int = 15) -> DataFrame:
+    """(fragment, n) of the commonest fragments of a length; `fragments` has fragment."""
+    x = fragments.where(F.length("fragment").between(least, most)).groupBy("fragment").agg(F.count("*").alias("n"))
+    return x.orderBy(F.desc("n"), "fragment").limit(limit)
+
+
 def price_buckets(rows: DataFrame, noun: Column, price: Column, pos: Column, most: int = 6) -> DataFrame:
     """Least and most of the first nouns, in the order they come."""
     x = rows.groupBy(noun.alias("noun")).agg(F.min(price).alias("low"), F.max(price).alias("high"), F.min(pos).alias("first_pos"))

@@ -261,14 +261,18 @@ def _(spark, sf):
 
 @query(
     "dedupe_contained_name",
-    """WITH n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name)
-  SELECT b.id, a.id AS into_id FROM n a JOIN n b ON split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) AND a.name <> b.name AND contains(a.name, b.name) AND length(a.name) >= 8""",
+    """WITH n AS (SELECT replace(p_name, ' ', '') AS name, min(p_partkey) AS id FROM part GROUP BY 1 UNION ALL SELECT substr(replace(p_name, ' ', ''), 3, 9), min(p_partkey) + 1000000 FROM part GROUP BY 1)
+  SELECT id FROM n b WHERE NOT EXISTS (SELECT 1 FROM n a WHERE a.name <> b.name AND contains(a.name, b.name) AND length(a.name) >= 8)""",
 )
 def _(spark, sf):
-    n = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    a, b = n.alias("a"), n.alias("b")
-    inside = a.join(b, F.split("a.name", " ")[0] == F.split("b.name", " ")[0]).where((F.col("a.name") != F.col("b.name")) & F.contains("a.name", "b.name") & (F.length("a.name") >= 8))
-    return inside.select(F.col("b.id").alias("id"), F.col("a.id").alias("into_id"))
+    """Names of one page, and pieces of them."""
+    from ..schema import ITEM, conform
+
+    plain = F.replace("p_name", F.lit(" "), F.lit(""))
+    names = lambda c, more: table(spark, sf, "part").groupBy(c.alias("title")).agg((F.min("p_partkey") + more).alias("id"))
+    x = names(plain, 0).unionByName(names(F.substring(plain, 3, 9), 1_000_000))
+    x = r.with_order(conform(x.withColumns({"source": F.lit("s"), "url": F.lit("https://shop.example/list")}), ITEM))
+    return r.contained_names(x, F.col("title")).select("id")
 
 
 @query(

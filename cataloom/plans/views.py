@@ -51,10 +51,24 @@ def lottery_page(items: DataFrame, today: str, raw_limit: int = 1000, limit: int
     return catalog(items, today, raw_limit, status="lottery").limit(limit)
 
 
+def by_listing() -> list[Column]:
+    return [F.col("store_listed_at").desc_nulls_last(), F.col("id").desc()]
+
+
+def abroad_rows(items: DataFrame, source: str, scope: str = "en", raw_limit: int = 4000) -> DataFrame:
+    return first(items.where((F.col("scope") == scope) & (F.col("source") == source)), by_listing(), raw_limit)
+
+
 def abroad(items: DataFrame, today: str, source: str, scope: str = "en", raw_limit: int = 4000) -> DataFrame:
-    rows = items.where((F.col("scope") == scope) & (F.col("source") == source))
-    order = [F.col("store_listed_at").desc_nulls_last(), F.col("id").desc()]
-    return r.resolve(first(rows, order, raw_limit), today).orderBy(*order)
+    return r.resolve(abroad_rows(items, source, scope, raw_limit), today).orderBy(*by_listing())
+
+
+def all_pages(*pages: DataFrame) -> DataFrame:
+    """Rows of all pages, each id once."""
+    out = pages[0].select("id")
+    for p in pages[1:]:
+        out = out.unionByName(p.select("id"))
+    return out.distinct()
 
 
 def month_page(items: DataFrame, today: str, month: str, raw_limit: int = 600, spill: int = 200, limit: int = 300) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cataloom.operators import matching, resolve
-from cataloom.plans import catalog_queries
+from cataloom.plans import catalog_queries, rule_queries
 from cataloom.schema import ITEM, conform
 from tests.rows import same, views
 
@@ -27,6 +27,10 @@ def test_query_is_its_sql(spark, sf, con, name):
     assert not same(catalog_queries.QUERIES[name](spark, sf).toPandas(), con.sql(catalog_queries.SQL[name]).df())
 
 
+def test_rules_are_among_the_queries():
+    assert {"row_findings", "date_labels"} <= catalog_queries.QUERIES.keys() and rule_queries.query is catalog_queries.query
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "genre", "event_type", "event_date"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
