@@ -68,7 +68,8 @@ def row_id(*columns: str) -> Column:
     """128 bits for a row's values: two hashes with seeds of their own, so that no two rows of a corpus meet by chance."""
     part = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
     nulls = F.struct(*[F.col(c).isNull() for c in columns])  # the hashes pass over nulls
-    return F.unhex(F.concat(part(nulls, *columns), part(F.lit(1), nulls, *columns)))
+    bits = F.unhex(F.concat(part(nulls, *columns), part(F.lit(1), nulls, *columns)))
+    return F.coalesce(bits, F.lit(b""))  # never null, and so known to be: no join by it filters first, and all share one exchange
 
 
 def crc32_of_id(column: str = "doc_id"):
