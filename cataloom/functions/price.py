@@ -54,3 +54,8 @@ def is_suspect_pack_price(genre: Column, title: Column, price: Column) -> Column
     """A single pack at the price of a box."""
     y = parse_yen(F.split(price, " / ")[0])
     return F.coalesce((y >= 3000) & genre.isin("トレカ", "ポケモン") & title.contains("パック") & ~title.rlike("BOX|ＢＯＸ|box|箱|入り|カートン|セット"), F.lit(False))
+
+
+def first_number(text: Column) -> Column:
+    """The first number of a price, commas aside; what a product's units are ordered by, nulls last."""
+    return F.nullif(F.regexp_extract(F.replace(text, F.lit(",")), r"\d+", 0), F.lit("")).try_cast("long")

@@ -114,3 +114,46 @@ def merge_prizes(old: Column, new: Column) -> Column:
         return F.struct(*[(F.when(take, first[n]).otherwise(p[n]) if n in facts else p[n]).alias(n) for n in PRIZE.names])
 
     return F.when(old.isNull(), new).otherwise(F.transform(new, carried))
+
+
+#: What a line-up of prizes begins with, what stands between prizes, and labels of those that collectors pay for (fixed values).
+LINEUP_PREFIX, BETWEEN_PRIZES = "各賞ラインナップ：", "／"
+HOT_LABELS, HOT_PARTS = ("A賞",), ("ラストワン", "ダブルチャンス")
+
+
+def lineup(highlights: Column) -> Column:
+    """array<struct<label, name>> of a line-up in words; an entry without a prize's label is all label. Null for other texts."""
+    body = F.regexp_replace(F.substr(highlights, F.lit(len(LINEUP_PREFIX) + 1)), r"（全\d+種）\s*$", "")
+    entries = F.filter(F.transform(F.split(body, BETWEEN_PRIZES), lambda e: F.trim(e)), lambda e: e != "")
+    label = lambda e: F.regexp_extract(e, r"^(.+?賞)\s+(.+)$", 1)
+    made = F.transform(entries, lambda e: F.struct(F.coalesce(F.nullif(label(e), F.lit("")), e).alias("label"), F.trim(F.regexp_extract(e, r"^(.+?賞)\s+(.+)$", 2)).alias("name")))
+    return F.when(highlights.startswith(LINEUP_PREFIX) & (F.size(made) > 0), made)
+
+
+def is_hot(label: Column) -> Column:
+    hot = label.isin(*HOT_LABELS)
+    for part in HOT_PARTS:
+        hot |= label.contains(part)
+    return F.coalesce(hot, F.lit(False))
+
+
+def notable(prizes: Column) -> Column:
+    return F.filter(prizes, lambda p: is_hot(p["label"]))
+
+
+def ended_summary(stores: Column, today: str | Column, days: int = 60, most: int = 3) -> Column:
+    """struct(summary, url) of stores that closed lately, in their order; null if none drew lots, or none has an address.
+
+    A store's own page goes before a form. A day still to come says that the list isn't one of ended stores.
+    """
+    t, at = day(today), lambda s: F.try_to_date(s["at"])
+    dated = F.filter(stores, lambda s: at(s).isNotNull())
+    recent = F.filter(dated, lambda s: F.datediff(t, at(s)) <= days)
+    newest = F.array_max(F.transform(dated, at))
+    linked = F.filter(recent, lambda s: F.length(s["url"]) > 0)
+    pages = F.filter(linked, lambda s: ~F.lower(s["url"]).rlike(r"docs\.google\.com|forms\.gle"))
+    url = F.coalesce(F.get(pages, 0)["url"], F.get(linked, 0)["url"])
+    label = lambda s: F.concat(s["name"], F.lit("（"), F.month(at(s)).cast("string"), F.lit("/"), F.dayofmonth(at(s)).cast("string"), F.lit("）"))
+    lots = F.exists(recent, lambda s: F.coalesce(s["form"].contains("抽選"), F.lit(False)))
+    text = F.array_join(F.transform(F.slice(recent, 1, most), label), "・")
+    return F.when(F.datediff(t, newest).between(0, days) & lots & url.isNotNull(), F.struct(text.alias("summary"), url.alias("url")))

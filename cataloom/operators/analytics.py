@@ -98,3 +98,14 @@ def stride_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """Every (n / k)-th row of each group, k at most."""
     x = numbered(rows, group, order).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("group_rows") / k)))
     return x.where(((F.col("rn") - 1) % F.col("step") == 0) & ((F.col("rn") - 1) / F.col("step") < k)).drop("rn", "step", "group_rows")
+
+
+def seeded_sample(rows: DataFrame, id_: str, seed: int, n: int) -> DataFrame:
+    """n rows that a seed chooses, the same in every run and for every layout: the least digests of seed and id."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string")))
+    return rows.orderBy(digest, id_).limit(n)
+
+
+def baseline_gate(checked: Column, unusable: Column, most: float = 0.2) -> Column:
+    """Whether a run read enough to be a baseline: of all it looked at, at most that share was unusable."""
+    return F.coalesce(unusable / F.nullif(checked + unusable, F.lit(0)), F.lit(0.0)) <= most

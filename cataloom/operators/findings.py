@@ -82,3 +82,27 @@ def code_conflicts(items: DataFrame, code: Column, tokens: Column) -> DataFrame:
 def zero_adoption(adopted: Column, crawled: Column) -> Column:
     """What a crawl that took nothing over says: nothing was there, or all was passed over."""
     return F.when(adopted > 0, "ok").when(crawled == 0, "nothing_crawled").otherwise("nothing_adopted")
+
+
+def label_checks(today: str, windowed: tuple[str, ...] = (), window_days: int = 44) -> dict[str, Column]:
+    """Conditions over what a row shows; sources in `windowed` list nothing older than so many days."""
+    d, h, given = F.col("event_date"), F.col("highlights"), lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    listed = F.split(F.substr(h, F.lit(len(stores.SUMMARY_PREFIX) + 1)), "、")
+    return {
+        "lottery_no_evidence": F.col("has_lottery") & ~given(h) & ~given(F.col("prizes")),
+        "dangling_particle": text.looks_truncated(F.col("title")),
+        "stores_indistinguishable": h.startswith(stores.SUMMARY_PREFIX) & (F.size(F.array_distinct(listed)) < F.size(listed)),
+        "undated_month_in_title": clock.date_label(d, F.col("event_date_text"), today).isNull() & clock.month_from_title(F.col("title"), today).isNotNull(),
+        "recent_window_overrun": F.col("source").isin(*windowed) & (d < F.date_sub(clock.day(today), window_days)),
+    }
+
+
+def out_of_month(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Rows of a month's page whose period has no day in [start, end)."""
+    period = clock.period(F.col("event_date"), stores.store_days(stores.parse_stores(F.col("stores"))))
+    return rows.where(~clock.overlaps(period, start, end)).select(F.lit("month_page_out_of_range").alias("finding"), "id")
+
+
+def appearing(items: DataFrame, today: str, later: str) -> DataFrame:
+    """Findings that the calendar alone will bring: there on the later day, and not today."""
+    return of_rows(items, row_checks(later)).join(of_rows(items, row_checks(today)), ["finding", "id"], "left_anti")

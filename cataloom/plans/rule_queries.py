@@ -290,3 +290,134 @@ def _(spark, sf):
 def _(spark, sf):
     n = F.col("n_chars")
     return table(spark, sf, "documents").groupBy("source").agg(findings.zero_adoption(F.count_if(n > 19000), F.count_if(n > 9000)).alias("verdict"))
+
+
+# --- days, titles and prizes in words -----------------------------------------------------------------------------------
+
+
+@query(
+    "day_texts",
+    """WITH t AS (SELECT p_partkey AS id, CAST(p_size % 14 AS INTEGER) AS m, CAST(p_size % 33 AS INTEGER) AS d, CAST(p_size % 12 + 1 AS INTEGER) AS s FROM part)
+  SELECT id, CASE WHEN m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN make_date(1998, m, 1) + (d - 1) END AS compact,
+  make_date(CASE WHEN s < 10 THEN 1999 ELSE 1998 END, s, 1) + d AS slash, CASE WHEN s >= 9 THEN make_date(1998, s, 1) END AS planned FROM t""",
+)
+def _(spark, sf):
+    m, d, s = F.col("p_size") % 14, F.col("p_size") % 33, F.col("p_size") % 12 + 1
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    compact = clock.compact_day(F.concat(F.lit("1998"), two(m), two(d)))
+    slash = clock.slash_day(F.concat(s.cast("string"), F.lit("/"), (d + 1).cast("string"), F.lit(" (木)")), 1998, 11)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), compact.alias("compact"), slash.alias("slash"), clock.month_plan(F.lit(1998), s, TODAY).alias("planned"))
+
+
+@query(
+    "repaired_years",
+    """WITH t AS (SELECT p_partkey AS id, DATE '1998-06-01' AS a, DATE '1998-06-01' + CAST(p_size - 25 AS INTEGER) AS b, DATE '1998-05-22' AS c FROM part),
+  u AS (SELECT id, a, c, CASE WHEN b > a THEN CAST(b - INTERVAL 1 YEAR AS DATE) ELSE b END AS b FROM t)
+  SELECT id, a, b, CASE WHEN c > b THEN CAST(c - INTERVAL 1 YEAR AS DATE) ELSE c END AS c FROM u""",
+)
+def _(spark, sf):
+    first = F.lit("1998-06-01").cast("date")
+    days = F.array(first, F.lit(None).cast("date"), F.date_add(first, F.col("p_size") - 25), F.date_sub(first, 10))
+    x = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), clock.repaired_years(days).alias("k"))
+    return x.select("id", F.col("k")[0].alias("a"), F.col("k")[2].alias("b"), F.col("k")[3].alias("c"))
+
+
+@query("balanced_titles", "SELECT p_partkey AS id, p_name || CASE p_size % 4 WHEN 0 THEN ' A' WHEN 1 THEN ' B(x)' WHEN 2 THEN ' 「ok」' ELSE ' (c)' END AS title FROM part")
+def _(spark, sf):
+    k = F.col("p_size") % 4
+    tail = F.when(k == 0, " 【A").when(k == 1, " B】】(x)").when(k == 2, " 「ok」 ").otherwise(" ((c)")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.without_unmatched(F.concat("p_name", tail)).alias("title"))
+
+
+@query("truncated_titles", "SELECT p_partkey AS id, p_size % 4 = 0 AS truncated FROM part")
+def _(spark, sf):
+    k = F.col("p_size") % 4
+    title = F.when(k == 2, "名前の").otherwise(F.concat("p_name", F.when(k == 0, " 名前の").when(k == 1, " たきもの").otherwise(" x")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.looks_truncated(title).alias("truncated"))
+
+
+@query("stale_numbers", "SELECT p_partkey AS id, concat_ws(' ', CASE WHEN p_size NOT IN (10, 20) THEN CAST(p_size AS VARCHAR) || ',000件' END, CASE WHEN p_size % 7 <> 3 THEN CAST(p_size % 7 AS VARCHAR) || 'ジャンル' END) AS stale FROM part")
+def _(spark, sf):
+    n = F.col("p_size")
+    said = F.concat(n.cast("string"), F.lit(",000件 / "), (n % 7).cast("string"), F.lit("ジャンル"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.stale_claims(said, {"件": [10000, 20000], "ジャンル": [3]}), " ").alias("stale"))
+
+
+@query("identity_words", "WITH t AS (SELECT p_partkey AS id, list_filter(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' '), lambda x: length(x) >= 3) AS l FROM part) SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:6], ' ') AS words FROM t")
+def _(spark, sf):
+    title = F.concat("p_name", F.lit("【"), "p_type", F.lit("】限定 Box "), "p_brand")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.identity_words(title), " ").alias("words"))
+
+
+@query("kuji_lineups", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'A賞|ラストワン賞|B賞' END AS labels, CASE WHEN p_size % 2 = 0 THEN p_name || '|' || p_type || '|' END AS names, CASE WHEN p_size % 2 = 0 THEN 'A賞|ラストワン賞' END AS hot FROM part")
+def _(spark, sf):
+    body = F.concat(F.lit("：A賞 "), "p_name", F.lit("／ラストワン賞 "), "p_type", F.lit("／ B賞／（全5種）"))
+    made = stores.lineup(F.concat(F.when(F.col("p_size") % 2 == 0, "各賞ラインナップ").otherwise("賞"), body))
+    x = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), made.alias("p"))
+    return x.select("id", F.array_join("p.label", "|").alias("labels"), F.array_join("p.name", "|").alias("names"), F.array_join(stores.notable(F.col("p"))["label"], "|").alias("hot"))
+
+
+@query(
+    "ended_stores",
+    f"""WITH t AS (SELECT p_partkey AS id, p_size AS n, {DAY} - CAST(p_size AS INTEGER) AS a, {DAY} - CAST(p_size + 20 AS INTEGER) AS b FROM part)
+  SELECT id, 'S（' || month(a) || '/' || day(a) || '）' || CASE WHEN n <= 40 THEN '・T（' || month(b) || '/' || day(b) || '）' ELSE '' END AS summary,
+  CASE WHEN n <= 40 THEN 'https://shop.example/t' ELSE 'https://forms.gle/s' END AS url FROM t WHERE n % 2 = 0""",
+)
+def _(spark, sf):
+    n = F.col("p_size")
+    ago = lambda k: F.date_format(F.date_sub(clock.day(TODAY), k), "yyyy-MM-dd")
+    one = lambda name, url, form, at: F.struct(F.lit(name).alias("name"), F.lit(url).alias("url"), form.alias("form"), at.alias("at"))
+    closed = F.array(one("S", "https://forms.gle/s", F.when(n % 2 == 0, "抽選販売").otherwise("先着"), ago(n)), one("T", "https://shop.example/t", F.lit("先着"), ago(n + 20)))
+    x = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), stores.ended_summary(closed, TODAY).alias("e")).where("e is not null")
+    return x.select("id", "e.summary", "e.url")
+
+
+@query("unit_order", "SELECT p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN CAST(p_size * 1000 AS BIGINT) END AS yen FROM part ORDER BY yen NULLS LAST, id LIMIT 50")
+def _(spark, sf):
+    shown = F.when(F.col("p_size") % 5 == 0, "未定").otherwise(F.concat(F.lit("¥"), F.col("p_size").cast("string"), F.lit(",000 x 2")))
+    x = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), price.first_number(shown).alias("yen"))
+    return x.orderBy(F.asc_nulls_last("yen"), "id").limit(50)
+
+
+@query("seeded_sample", "SELECT p_partkey AS id FROM part ORDER BY md5('20240120:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 30")
+def _(spark, sf):
+    return analytics.seeded_sample(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), "id", 20240120, 30)
+
+
+@query("baseline_gate", "SELECT source, count(*) FILTER (n_chars < 200) <= 0.2 * count(*) AS writable FROM documents GROUP BY source")
+def _(spark, sf):
+    short = F.count_if(F.col("n_chars") < 200)
+    return table(spark, sf, "documents").groupBy("source").agg(analytics.baseline_gate(F.count("*") - short, short).alias("writable"))
+
+
+# --- findings of what is shown, and of days to come ---------------------------------------------------------------------
+
+
+@query(
+    "label_findings",
+    f"""{ITEMS} SELECT 'lottery_no_evidence' AS finding, id FROM items WHERE has_lottery AND id % 6 > 1
+  UNION ALL SELECT 'dangling_particle', id FROM items WHERE id % 10 = 0 UNION ALL SELECT 'stores_indistinguishable', id FROM items WHERE id % 6 = 0
+  UNION ALL SELECT 'undated_month_in_title', id FROM items WHERE id % 10 = 1 AND event_date IS NULL
+  UNION ALL SELECT 'recent_window_overrun', id FROM items WHERE source = 'src3' AND event_date < {DAY} - 44""",
+)
+def _(spark, sf):
+    k = F.col("id")
+    title = F.concat("title", F.when(k % 10 == 0, " 名前の").when(k % 10 == 1, " 9月発売").otherwise(""))
+    x = items(spark, sf).withColumns({"title": title, "highlights": F.when(k % 6 == 0, "受付中ストア：S、S").when(k % 6 == 1, "受付中ストア：S、T")})
+    return findings.of_rows(conform(x, ITEM), findings.label_checks(TODAY, ("src3",)))
+
+
+@query("month_page_findings", f"{ITEMS} SELECT 'month_page_out_of_range' AS finding, id FROM items WHERE (event_date IS NULL OR event_date < DATE '1998-08-01' OR event_date >= DATE '1998-09-01') AND NOT (id % 4 = 0 AND (event_date IS NULL OR event_date < DATE '1998-09-01' + 62))")
+def _(spark, sf):
+    x = items(spark, sf).withColumn("stores", F.when(F.col("id") % 4 == 0, '[{"name":"S","at":"1998-08-10","kind":"締切"}]'))
+    return findings.out_of_month(conform(x, ITEM), F.lit("1998-08-01").cast("date"), F.lit("1998-09-01").cast("date"))
+
+
+@query(
+    "findings_to_come",
+    f"""{ITEMS}, p AS (SELECT id, event_date AS d, {TYPES} AS type, CASE id % 6 WHEN 0 THEN event_date WHEN 1 THEN event_date + 1 WHEN 3 THEN DATE '1997-03-08' END AS planned FROM items)
+  SELECT 'date_text_past' AS finding, id FROM p WHERE planned >= {DAY} AND planned < {DAY} + 7
+  UNION ALL SELECT 'stale_promise', id FROM p WHERE type <> '発売' AND coalesce(planned, d) >= {DAY} AND coalesce(planned, d) < {DAY} + 7""",
+)
+def _(spark, sf):
+    return findings.appearing(checked(spark, sf), TODAY, "1998-08-09")
