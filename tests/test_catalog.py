@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cataloom.functions import clock, price, stores, text
 from cataloom.operators import matching, resolve
 from cataloom.plans import catalog_queries, rule_queries
 from cataloom.schema import ITEM, conform
@@ -77,3 +78,12 @@ def test_containing_sets_is_all_pairs(spark):
     for least in (0.2, 0.5, 0.8, 1.0):
         got = {(r.a, r.b) for r in matching.containing_sets(spark.createDataFrame(sets, "id long, grams array<string>"), least).collect()}
         assert got == {(a, b) for a, x in sets for b, y in sets if a < b and len({*x} & {*y}) / min(len(x), len(y)) >= least}
+
+
+def test_rules_of_nulls_and_empty_texts(spark):
+    x = spark.createDataFrame([(1, None), (2, ""), (3, "）a（b（")], "id int, t string")
+    none = F.lit(None).cast("array<struct<name:string,url:string,form:string,at:string>>")
+    day = clock.compact_day(F.col("t")).isNull() & clock.slash_day(F.col("t"), 1998, 8).isNull() & stores.ended_summary(none, "1998-08-02").isNull()
+    got = x.select("id", text.without_unmatched(F.col("t")), text.looks_truncated(F.col("t")), F.size(text.stale_claims(F.col("t"), {"件": [1]})), stores.lineup(F.col("t")).isNull() | F.lit(False), day, price.first_number(F.col("t")))
+    assert [tuple(r)[:4] for r in got.orderBy("id").collect()] == [(1, None, False, 0), (2, "", False, 0), (3, "）a（b", False, 0)]
+    assert all(r[5] and r[6] is None for r in got.collect())
