@@ -69,3 +69,16 @@ def log_decision(opted_out: Column, production: Column, agent: Column) -> Column
     """skip or store, and why; the first reason that holds."""
     why = F.when(opted_out, "opted_out").when(~production, "not_production").when(F.lower(agent).rlike(AUTOMATION), "automation").when(F.lower(agent).rlike(CRAWLERS), "crawler")
     return F.struct(F.when(why.isNull(), "store").otherwise("skip").alias("action"), why.alias("reason"))
+
+
+#: Names of one's own machine, and the ends of names of development and preview hosts (fixed values).
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1", "[::1]")
+TRIAL_HOSTS = (".localhost", ".local", ".vercel.app")
+
+
+def is_production_host(name: Column) -> Column:
+    h = F.lower(name)
+    trial = h.isin(*LOCAL_HOSTS)
+    for end in TRIAL_HOSTS:
+        trial |= h.endswith(end)
+    return ~trial

@@ -5,6 +5,9 @@ Conditions of rows are told in one pass. Groups are counted with partial sums, a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,3 +109,75 @@ def out_of_month(rows: DataFrame, start: Column, end: Column) -> DataFrame:
 def appearing(items: DataFrame, today: str, later: str) -> DataFrame:
     """Findings that the calendar alone will bring: there on the later day, and not today."""
     return of_rows(items, row_checks(later)).join(of_rows(items, row_checks(today)), ["finding", "id"], "left_anti")
+
+
+#: What a market label must name, addresses of one's own that must not be kept, and signs that an address was never read (fixed values).
+MARKET_KINDS = "中古|新品|メルカリ|実売|落札"
+OWN_LINKS = r"(?i)^https?://hb\.afl\.rakuten\.co\.jp/"
+ENTITIES = r"&(amp|lt|gt|quot|#0?39);"
+#: Characters of broken decoding: the replacement mark, and controls other than tab and line ends.
+BROKEN = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"
+MOST_YEN, MOST_PRIZE_RATIO = 3_000_000, 40
+
+
+def value_checks(today: str) -> dict[str, Column]:
+    """Conditions over what a row keeps: prices, years, addresses, characters, and days that its stores tell anew. Null counts as false."""
+    d, t, face = F.col("event_date"), F.col("event_date_text"), price.parse_yen(F.split(F.col("price"), " / ")[0])
+    shops = stores.parse_stores(F.col("stores"))
+    deadline = stores.last_deadline(shops)
+    any_store = lambda pattern: F.exists(shops, lambda s: F.coalesce(s["url"].rlike(pattern), F.lit(False)))
+    in_any = lambda pattern, *names: reduce(or_, [F.coalesce(F.col(n).rlike(pattern), F.lit(False)) for n in names])
+    odd_prize = lambda p: p["resalePrice"].isNotNull() & (
+        F.coalesce((F.length(p["resaleText"]) > 0) & ~p["resaleText"].rlike(MARKET_KINDS), F.lit(False)) | F.coalesce(p["resalePrice"] >= MOST_PRIZE_RATIO * face, F.lit(False))
+    )
+    return {
+        "price_absurd": face > MOST_YEN,
+        "market_label": F.col("market_price").isNotNull() & ~F.coalesce(F.col("market_price_text"), F.lit("")).rlike(MARKET_KINDS),
+        "date_year_guessed": (d > F.add_months(clock.day(today), 12)) & ~F.coalesce(t, F.lit("")).rlike(r"\d{4}\s*年|\d{4}[/-]"),
+        "date_fabricated_precision": clock.is_month_precision(t) & clock.date_label(d, t, today).rlike(r"\d{1,2}/\d{1,2}"),
+        "text_broken_char": in_any(BROKEN, "title", "highlights"),
+        "prizes_resale_suspect": F.exists(stores.parse_prizes(F.col("prizes")), odd_prize),
+        "eventdate_not_recomputable": deadline.isNotNull() & ~d.eqNullSafe(deadline),
+        "own_affiliate_stored": in_any(OWN_LINKS, "url", "official_url") | F.coalesce(any_store(OWN_LINKS), F.lit(False)),
+        "official_url_entity": in_any(ENTITIES, "official_url") | F.coalesce(any_store(ENTITIES), F.lit(False)),
+    }
+
+
+def scope_leaks(page_rows: DataFrame, allowed: list[str]) -> DataFrame:
+    """(page, id) of rows (page, id, scope) of the foreign scope on pages that aren't for it."""
+    return page_rows.where((F.col("scope") == "en") & ~F.col("page").isin(*allowed)).select("page", "id")
+
+
+def open_but_hidden(items: DataFrame, shown: DataFrame, key: Column, today: str) -> DataFrame:
+    """(finding, id) of rows with a deadline still to come that no page shows, nor another row of the same key. `shown` has id."""
+    soonest = stores.soonest_open(stores.parse_stores(F.col("stores")), today)
+    keyed = items.select("id", key.alias("key"), soonest.isNotNull().alias("open"))
+    seen_keys = keyed.join(shown.select("id"), "id", "left_semi").select("key").distinct()
+    hidden = keyed.where("open").join(shown.select("id"), "id", "left_anti").join(seen_keys, "key", "left_anti")
+    return hidden.select(F.lit("stores_open_but_hidden").alias("finding"), "id")
+
+
+def prize_prices(items: DataFrame, priced_before: int, today: str, ripe_days: int = 14, least: int = 5) -> DataFrame:
+    """One row (finding) for each way in which resale prices of prizes have died: none on ripe rows, or none left of those before."""
+    prizes = stores.parse_prizes(F.col("prizes"))
+    priced = F.size(F.filter(prizes, lambda p: p["resalePrice"].isNotNull()))
+    ripe = F.coalesce((F.length("prizes") > 0) & (F.col("event_date") < F.date_sub(clock.day(today), ripe_days)), F.lit(False))
+    x = items.select(ripe.alias("ripe"), F.when(prizes.isNotNull(), priced).otherwise(0).alias("priced"))
+    n = x.agg(F.count_if("ripe").alias("ripe"), F.count_if(F.col("ripe") & (F.col("priced") > 0)).alias("ripe_priced"), F.coalesce(F.sum("priced"), F.lit(0)).alias("priced"))
+    dead = F.when((F.col("ripe") >= least) & (F.col("ripe_priced") == 0), "prizes_resale_missing")
+    lost = F.when((F.col("priced") == 0) & (F.lit(priced_before) > 0), "prizes_resale_lost")
+    return n.select(F.explode(F.array_compact(F.array(dead, lost))).alias("finding"))
+
+
+def dead_faces(items: DataFrame, faces: dict[str, Column], before: DataFrame, least: int = 5) -> DataFrame:
+    """(face, was) of intakes, each a condition of rows, that had `least` rows before (face, n) and have none."""
+    counts = items.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in faces.items()])
+    now = counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("face"), F.col(name).alias("now")) for name in faces])).alias("f")).select("f.*")
+    return now.join(before, "face").where((F.col("now") == 0) & (F.col("n") >= least)).select("face", F.col("n").alias("was"))
+
+
+def lost_routes(items: DataFrame, official_sources: list[str], before: DataFrame, least: int = 20) -> DataFrame:
+    """(source, now) of sources of which under half as many rows as before (source, rate) lead to an official page; half or more did."""
+    has = F.col("source").isin(*official_sources) | F.coalesce(F.length("official_url") > 0, F.lit(False)) | stores.parse_stores(F.col("stores")).isNotNull()
+    now = items.groupBy("source").agg(F.count("*").alias("n"), F.avg(has.cast("int")).alias("now"))
+    return now.join(before, "source").where((F.col("n") >= least) & (F.col("rate") >= 0.5) & (F.col("now") < F.col("rate") / 2)).select("source", F.round("now", 4).alias("now"))

@@ -421,3 +421,113 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return findings.appearing(checked(spark, sf), TODAY, "1998-08-09")
+
+
+# --- findings of kept values, faces and routes --------------------------------------------------------------------------
+
+
+def kept_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as items whose prices, labels, addresses and deadlines are wrong by key."""
+    k, day = F.col("id"), F.col("event_date")
+    prize = F.concat(F.lit('[{"label":"A","name":"x","resalePrice":'), F.when(k % 7 == 0, "40000").otherwise("900"), F.lit(',"resaleText":"'), F.when(k % 7 == 1, "?").otherwise("中古"), F.lit('"},{"label":"B","name":"y"}]'))
+    shop = F.concat(F.lit('[{"name":"S","kind":"締切","at":"1998-08-10","url":"'), F.when(k % 8 == 0, "https://hb.afl.rakuten.co.jp/x").when(k % 8 == 4, "https://a.example/?a=1&amp;b=2").otherwise("https://a.example/"), F.lit('"}]'))
+    x = items(spark, sf).withColumns(
+        {
+            "price": F.when(k % 50 == 0, "4,000,000円 / BOX").otherwise("1,000円 / 2回"), "market_price": F.when(k % 3 == 0, 500), "market_price_text": F.when(k % 6 == 0, "中古 500円"),
+            "event_date_text": F.when(k % 5 == 0, F.concat(F.year(day).cast("string"), F.lit("年"), F.month(day).cast("string"), F.lit("月"))).otherwise("近日"),
+            "title": F.when(k % 9 == 0, F.concat("title", F.lit("�"))).when(k % 9 == 1, F.concat("title", F.lit("\u0002"))).otherwise(F.concat("title", F.lit("\t"))),
+            "prizes": F.when(k % 2 == 0, prize), "stores": F.when(k % 4 == 0, shop), "official_url": F.when(k % 10 == 1, "https://b.example/?x=&#39;").when(k % 10 == 2, "HTTPS://hb.afl.rakuten.co.jp/y").when(k % 10 == 3, "https://b.example/"),
+        }
+    )
+    return conform(x, ITEM)
+
+
+@query(
+    "value_findings",
+    f"""{ITEMS} SELECT 'price_absurd' AS finding, id FROM items WHERE id % 50 = 0 UNION ALL SELECT 'market_label', id FROM items WHERE id % 6 = 3
+  UNION ALL SELECT 'date_year_guessed', id FROM items WHERE event_date > {DAY} - 365 + INTERVAL 1 YEAR AND id % 5 <> 0
+  UNION ALL SELECT 'text_broken_char', id FROM items WHERE id % 9 < 2
+  UNION ALL SELECT 'prizes_resale_suspect', id FROM items WHERE id % 2 = 0 AND (id % 7 = 1 OR id % 7 = 0 AND id % 50 <> 0)
+  UNION ALL SELECT 'eventdate_not_recomputable', id FROM items WHERE id % 4 = 0 AND event_date IS DISTINCT FROM DATE '1998-08-10'
+  UNION ALL SELECT 'own_affiliate_stored', id FROM items WHERE id % 8 = 0 OR id % 10 = 2
+  UNION ALL SELECT 'official_url_entity', id FROM items WHERE id % 8 = 4 OR id % 10 = 1""",
+)
+def _(spark, sf):
+    return findings.of_rows(kept_values(spark, sf), findings.value_checks("1997-08-02"))
+
+
+@query("foreign_on_pages", f"{ITEMS} SELECT genre AS page, id FROM items WHERE scope = 'en' AND genre NOT IN ('1-URGENT', '5-LOW')")
+def _(spark, sf):
+    return findings.scope_leaks(items(spark, sf).withColumnRenamed("genre", "page"), ["1-URGENT", "5-LOW"])
+
+
+@query(
+    "open_but_hidden",
+    f"""{ITEMS} SELECT 'stores_open_but_hidden' AS finding, id FROM items WHERE id % 4 = 0 AND id % 3 <> 0
+  AND cust NOT IN (SELECT cust FROM items WHERE id % 3 = 0)""",
+)
+def _(spark, sf):
+    x = kept_values(spark, sf).join(items(spark, sf).select("id", "cust"), "id")
+    return findings.open_but_hidden(x, x.where("id % 3 = 0"), F.col("cust"), TODAY)
+
+
+@query(
+    "prize_price_findings",
+    f"""{ITEMS}, n AS (SELECT count(*) FILTER (event_date < {DAY} - 14) AS ripe FROM items WHERE id % 2 = 0)
+  SELECT 'prizes_resale_missing' AS finding FROM n WHERE ripe >= 5 UNION ALL SELECT 'prizes_resale_lost'""",
+)
+def _(spark, sf):
+    bare = F.when(F.col("id") % 2 == 0, '[{"label":"A","name":"x"}]').when(F.col("id") % 4 == 1, "broken{")
+    return findings.prize_prices(kept_values(spark, sf).withColumn("prizes", bare), 12, TODAY)
+
+
+@query(
+    "dead_faces",
+    """SELECT face, was FROM (VALUES ('urgent', 9), ('never', 7), ('few', 3)) t(face, was)
+  WHERE was >= 5 AND (face <> 'urgent' OR NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT'))""",
+)
+def _(spark, sf):
+    g = F.col("genre")
+    before = spark.createDataFrame([("urgent", 9), ("never", 7), ("few", 3)], "face string, n long")
+    return findings.dead_faces(items(spark, sf), {"urgent": g == "1-URGENT", "never": g == "no such", "few": g == "none"}, before)
+
+
+@query(
+    "lost_routes",
+    f"""{ITEMS}, n AS (SELECT source, count(*) AS n, avg(CASE WHEN source = 'src1' OR id % 4 = 0 OR id % 10 IN (1, 2, 3) THEN 1.0 ELSE 0.0 END) AS now FROM items GROUP BY source)
+  SELECT source, round(now, 4) AS now FROM n WHERE n >= 20 AND now < 0.5 AND source <> 'src2'""",
+)
+def _(spark, sf):
+    before = items(spark, sf).select("source", F.when(F.col("source") == "src2", 0.4).otherwise(1.0).alias("rate")).distinct()
+    return findings.lost_routes(kept_values(spark, sf), ["src1"], before)
+
+
+@query(
+    "past_notices",
+    f"""{ITEMS} SELECT id, CASE id % 4 WHEN 0 THEN 'ended' WHEN 1 THEN 'passed' WHEN 2 THEN 'ended' ELSE 'unknown' END AS kind,
+  CASE id % 4 WHEN 0 THEN '予約の受付は終了しました' WHEN 1 THEN '登場日は過ぎています' WHEN 2 THEN '応募の受付は終了しました' ELSE '掲載している日付は過ぎています' END AS headline FROM items WHERE event_date < {DAY}""",
+)
+def _(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("予約受付中", "登場予定", "抽選", "開催"))), (F.col("id") % 4 + 1).cast("int"))
+    notice = clock.past_notice(kind, F.col("event_date"), F.lit(None).cast("string"), TODAY)
+    return items(spark, sf).select("id", notice.alias("n")).where("n is not null").select("id", "n.kind", "n.headline")
+
+
+@query("instants_in_japan", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y/%-m/%-d %H:%M') AS at, strftime(ts + INTERVAL 9 HOUR, '%b %-d, %Y') AS seen FROM events")
+def _(spark, sf):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", clock.format_instant_jst(at).alias("at"), clock.seen_on_store_en(at).alias("seen"))
+
+
+@query("half_widths", "SELECT p_partkey AS id, p_name || ' Ab9／1' AS name, CAST(p_size AS VARCHAR) || '/05-1.2' AS day FROM part")
+def _(spark, sf):
+    n = F.col("p_size").cast("string")
+    wide = F.translate(n, "0123456789", "０１２３４５６７８９")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.half_width(F.concat("p_name", F.lit(" Ａｂ９／1"))).alias("name"), text.half_width(F.concat(wide, F.lit("／０５―1．２")), marks=True).alias("day"))
+
+
+@query("production_hosts", "SELECT page_id, page_id % 4 = 0 AS production FROM pages")
+def _(spark, sf):
+    k = F.col("page_id") % 4
+    name = F.when(k == 0, "Shop.example").when(k == 1, "App.LOCALHOST").when(k == 2, "[::1]").otherwise("x.vercel.app")
+    return table(spark, sf, "pages").select("page_id", urls.is_production_host(name).alias("production"))
