@@ -157,3 +157,27 @@ def ended_summary(stores: Column, today: str | Column, days: int = 60, most: int
     lots = F.exists(recent, lambda s: F.coalesce(s["form"].contains("抽選"), F.lit(False)))
     text = F.array_join(F.transform(F.slice(recent, 1, most), label), "・")
     return F.when(F.datediff(t, newest).between(0, days) & lots & url.isNotNull(), F.struct(text.alias("summary"), url.alias("url")))
+
+
+#: What is said of a store that takes no entries yet, in both languages, and what a lottery's day can be (fixed values).
+NOT_YET, NOT_YET_EN = "（受付前）", " (not open yet)"
+CLOSES, OPENS, ANNOUNCED = "応募締切", "受付開始", "告知の日付"
+
+
+def when_label(s: Column, today: str | Column, abroad: bool = False) -> Column:
+    """A store's time as today's reader sees it: a kept day becomes today or tomorrow, and one that opens later says so."""
+    ahead = F.datediff(F.try_to_date(s["at"]), day(today))
+    near = F.when(ahead == 0, "本日").when(ahead == 1, "明日")
+    first = r"^(.*?)\d{1,2}/\d{1,2}"  # the first day alone
+    named = F.when(near.isNotNull(), F.regexp_replace(s["when"], F.lit(first), F.concat(F.lit("$1"), near))).otherwise(s["when"])
+    late = F.coalesce((s["kind"] == OPENING) & (ahead > 0), F.lit(False))
+    said = s["when"] if abroad else named
+    return F.when(F.length(s["when"]) > 0, F.when(late, F.concat(said, F.lit(NOT_YET_EN if abroad else NOT_YET))).otherwise(said))
+
+
+def lottery_day(event_date: Column, stores: Column, source: Column, closing: tuple[str, ...] = (), unsure: tuple[str, ...] = ()) -> Column:
+    """What a lottery's day is: by the stores of that day, else by what its source (`closing` or `unsure`) is known to give; or null."""
+    same = F.filter(stores, lambda s: F.coalesce(F.try_to_date(s["at"]) == event_date, F.lit(False)))
+    kind = lambda name: lambda s: F.coalesce(s["kind"] == name, F.lit(False))
+    by_store = F.when(F.exists(same, kind(DEADLINE)), CLOSES).when((F.size(same) > 0) & F.forall(same, kind(OPENING)), OPENS)
+    return F.coalesce(by_store, F.when(source.isin(*closing), CLOSES).when(source.isin(*unsure), ANNOUNCED))

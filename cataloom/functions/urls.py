@@ -82,3 +82,14 @@ def is_production_host(name: Column) -> Column:
     for end in TRIAL_HOSTS:
         trial |= h.endswith(end)
     return ~trial
+
+
+def is_verified_shop(source: Column, addresses: list[Column], pairs: list[tuple[str, str, str]]) -> Column:
+    """Whether one of a row's addresses is a page of a shop that was checked for its source. `pairs`: source, host, pattern of the path."""
+    found = F.lit(False)
+    for url in addresses:
+        own = F.regexp_replace(host(url), r"^www\.", "")
+        for shop, name, path in pairs:
+            there = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).rlike(path)
+            found |= F.coalesce((source == shop) & (own == name) & there, F.lit(False))
+    return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.price import half_up
@@ -109,3 +109,28 @@ def seeded_sample(rows: DataFrame, id_: str, seed: int, n: int) -> DataFrame:
 def baseline_gate(checked: Column, unusable: Column, most: float = 0.2) -> Column:
     """Whether a run read enough to be a baseline: of all it looked at, at most that share was unusable."""
     return F.coalesce(unusable / F.nullif(checked + unusable, F.lit(0)), F.lit(0.0)) <= most
+
+
+def varied(rows: DataFrame, name: Column, group: Column, order: list[str], limit: int, head: int = 12) -> DataFrame:
+    """`rows` with place (1 to `limit`), chosen to be shown side by side: one of each group first, then any, no two names of one beginning.
+
+    Rows are taken in `order`, which tells them apart. A row can only be passed over for a beginning that is taken, so of each
+    group its first `limit` beginnings are all that can be chosen: those go through the fold, groups x limit at most.
+    """
+    at = F.struct(*order)
+    firsts = rows.groupBy(group.alias("g"), F.substring(name, 1, head).alias("h")).agg(F.min(at).alias("at"))
+    nearest = firsts.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("at"))).where(F.col("rn") <= limit)
+    candidates = nearest.agg(F.array_sort(F.collect_list(F.struct("at", "g", "h"))).alias("c"))
+
+    def taken(any_group: bool):
+        def step(acc: Column, r: Column) -> Column:
+            fresh = ~F.exists(acc, lambda p: p["h"].eqNullSafe(r["h"]))
+            if not any_group:
+                fresh &= ~F.exists(acc, lambda p: p["g"].eqNullSafe(r["g"]))
+            return F.when(fresh & (F.size(acc) < limit), F.concat(acc, F.array(r))).otherwise(acc)
+
+        return step
+
+    first = candidates.select("c", F.aggregate("c", F.slice("c", 1, 0), taken(False)).alias("p"))
+    chosen = first.select(F.posexplode(F.aggregate("c", F.col("p"), taken(True))).alias("k", "r")).select((F.col("k") + 1).alias("place"), "r.at.*")
+    return rows.join(F.broadcast(chosen), order)  # `limit` rows

@@ -531,3 +531,45 @@ def _(spark, sf):
     k = F.col("page_id") % 4
     name = F.when(k == 0, "Shop.example").when(k == 1, "App.LOCALHOST").when(k == 2, "[::1]").otherwise("x.vercel.app")
     return table(spark, sf, "pages").select("page_id", urls.is_production_host(name).alias("production"))
+
+
+# --- what is said of stores, shops that were checked, varied picks ------------------------------------------------------
+
+
+@query(
+    "store_times",
+    """SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '〜本日 23:59' WHEN 1 THEN '〜明日 23:59' ELSE '〜8/9 23:59' END || CASE WHEN p_size % 4 = 3 OR p_size % 4 = 1 AND p_size % 3 = 0 THEN '（受付前）' ELSE '' END AS shown,
+  '〜8/9 23:59' || CASE WHEN p_size % 4 = 3 OR p_size % 4 = 1 AND p_size % 3 = 0 THEN ' (not open yet)' ELSE '' END AS abroad FROM part""",
+)
+def _(spark, sf):
+    k = F.col("p_size") % 4
+    at = F.when(k == 0, TODAY).when(k == 1, "1998-08-03").when(k == 3, "1998-08-09")
+    s = F.struct(F.lit("〜8/9 23:59").alias("when"), at.alias("at"), F.when((k == 3) | (F.col("p_size") % 3 == 0), "開始").otherwise("締切").alias("kind"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), stores.when_label(s, TODAY).alias("shown"), stores.when_label(s, TODAY, abroad=True).alias("abroad"))
+
+
+@query(
+    "lottery_days",
+    f"""{ITEMS} SELECT id, CASE WHEN event_date = DATE '1998-08-10' AND id % 4 = 0 THEN CASE WHEN id % 8 = 0 THEN '応募締切' ELSE '受付開始' END
+  WHEN source = 'src1' THEN '応募締切' WHEN source = 'src2' THEN '告知の日付' END AS meaning FROM items""",
+)
+def _(spark, sf):
+    k = F.col("id")
+    shops = F.when(k % 8 == 0, '[{"name":"S","at":"1998-08-10","kind":"開始"},{"name":"T","at":"1998-08-10","kind":"締切"}]').when(k % 4 == 0, '[{"name":"S","at":"1998-08-10","kind":"開始"}]')
+    meaning = stores.lottery_day(F.col("event_date"), stores.parse_stores(shops), F.col("source"), closing=("src1",), unsure=("src2",))
+    return items(spark, sf).select("id", meaning.alias("meaning"))
+
+
+@query("verified_shops", f"{ITEMS} SELECT id, source = 'src1' AND id % 3 < 2 OR source = 'src2' AND id % 3 = 2 AS online FROM items")
+def _(spark, sf):
+    k = F.col("id") % 3
+    url = F.when(k == 0, "https://www.a.example/x").when(k == 1, "https://b.example/").otherwise("https://c.example/name/dp/1")
+    official = F.when(k == 1, "https://A.example/y")
+    pairs = [("src1", "a.example", ""), ("src2", "c.example", "^(/[^/]+)?/dp/"), ("src3", "c.example", "^/other/")]
+    return items(spark, sf).select("id", urls.is_verified_shop(F.col("source"), [url, official], pairs).alias("online"))
+
+
+@query("varied_picks")
+def _(spark, sf):
+    x = table(spark, sf, "part").select("p_size", "p_partkey", "p_name", "p_brand")
+    return analytics.varied(x, F.col("p_name"), F.col("p_brand"), ["p_size", "p_partkey"], 40, head=5).select("place", F.col("p_partkey").alias("id"))

@@ -87,3 +87,16 @@ def test_rules_of_nulls_and_empty_texts(spark):
     got = x.select("id", text.without_unmatched(F.col("t")), text.looks_truncated(F.col("t")), F.size(text.stale_claims(F.col("t"), {"件": [1]})), stores.lineup(F.col("t")).isNull() | F.lit(False), day, price.first_number(F.col("t")))
     assert [tuple(r)[:4] for r in got.orderBy("id").collect()] == [(1, None, False, 0), (2, "", False, 0), (3, "）a（b", False, 0)]
     assert all(r[5] and r[6] is None for r in got.collect())
+
+
+def test_varied_picks_are_the_greedy_ones(spark, sf):
+    rows = sorted((r.p_size, r.p_partkey, r.p_name[:5], r.p_brand) for r in spark.read.parquet(f"{sf}/part.parquet").select("p_size", "p_partkey", "p_name", "p_brand").collect())
+    picked, heads, brands = [], set(), set()
+    for every in (False, True):
+        for _, id_, head, brand in rows:
+            if len(picked) < 40 and head not in heads and (every or brand not in brands):
+                picked.append(id_)
+                heads.add(head)
+                brands.add(brand)
+    got = catalog_queries.QUERIES["varied_picks"](spark, sf).orderBy("place").collect()
+    assert [(r.place, r.id) for r in got] == list(enumerate(picked, 1)) and len(brands) < len(picked)
