@@ -181,3 +181,21 @@ def lost_routes(items: DataFrame, official_sources: list[str], before: DataFrame
     has = F.col("source").isin(*official_sources) | F.coalesce(F.length("official_url") > 0, F.lit(False)) | stores.parse_stores(F.col("stores")).isNotNull()
     now = items.groupBy("source").agg(F.count("*").alias("n"), F.avg(has.cast("int")).alias("now"))
     return now.join(before, "source").where((F.col("n") >= least) & (F.col("rate") >= 0.5) & (F.col("now") < F.col("rate") / 2)).select("source", F.round("now", 4).alias("now"))
+
+
+#: Words that tell of a lottery or of its prizes, names of line-ups, and tags of news (fixed values).
+PRIZE_CLAIM, LINEUPS = "賞品[:：]", ("各賞ラインナップ", "賞品ラインナップ")
+LOTTERY_WORDS, LOTTERY_CLAIMS = ("抽選", "くじ"), ("抽選・くじあり", "抽選賞品")
+NEWS_TAGS = ("【ニュース】", "【速報】")
+
+
+def claim_checks(store_lists: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Conditions over claims of lotteries and prizes, and over news; sources in `store_lists` put lists of stores where others put claims."""
+    h, drawn = F.coalesce(F.col("highlights"), F.lit("")), F.coalesce(F.col("has_lottery"), F.lit(False))
+    has = lambda *words: reduce(or_, [h.contains(w) for w in words])
+    unsaid = drawn & (h != "") & ~has(*LOTTERY_WORDS, *LINEUPS)
+    return {
+        "lottery_prize_claim": h.rlike(PRIZE_CLAIM) & ~h.contains(LINEUPS[0]),
+        "lottery_flag": ~F.col("source").isin(*store_lists) & (unsaid | (~drawn & has(*LOTTERY_CLAIMS))),
+        "news_post": reduce(or_, [F.col("title").startswith(tag) for tag in NEWS_TAGS]),
+    }

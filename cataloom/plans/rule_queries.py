@@ -573,3 +573,47 @@ def _(spark, sf):
 def _(spark, sf):
     x = table(spark, sf, "part").select("p_size", "p_partkey", "p_name", "p_brand")
     return analytics.varied(x, F.col("p_name"), F.col("p_brand"), ["p_size", "p_partkey"], 40, head=5).select("place", F.col("p_partkey").alias("id"))
+
+
+@query(
+    "claim_findings",
+    f"""{ITEMS} SELECT 'lottery_prize_claim' AS finding, id FROM items WHERE id % 6 = 0
+  UNION ALL SELECT 'lottery_flag', id FROM items WHERE source <> 'src3' AND (coalesce(has_lottery, FALSE) AND id % 6 IN (0, 3) OR NOT coalesce(has_lottery, FALSE) AND id % 6 = 2)
+  UNION ALL SELECT 'news_post', id FROM items WHERE id % 7 < 2""",
+)
+def _(spark, sf):
+    k = F.col("id") % 6
+    said = F.when(k == 0, "賞品：x").when(k == 1, "各賞ラインナップ：賞品:y").when(k == 2, "抽選賞品あり").when(k == 3, "受付中").when(k == 4, "")
+    n = F.col("id") % 7
+    x = items(spark, sf).withColumns({"highlights": said, "title": F.concat(F.when(n == 0, "【速報】").when(n == 1, "【ニュース】").when(n == 2, "【告知】").otherwise(""), "title")})
+    return findings.of_rows(conform(x, ITEM), findings.claim_checks(("src3",)))
+
+
+@query("words_found", "SELECT p_partkey AS id, concat_ws(' ', CASE WHEN contains(p_name, 'a') THEN 'a' END, CASE WHEN contains(p_type, 'BRASS') THEN 'brass' END, CASE WHEN contains(p_type, 'TIN') THEN 'tin' END) AS words FROM part")
+def _(spark, sf):
+    found = text.words_found(F.concat("p_name", F.lit(" / "), "p_type"), ["a", "Brass"], ["brass", "tin"])
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(found, " ").alias("words"))
+
+
+@query("title_residuals", "SELECT p_partkey AS id, replace(lower(p_type), ' ', '') || CAST(p_size AS VARCHAR) AS residual FROM part")
+def _(spark, sf):
+    title = F.concat(F.lit("Work ブースターパック「"), "p_type", F.lit("」TCG "), F.col("p_size").cast("string"), F.lit("！"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.residual(title, ("WORK",)).alias("residual"))
+
+
+@query(
+    "contrasts",
+    """WITH t AS (SELECT p_partkey AS id, (p_size * 5) / 255.0 AS c FROM part), l AS (SELECT id, CASE WHEN c <= 0.03928 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END AS y FROM t)
+  SELECT id, round(1.05 / (y + 0.05), 6) AS on_white FROM l""",
+)
+def _(spark, sf):
+    gray = F.lpad(F.hex(F.col("p_size").cast("long") * 5), 2, "0")
+    color = F.concat(F.lit("#"), gray, gray, gray)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(text.contrast(color, F.lit("#ffffff")), 6).alias("on_white"))
+
+
+@query("recent_goods", f"{ITEMS} SELECT id, event_date IS NULL OR id % 5 = 0 OR event_date >= {DAY} - 30 AS recent FROM items")
+def _(spark, sf):
+    d = F.col("event_date")
+    said = F.when(F.col("id") % 5 == 0, "1998/02/30").otherwise(F.concat(F.lit("掲載日 "), F.date_format(d, "yyyy/M/d")))
+    return items(spark, sf).select("id", clock.is_recent(said, TODAY).alias("recent"))
