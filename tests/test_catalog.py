@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cataloom.functions import clock, price, stores, text
-from cataloom.operators import matching, resolve
+from cataloom.operators import analytics, findings, matching, resolve
 from cataloom.plans import catalog_queries, rule_queries
 from cataloom.schema import ITEM, conform
 from tests.rows import same, views
@@ -100,3 +100,26 @@ def test_varied_picks_are_the_greedy_ones(spark, sf):
                 brands.add(brand)
     got = catalog_queries.QUERIES["varied_picks"](spark, sf).orderBy("place").collect()
     assert [(r.place, r.id) for r in got] == list(enumerate(picked, 1)) and len(brands) < len(picked)
+
+
+@pytest.mark.parametrize("name", ["countdown", "date_buckets", "past_labels", "row_findings", "store_times"])
+def test_days_do_not_depend_on_the_sessions_zone(spark, sf, name):
+    was, got = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got.append(sorted(map(str, catalog_queries.QUERIES[name](spark, sf).collect())))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_new_rules_take_nulls_and_empty_tables(spark):
+    none, empty = F.lit(None).cast("string"), spark.range(0).select("id", F.lit("a").alias("name"))
+    row = spark.range(1).select(text.residual(none).alias("r"), text.contrast(none, F.lit("#000000")).alias("c"), text.words_found(none, ["a"], ["b"]).alias("w"), clock.is_recent(none, "2024-01-20").alias("k"), clock.past_notice(none, F.lit(None).cast("date"), none, "2024-01-20").alias("n")).first()
+    assert tuple(row) == (None, None, [], True, None)
+    assert analytics.varied(empty, F.col("name"), F.col("name"), ["id"], 5).collect() == []
+    checks = findings.value_checks("2024-01-20") | findings.claim_checks()
+    blank = conform(spark.range(1), ITEM)
+    assert [r.finding for r in findings.of_rows(blank, checks).collect()] == []
+    assert findings.prize_prices(blank, 0, "2024-01-20").collect() == []
