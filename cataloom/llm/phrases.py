@@ -9,7 +9,7 @@ fit the budget, and a group's subtrees are built, read from their leaves up, and
 node above its prefixes is the sum of what their groups say of it.
 
 The budget grows only where the corpus has over `BUDGET` x `PREFIXES` words, so that no more than `PREFIXES` prefixes of a
-level are ever extended: that is what tasks get as a whole, with a bitmap of fixed size for words of `least` or more (one that it
+level are ever extended: that is what tasks get as a whole, with a bitmap of bounded size for words of `least` or more (one that it
 takes for frequent by chance costs rows, not results). Counts of phrases' parts are joined: those of parts with more than a
 thousandth of all words, at most a thousand for each level, are broadcast, and of any other part no more than a
 ten-thousandth of all words can be candidates. Nothing is capped or sampled; the first `top` of a language are chosen in two steps.
@@ -22,8 +22,7 @@ of the phrase. Empty tables give no rows. Columns other than text and lang are n
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bound_batches, cut, read, slices
 
 MOST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
-#: Leaves of a group of subtrees in memory; most prefixes of a level that are extended; a task's leaves before it hands them on.
-BUDGET, PREFIXES, HELD = 250_000, 50_000, 300_000
-#: Bits of the bitmap of frequent words: 2 MB.
+#: Leaves of a group of subtrees in memory; most prefixes of a level that are extended; a task's words before it hands on their counts.
+BUDGET, PREFIXES, HELD = 250_000, 50_000, 1_000_000
+#: The bitmap of frequent words has at most 2^BITS bits: 2 MB.
 BITS = 24
 #: Parts with so many words in all, or more, are broadcast: a thousand for each level at most.
 COMMON = 1000
@@ -49,8 +48,7 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 END = b"."
 _FOLD = bytes.maketrans((UPPER + ENDS).encode(), UPPER.lower().encode() + END * len(ENDS))
 
-Leaf = tuple[bytes, ...]
-Prefixes = dict[str, set[Leaf]]
+Prefixes = dict[str, set[tuple[bytes, ...]]]
 
 
 def word_list(text: bytes) -> list[bytes]:
@@ -58,61 +56,87 @@ def word_list(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(END, b" . ").split()
 
 
-def runs(words: list[bytes], size: int) -> Iterator[Leaf]:
-    """Each place's next `size` words, filled up with END."""
-    return zip(*(words[k:] + [END] * k for k in range(size)), strict=False)
+class Numbers(dict):
+    """Numbers of a language's words in a task, from 1 on. END is 0, and so are words that are rarer than any candidate's."""
 
+    def __init__(self, lang: str, bits: np.ndarray | None):
+        super().__init__({END: 0})
+        self.bits, self.start = bits, zlib.crc32(lang.encode() + b" ")
+        self.words = [b""]
+
+    def __missing__(self, word: bytes) -> int:
+        at = zlib.crc32(word, self.start) & (len(self.bits) * 64 - 1) if self.bits is not None else 0
+        number = 0
+        if self.bits is None or self.bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
+            number = len(self.words)
+            self.words.append(word)
+        self[word] = number
+        return number
+
+    def strings(self, at: np.ndarray) -> pa.Array:
+        return pa.array(self.words, pa.binary()).cast(pa.string()).take(pa.array(at))
+
+
+def frequent_bits(words: DataFrame, least: int, most_bits: int = BITS) -> bytes:
+    """A bitmap of the words that occur at least `least` times, made of rows of 64 bits; eight bits for each of them, up to a fixed size."""
+    often = words.where(F.col("c") >= least)
+    size = min(most_bits, max(6, (8 * often.count()).bit_length()))
+    at = F.crc32(F.concat_ws(" ", "lang", "words")).bitwiseAND((1 << size) - 1)
+    ones = often.select(F.shiftright(at, 6).alias("row"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+    got = ones.groupBy("row").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^BITS / 64 rows at most
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[got.column("row").to_numpy()] = got.column("bits").to_numpy()
+    return zlib.compress(out.tobytes())
 
-class Frequent(dict):
-    """A word by itself, or END for one that is rarer than any candidate's; words met are kept, `HELD` at most."""
 
-    def __init__(self, bits: np.ndarray, lang: str):
-        super().__init__({END: END})
-        self.bits, self.start = bits, zlib.crc32(lang.encode() + b" ")
+def windows(numbers: np.ndarray, size: int) -> list[np.ndarray]:
+    """Of each place the next `size` numbers, 0 from an END on."""
+    out = [numbers]
+    for k in range(1, size):
+        out.append(np.where(out[-1] == 0, 0, np.append(numbers[k:], np.zeros(min(k, len(numbers)), numbers.dtype))))
+    return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > HELD:
-            self.clear()
-            self[END] = END
-        at = zlib.crc32(word, self.start) & ((1 << BITS) - 1)
-        self[word] = out = word if self.bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1) else END
-        return out
 
+def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first, count) of each distinct row of numbers, in order."""
+    code = columns[0].astype(np.int64)
+    base = max((int(w.max(initial=0)) for w in columns), default=0) + 1
+    for w in columns[1:]:
+        _, code = np.unique(code * base + w, return_inverse=True)  # codes are places at most, so that no key passes 63 bits
+    _, at, count = np.unique(code, return_index=True, return_counts=True)
+    return at, count
 
-def frequent_bits(words: DataFrame, least: int) -> np.ndarray:
-    """A bitmap of the words that occur at least `least` times, made of rows of 64 bits."""
-    at = F.crc32(F.concat_ws(" ", "lang", "words")).bitwiseAND((1 << BITS) - 1)
-    ones = words.where(F.col("c") >= least).select(F.shiftright(at, 6).alias("row"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
-    got = ones.groupBy("row").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^BITS / 64 rows at most
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[got.column("row").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint64)
+
+Counted = Callable[[str, np.ndarray, Numbers], dict[str, pa.Array]]
 
 
-def _counted(docs: DataFrame, keys: Callable[[str], Callable[[list[bytes]], Iterable]], rows: Callable[[str, Counter], dict[str, list]], schema: str) -> DataFrame:
-    """What `keys` finds in a language's words, counted in each task, as `rows` says it."""
+def _counted(docs: DataFrame, of: Counted, schema: str, bits: bytes | None = None) -> DataFrame:
+    """What `of` counts in the numbered words of a language, for some `HELD` words of a task at a time."""
     bound_batches(docs.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        of: dict[str, Callable[[list[bytes]], Iterable]] = {}
+        often = None if bits is None else np.frombuffer(zlib.decompress(bits), np.uint64)
+        known: dict[str, Numbers] = {}
+        held: dict[str, list[np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, counter in held.items():
-                found = rows(lang, counter)
-                n = len(found["c"])
-                for k in range(0, n, 20_000):
-                    some = {name: pa.array(x[k : k + 20_000]) for name, x in found.items()}
-                    some = {name: x.cast(pa.string()) if x.type == pa.binary() else x for name, x in some.items()}
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some["c"])), **some})
+            for lang, parts in held.items():
+                found = of(lang, np.concatenate(parts), known[lang])
+                for k in range(0, len(found["c"]), 50_000):
+                    some = [found[name].slice(k, 50_000) for name in names[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some[0])), *some], names=names)
             held.clear()
+            if sum(map(len, known.values())) > HELD:
+                known.clear()
 
         for batch in slices(batches, 64):
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if lang not in of:
-                    of[lang] = keys(lang)
-                held.setdefault(lang, Counter()).update(of[lang](word_list(text)))
-            if sum(map(len, held.values())) > HELD:
+                if lang not in known:
+                    known[lang] = Numbers(lang, often)
+                numbers = list(map(known[lang].__getitem__, word_list(text)))
+                held.setdefault(lang, []).append(np.array([*numbers, 0], np.int64))
+            if sum(len(x) for parts in held.values() for x in parts) > HELD:
                 yield from out()
         yield from out()
 
@@ -123,29 +147,42 @@ def _counted(docs: DataFrame, keys: Callable[[str], Callable[[list[bytes]], Iter
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, words, c) of single words."""
 
-    def rows(_: str, counter: Counter) -> dict[str, list]:
-        counter.pop(END, None)
-        return {"words": list(counter), "c": list(counter.values())}
+    def of(_: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
+        count = np.bincount(numbers, minlength=len(known.words))
+        at = np.flatnonzero(count[1:]) + 1
+        return {"words": known.strings(at), "c": pa.array(count[at])}
 
-    return _counted(docs, lambda _: lambda words: words, rows, "lang string, words string, c long").groupBy("lang", "words").agg(F.sum("c").alias("c"))
+    return _counted(docs, of, "lang string, words string, c long").groupBy("lang", "words").agg(F.sum("c").alias("c"))
 
 
-def _extended(docs: DataFrame, above: Prefixes, level: int, bits) -> DataFrame:
-    """(lang, words, c) of the prefixes of `level` words below those of `above`."""
-    known = docs.sparkSession.sparkContext.broadcast(above)
+def _below(columns: list[np.ndarray], over: set[tuple[bytes, ...]], known: Numbers) -> np.ndarray:
+    """Which rows' words are one of these prefixes."""
+    size = len(next(iter(over), ()))
+    asked = [tuple(known.get(w, 0) for w in p) for p in over]
+    if not size or not (asked := [p for p in asked if all(p)]):
+        return np.zeros(len(columns[0]), bool)
+    code, base = columns[0], len(known.words)
+    wanted = np.array([p[0] for p in asked])
+    for k in range(1, size):
+        every = np.unique(np.concatenate((code * base + columns[k], wanted * base + [p[k] for p in asked])), return_inverse=True)[1]
+        code, wanted = every[: len(code)], every[len(code) :]
+    return np.isin(code, wanted)
 
-    def keys(lang: str) -> Callable[[list[bytes]], Iterable]:
-        over, keep = known.value.get(lang, set()), Frequent(bits.value, lang)
-        return lambda words: (p for p in runs(list(map(keep.__getitem__, words)), level) if p[:-1] in over)
 
-    def rows(_: str, counter: Counter) -> dict[str, list]:
-        found = [(b" ".join(p), c) for p, c in counter.items() if END not in p]
-        return {"words": [p for p, _ in found], "c": [c for _, c in found]}
+def _extended(docs: DataFrame, above: Prefixes, level: int, bits: bytes) -> DataFrame:
+    """(lang, words, c) of the prefixes of `level` words below those of `above`."""
+
+    def of(lang: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
+        columns = windows(numbers, level)
+        asked = (columns[-1] != 0) & _below(columns[:-1], above.get(lang, set()), known)
+        columns = [w[asked] for w in columns]
+        at, count = distinct(columns)
+        return {"words": pc.binary_join_element_wise(*(known.strings(w[at]) for w in columns), " "), "c": pa.array(count)}
 
-    return _counted(docs, keys, rows, "lang string, words string, c long").groupBy("lang", "words").agg(F.sum("c").alias("c"))
+    return _counted(docs, of, "lang string, words string, c long", bits).groupBy("lang", "words").agg(F.sum("c").alias("c"))
 
 
-def prefixes(docs: DataFrame, words: DataFrame, most: int, budget: int, bits) -> list[Prefixes]:
+def prefixes(docs: DataFrame, words: DataFrame, most: int, budget: int, bits: bytes) -> list[Prefixes]:
     """Of each level, the prefixes of each language that more than `budget` suffixes begin with."""
     out: list[Prefixes] = []
     for level in range(1, most):
@@ -159,32 +196,20 @@ def prefixes(docs: DataFrame, words: DataFrame, most: int, budget: int, bits) ->
     return out
 
 
-def _leaves(docs: DataFrame, most: int, over, bits) -> DataFrame:
+def _leaves(docs: DataFrame, most: int, over: list[Prefixes], bits: bytes) -> DataFrame:
     """(lang, leaf, depth, c): a leaf's `most` words, with empty ones beyond its end; the first `depth` are its prefix."""
 
-    def keys(lang: str) -> Callable[[list[bytes]], Iterable]:
-        keep = Frequent(bits.value, lang)
-        return lambda words: runs(list(map(keep.__getitem__, words)), most)
-
-    def rows(lang: str, counter: Counter) -> dict[str, list]:
-        ended: Counter = Counter()
-        for leaf, c in counter.items():
-            if END in leaf:
-                size = leaf.index(END)
-                leaf = leaf[:size] + (b"",) * (most - size)
-            ended[leaf] += c
-        ended.pop((b"",) * most, None)
-        levels = [x[lang] for x in over.value if lang in x]
-        found = sorted(ended.items())  # rows that are alike lie together where they are packed
-        depths = []
-        for leaf, _ in found:
-            depth = 1
-            while depth <= len(levels) and leaf[:depth] in levels[depth - 1]:
-                depth += 1
-            depths.append(depth)
-        return {"leaf": [b" ".join(leaf) for leaf, _ in found], "depth": depths, "c": [c for _, c in found]}
-
-    return _counted(docs, keys, rows, "lang string, leaf string, depth long, c long")
+    def of(lang: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
+        begins = numbers != 0
+        columns = [w[begins] for w in windows(numbers, most)]
+        at, count = distinct(columns)  # in the order of their words' numbers: rows that are alike lie together where they are packed
+        columns = [w[at] for w in columns]
+        depth = np.ones(len(at), np.int64)
+        for k, level in enumerate(over, 1):
+            depth[_below(columns[:k], level.get(lang, set()), known)] = k + 1
+        return {"leaf": pc.binary_join_element_wise(*(known.strings(w) for w in columns), " "), "depth": pa.array(depth), "c": pa.array(count)}
+
+    return _counted(docs, of, "lang string, leaf string, depth long, c long", bits)
 
 
 class Subtrees:
@@ -222,9 +247,8 @@ class Subtrees:
 
 def nodes(docs: DataFrame, words: DataFrame, most: int, least: int, budget: int) -> DataFrame:
     """(lang, n_words, phrase, f) of the nodes of all languages' trees that at least `least` suffixes begin with."""
-    context = docs.sparkSession.sparkContext
-    bits = context.broadcast(frequent_bits(words, least))
-    over = context.broadcast(prefixes(docs, words, most, budget, bits))
+    bits = frequent_bits(words, least)
+    over = prefixes(docs, words, most, budget, bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -131,9 +131,9 @@ def test_phrases_of_few_words(spark, most, budget):
 def test_prefixes_are_extended_where_they_are_full(spark):
     frame = spark.createDataFrame([("en", "a b c. a b d. a e f. g h i")], "lang string, text string")
     words = phrases.word_counts(frame)
-    bits = spark.sparkContext.broadcast(phrases.frequent_bits(words, 1))
+    bits = phrases.frequent_bits(words, 1)
     assert phrases.prefixes(frame, words, 3, 1, bits) == [{"en": {(b"a",), (b"b",)}}, {"en": {(b"a", b"b")}}]
-    over = spark.sparkContext.broadcast([{"en": {(b"a",)}}, {"en": {(b"a", b"b")}}])
+    over = [{"en": {(b"a",)}}, {"en": {(b"a", b"b")}}]
     got = {r.leaf: (r.depth, r.c) for r in phrases._leaves(frame, 3, over, bits).collect()}
     assert got["a b c"] == (3, 1) and got["a e f"] == (2, 1) and got["g h i"] == (1, 1) and got["i  "] == (1, 1)
 
