@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_RATIO, MIN_RATIO = 10.0, 0.05
+#: The counter of draws, the unit of yen, and its signs (fixed values).
+TIMES, YEN, YEN_SIGNS = "回", "円", "¥￥"
 
 
 def half_up(x: Column) -> Column:
@@ -21,9 +23,23 @@ def parse_yen(text: Column) -> Column:
 
 
 def is_per_draw_fee(text: Column) -> Column:
-    """A price for drawing lots: so many times, then an amount; or one time at the beginning."""
-    times, amount = r"\s*回\s*", r"[¥￥]?\s*[\d，,]+\s*円"
-    return F.coalesce(text.rlike(rf"\d{times}{amount}") | text.rlike(rf"^\s*1{times}"), F.lit(False))
+    """A price for drawing lots: an amount of yen right after a number of times, or a single time at the beginning.
+
+    A price is read as tokens: amounts (digits and commas), and all other characters one by one, white space aside.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\d，,]+|[^\s\u3000\u00A0])"), F.lit(1))
+
+    def fee(t: Column) -> Column:
+        token = lambda k: F.coalesce(F.get(t, k), F.lit(""))
+
+        def counted(_: Column, k: Column) -> Column:
+            sign = F.when(token(k + 1).isin(*YEN_SIGNS), 1).otherwise(0)
+            return (token(k) == TIMES) & token(k - 1).rlike(r"\d$") & (k > 0) & token(k + 1 + sign).rlike(r"^[\d，,]") & (token(k + 2 + sign) == YEN)
+
+        once = (token(F.lit(0)) == "1") & (token(F.lit(1)) == TIMES)
+        return F.exists(F.transform(t, counted), lambda x: x) | once
+
+    return F.transform(F.array(tokens), fee)[0]
 
 
 def margin_of(list_price: Column, market: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, price, stores, text
+from ..sources.shared import cut
 
 #: Days of a page's own making, which are no event's (fixed values).
 NOT_EVENTS = "投稿日|掲載日|更新日"
@@ -22,11 +23,11 @@ def row_checks(today: str) -> dict[str, Column]:
     """Conditions over schema.ITEM's columns; null counts as false."""
     d, t = F.col("event_date"), F.col("event_date_text")
     given = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
-    named = clock.all_dates(t)
+    named = clock.dates_written(t)
     promised = F.col("event_type").isin(*clock.PAST_LABELS)
     return {
         "market_ratio": F.col("market_price") >= MOST_MARKET_RATIO * price.parse_yen(F.col("price")),
-        "date_text_mismatch": (F.size(named) > 0) & ~F.array_contains(named, d),
+        "date_text_mismatch": (F.size(named) > 0) & ~clock.names_day(named, d),
         "date_text_not_event": t.rlike(NOT_EVENTS),
         "date_text_past": clock.planned_date(t) < clock.day(today),
         "stale_promise": promised & clock.is_event_past(d, t, today),
@@ -67,24 +68,69 @@ def page_counts(before: DataFrame, now: DataFrame, unexplained: DataFrame, least
     return x.select("page", finding.alias("finding")).where("finding is not null")
 
 
-def code_conflicts(items: DataFrame, code: Column, tokens: Column) -> DataFrame:
-    """(code): article codes in images of rows whose names have no word in common with another of the same code.
+def _sets(items: DataFrame, code: Column, words: Column) -> DataFrame:
+    """(code, words, k): a code's distinct sets of words, and how many there are. Codes with an empty set or a single one are left out."""
+    sets = items.select(code.alias("code"), F.array_sort(F.array_distinct(F.coalesce(words, F.array().cast("array<string>")))).alias("words")).where("code is not null").distinct()
+    several = sets.groupBy("code").agg(F.count("*").alias("k"), F.min(F.size("words")).alias("least")).where("k > 1 and least > 0")
+    return sets.join(several.select("code", "k"), "code")
 
-    Rows of one code with equal words count once; a code's words are counted, and rows of which every word is in all others
-    can't conflict. Pairs are made only within one code, between distinct sets of words.
+
+def code_conflicts(items: DataFrame, code: Column, tokens: Column, letters: int = 4) -> DataFrame:
+    """(code): article codes of which two rows have names without a word in common; words have at least so many letters.
+
+    A row without words has none in common with any, so two rows are enough. Else equal sets of words count once, and counts
+    settle what they can: a word that all sets of a code have ends it; a set whose words are in fewer sets than there are, all
+    told, meets one it shares nothing with. What is left is asked of the code's sets without its commonest word, as all that
+    have it share it: how many sets their own words are in. No word that all rows share is ever paired.
+    """
+    words = F.filter(tokens, lambda w: F.length(w) >= letters)
+    rows = items.select(code.alias("code"), F.coalesce(F.size(words) == 0, F.lit(True)).alias("empty")).where("code is not null")
+    empty = rows.groupBy("code").agg(F.count("*").alias("n"), F.max("empty").alias("empty")).where("empty and n > 1").select("code")
+
+    x = cut(_sets(items, code, words), "code-sets")
+    every = x.select("code", "words", "k", F.explode("words").alias("word"))
+    count = every.groupBy("code", "word").agg(F.count("*").alias("f"))
+    commonest = count.groupBy("code").agg(F.max_by("word", F.struct("f", "word")).alias("commonest"), F.max("f").alias("most"))
+    told = x.join(commonest, "code").where("most < k and not array_contains(words, commonest)").select("code", "words", "k")
+    reach = told.select("code", "words", "k", F.explode("words").alias("word")).join(count, ["code", "word"]).groupBy("code", "words", "k").agg(F.sum("f").alias("reach"))
+    # a set is counted once for each of its own words: those k - 1 others need as many more
+    short = F.col("reach") - F.size("words") < F.col("k") - 1
+    settled = reach.where(short).select("code").distinct()
+    open_ = reach.where(~short).join(settled, "code", "left_anti").select("code", "words", "k", F.explode("words").alias("word"))
+    met = open_.join(every.select("code", F.xxhash64("words").alias("other"), "word"), ["code", "word"]).groupBy("code", "words", "k").agg(F.countDistinct("other").alias("met"))
+    return empty.unionByName(settled).unionByName(met.where("met < k").select("code")).distinct()
+
+
+def same_product(items: DataFrame, group: Column, tokens: Column, codes: Column) -> DataFrame:
+    """(id, keepable) of rows of a group, such as those of one image: whether they can be one product.
+
+    One name must hold the words of all (the hub). If the hub has codes, rows with all of them are kept; if it has none, each
+    two names must be one within the other, or no row is kept. No pairs are made: a hub has as many words as the group;
+    and names are within one another if each word is in all names of at least as many words as the shortest it is in. Groups
+    of null are left out. Of hubs, which all have the same words, the one of the smallest id tells the codes.
     """
-    x = items.select(code.alias("code"), F.array_sort(tokens).alias("words")).where(F.col("code").isNotNull() & (F.size("words") > 0)).distinct()
-    sizes = x.groupBy("code").agg(F.count("*").alias("sets")).where("sets > 1")
-    every = x.join(sizes, "code").select("code", "words", "sets", F.explode("words").alias("word"))
-    # sets that share a word with this one, itself included: of fewer than all, one shares none
-    shared_ = every.select("code", "words", "sets", "word").join(every.select("code", F.col("words").alias("other"), "word"), ["code", "word"])
-    met = shared_.groupBy("code", "words", "sets").agg(F.countDistinct("other").alias("met"))
-    return met.where("met < sets").select("code").distinct()
+    of = lambda c: F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))
+    rows = items.select("id", group.alias("group"), of(tokens).alias("words"), of(codes).alias("codes")).where("`group` is not null").withColumn("size", F.size("words"))
+    n_words = rows.select("group", F.explode("words").alias("word")).groupBy("group").agg(F.countDistinct("word").alias("all"))
+    longest = rows.groupBy("group").agg(F.max_by(F.struct("size", "codes"), F.struct("size", -F.col("id"))).alias("hub"))
+    hubs = longest.join(n_words, "group", "left").where("hub.size = coalesce(all, 0)").select("group", F.col("hub.codes").alias("hub_codes"))
+
+    loose = rows.join(hubs.where("size(hub_codes) = 0").select("group"), "group", "left_semi")
+    sizes = loose.groupBy("group", "size").agg(F.count("*").alias("n"))
+    at_least = sizes.alias("a").join(sizes.alias("b"), (F.col("a.group") == F.col("b.group")) & (F.col("b.size") >= F.col("a.size")))  # a group has few sizes
+    at_least = at_least.groupBy(F.col("a.group").alias("group"), F.col("a.size").alias("shortest")).agg(F.sum("b.n").alias("longer"))
+    each = loose.select("group", "size", F.explode("words").alias("word")).groupBy("group", "word").agg(F.count("*").alias("f"), F.min("size").alias("shortest"))
+    broken = each.join(at_least, ["group", "shortest"]).where("f <> longer").select("group").distinct().withColumn("broken", F.lit(True))
+
+    asked = rows.join(hubs, "group", "left").join(broken, "group", "left")
+    coded = F.size(F.array_except("hub_codes", "codes")) == 0
+    keepable = F.when(F.col("hub_codes").isNull(), False).when(F.size("hub_codes") > 0, coded).otherwise(F.col("broken").isNull())
+    return asked.select("id", keepable.alias("keepable"))
 
 
 def zero_adoption(adopted: Column, crawled: Column) -> Column:
-    """What a crawl that took nothing over says: nothing was there, or all was passed over."""
-    return F.when(adopted > 0, "ok").when(crawled == 0, "nothing_crawled").otherwise("nothing_adopted")
+    """What a crawl that took nothing over says: nothing was there, or all was passed over; null where nobody counted what was there."""
+    return F.when(adopted > 0, "ok").when(crawled == 0, "nothing_crawled").when(crawled > 0, "nothing_adopted")
 
 
 def label_checks(today: str, windowed: tuple[str, ...] = (), window_days: int = 44) -> dict[str, Column]:

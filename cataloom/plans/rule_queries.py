@@ -276,20 +276,35 @@ def _(spark, sf):
     return findings.page_counts(n(x), n(x.where("p_size > 30 and page <> 'LARGE BRASS'")), x.select("page", F.lit(1).alias("lost")).distinct())
 
 
+CODED = "WITH r AS (SELECT p_partkey AS id, {} AS code, list_filter(string_split(p_name, ' '), lambda x: len(x) >= {}) AS words FROM part)"
+
+
+@query("code_conflicts", f"{CODED.format('p_size', 5)} SELECT DISTINCT a.code FROM r a JOIN r b ON a.code = b.code AND a.id <> b.id AND NOT list_has_any(a.words, b.words)")
+def _(spark, sf):
+    return findings.code_conflicts(table(spark, sf, "part"), F.col("p_size"), F.split("p_name", " "), letters=5)
+
+
 @query(
-    "code_conflicts",
-    """WITH w AS (SELECT DISTINCT p_size AS code, list_sort(list_distinct(string_split(p_name, ' '))) AS words FROM part)
-  SELECT DISTINCT a.code FROM w a JOIN w b ON a.code = b.code AND NOT list_has_any(a.words, b.words)""",
+    "same_product",
+    f"""{CODED.format("(p_retailprice * 100)::BIGINT % 601", 1)}, g AS (SELECT code, list_distinct(flatten(list(words))) AS every, bool_and(len(words) >= 0) FROM r GROUP BY code),
+  hub AS (SELECT DISTINCT r.code FROM r JOIN g ON r.code = g.code AND len(list_distinct(r.words)) = len(g.every)),
+  apart AS (SELECT DISTINCT a.code FROM r a JOIN r b ON a.code = b.code AND NOT list_has_all(a.words, b.words) AND NOT list_has_all(b.words, a.words))
+  SELECT id, code IN (SELECT code FROM hub) AND code NOT IN (SELECT code FROM apart) AS keepable FROM r""",
 )
 def _(spark, sf):
-    x = table(spark, sf, "part")
-    return findings.code_conflicts(x, F.col("p_size"), F.array_distinct(F.split("p_name", " ")))
+    x = table(spark, sf, "part").withColumn("id", F.col("p_partkey"))
+    return findings.same_product(x, F.round(F.col("p_retailprice") * 100).cast("long") % 601, F.split("p_name", " "), F.array().cast("array<string>"))
 
 
-@query("zero_adoption", "SELECT source, CASE WHEN count(*) FILTER (n_chars > 19000) > 0 THEN 'ok' WHEN count(*) FILTER (n_chars > 9000) = 0 THEN 'nothing_crawled' ELSE 'nothing_adopted' END AS verdict FROM documents GROUP BY source")
+@query(
+    "zero_adoption",
+    """SELECT source, CASE WHEN n > 0 THEN 'ok' WHEN crawled = 0 THEN 'nothing_crawled' WHEN crawled > 0 THEN 'nothing_adopted' END AS verdict FROM (
+  SELECT source, count(*) FILTER (n_chars > 19000) AS n, CASE WHEN min(doc_id) % 3 <> 0 THEN count(*) FILTER (n_chars > 9000) END AS crawled FROM documents GROUP BY source)""",
+)
 def _(spark, sf):
     n = F.col("n_chars")
-    return table(spark, sf, "documents").groupBy("source").agg(findings.zero_adoption(F.count_if(n > 19000), F.count_if(n > 9000)).alias("verdict"))
+    crawled = F.when(F.min("doc_id") % 3 != 0, F.count_if(n > 9000))
+    return table(spark, sf, "documents").groupBy("source").agg(findings.zero_adoption(F.count_if(n > 19000), crawled).alias("verdict"))
 
 
 # --- days, titles and prizes in words -----------------------------------------------------------------------------------
