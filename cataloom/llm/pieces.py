@@ -9,8 +9,8 @@ token fits is marked in a bitfield and not tried again: what leads to a place is
 result. Merges go by score, the leftmost of equal ones first.
 
 Where no token has a sign other than the word mark before a word mark, nothing is ever merged across such a border: texts
-are encoded by the words between, and words met before are remembered by a worker, `REMEMBERED` at most; results don't
-depend on it. Characters of no token are written as bytes.
+are encoded by the words between, and words met before are remembered by a worker, twice `REMEMBERED` at most, those met last;
+results don't depend on it. Characters of no token are written as bytes.
 
 Nulls and empty texts have no ids. Very long texts and words are encoded in time that grows with them. Rows of equal id,
 or of equal text, each give a row; ties of scores are broken by place; empty tables give empty ones; columns other
@@ -20,6 +20,7 @@ than doc_id and text are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -62,6 +63,14 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
         yield key >> 3, value
 
 
+class Fits(dict):
+    """What is known of tokens after one: their ids and what may follow, or None for those that don't fit."""
+
+    def __init__(self, token: str):
+        super().__init__()
+        self.token = token
+
+
 class Pieces:
     """A vocabulary of pieces with scores, read from a model file."""
 
@@ -94,11 +103,15 @@ class Pieces:
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in tokens), None) for p in every}
         one_word = any(a != MARK and b == MARK for p in self.id for a, b in zip(p, p[1:], strict=False))
         self.words = re.compile(".+" if one_word else f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
-        signs = "".join(map(re.escape, characters))
-        self.runs = re.compile(f"[{signs}]+|[^{signs}]+" if signs else ".+", re.S)
-        self.characters = set(characters)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.between = next(c for c in map(chr, range(0x10000)) if c not in set(characters))  # no token holds it
+        # a byte beyond ASCII is a lone surrogate, which encodes to that byte
+        self.texts = [bytes([self.value[k]]).decode("ascii", "surrogateescape") if t == BYTE else " ⁇ " if t == UNKNOWN else p.replace(MARK, " ") if t == NORMAL else "" for k, (p, _, t) in enumerate(self.pieces)]
+        self.controls = {k for k, (*_, t) in enumerate(self.pieces) if t == CONTROL}
+        self.decimal = list(map(str, range(len(self.pieces))))
+        self.first = Fits("")
+        self.fits, self.pairs = {"": self.first}, 0
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text, merged: the pair of best score first, of equal ones the leftmost."""
@@ -113,88 +126,108 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fit(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both gives both; with an empty `left`, whether it gives `right`."""
-        pair = left, right
-        if pair not in self.fits:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            self.fits[pair] = self.merged(left + right) == [x for x in pair if x]
-        return self.fits[pair]
-
-    def tokens(self, text: str) -> list[str]:
-        """Tokens of a text whose characters are all known."""
+    def _fit(self, after: Fits, token: str) -> tuple[tuple[int, ...], Fits] | None:
+        """The ids of a token and what is known of tokens after it; None if it doesn't fit, when merging gives something else than both."""
+        if self.pairs > REMEMBERED:  # later words begin anew; a word in work goes on with what it holds
+            self.first = Fits("")
+            self.fits, self.pairs = {"": self.first}, 0
+        self.pairs += 1
+        found = None
+        if self.merged(after.token + token) == [x for x in (after.token, token) if x]:
+            ids = (self.id[token],) if token in self.id else tuple(self.byte[b] for b in token.encode())
+            found = ids, self.fits.setdefault(token, Fits(token))
+        after[token] = found
+        return found
+
+    def longest(self, text: str) -> list[int]:
+        """Of each place of a text the length of the longest token that starts there; 1 for a character of no token."""
         size = len(text)
-        longest = [0] * size
-        for end, length in self.ends.iter(text[::-1]):
-            start = size - 1 - end
-            if length > longest[start]:
-                longest[start] = length
-        failed = bytearray(size // 8 + 1)
-        out: list[str] = []
-        at, token = 0, text[: longest[0]] if size else None
+        out = np.ones(size, np.int64)
+        found = np.fromiter(itertools.chain.from_iterable(self.ends.iter(text[::-1])), np.int64).reshape(-1, 2)
+        if len(found):
+            end, length = found.T
+            first = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+            out[size - 1 - end[first]] = np.maximum.reduceat(length, first)
+        return out.tolist()
+
+    def tokens(self, text: str, longest: list[int], start: int = 0) -> list[tuple[str, tuple[int, ...]]]:
+        """(token, ids) of a text, which is at `start` of the one that `longest` was asked for. A character of no token is one by itself."""
+        size, shorter = len(text), self.shorter
+        failed = None  # a bitfield, once something has failed
+        out: list[tuple[str, tuple[int, ...]]] = []
+        way: list[Fits] = []
+        at, after = 0, self.first
+        token = text[: longest[start]] if size else ""
         while at < size:
             end = at + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and self._fit("", token) and (not out or self._fit(out[-1], token)):
-                out.append(token)
-                at = end
-                token = text[at : at + longest[at]] if at < size else None
-                continue
-            token = self.shorter[token]
+            if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                found = after.get(token, False)
+                if found is False:
+                    found = self._fit(after, token)
+                if found is not None:  # that both stay as they are says that each does
+                    ids, following = found
+                    out.append((token, ids))
+                    way.append(after)
+                    at, after = end, following
+                    if at < size:
+                        token = text[at : at + longest[start + at]]
+                    continue
+            token = shorter.get(token)
             while token is None:  # nothing fits here: the token that led here was wrong
+                if failed is None:
+                    failed = bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                wrong = out.pop()
-                at -= len(wrong)
-                token = self.shorter[wrong]
+                wrong, _ = out.pop()
+                at, after = at - len(wrong), way.pop()
+                token = shorter.get(wrong)
         return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for run in self.runs.findall(word):
-            for token in self.tokens(run) if run[0] in self.characters else run:
-                one = self.id.get(token)
-                ids.extend([one] if one is not None else [self.byte[b] for b in token.encode()])
-        return tuple(ids)
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words not met before, all asked of the automaton at once."""
+        longest = self.longest(self.between.join(words))
+        start = 0
+        for word in words:
+            self.known[word] = tuple([k for _, ids in self.tokens(word, longest, start) for k in ids])
+            start += len(word) + 1
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, ids = self.known, []
-        for word in self.words.findall(self.prefix + text.replace(" ", MARK)):
-            got = known.get(word)
-            if got is None:
-                got = self._word(word)
-                if len(word) < 100:
-                    known[word] = got
-            ids.extend(got)
-        return ids
+            self.older, self.known = self.known, {}
+        cuts = [self.words.findall(self.prefix + text.replace(" ", MARK)) if text else [] for text in texts]
+        new = {w for words in cuts for w in words if w not in self.known}
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known |= again
+        self._learn([w for w in new if w not in again])
+        known = self.known
+        out = [list(itertools.chain.from_iterable(map(known.__getitem__, words))) for words in cuts]
+        for w in new:  # long ones aren't kept
+            if len(w) > 100:
+                del known[w]
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text: marks are spaces, and the one that every text begins with goes; bytes that are no UTF-8 are replaced one by one."""
         out: list[str] = []
-        raw = bytearray()
-
-        def flush() -> None:
+        runs = [ids] if self.controls.isdisjoint(ids) else [list(x) for _, x in itertools.groupby(ids, self.controls.__contains__)]  # no character goes across one
+        for run in runs:
+            raw = "".join(map(self.texts.__getitem__, run)).encode("utf-8", "surrogateescape")
             while raw:
                 try:
                     out.append(raw.decode())
-                    raw.clear()
+                    raw = b""
                 except UnicodeDecodeError as bad:
                     out.append(raw[: bad.start].decode() + "�")
-                    del raw[: bad.start + 1]
-
-        for k in ids:
-            if k in self.value:
-                raw.append(self.value[k])
-                continue
-            flush()
-            piece, _, kind = self.pieces[k]
-            out.append(piece if kind == NORMAL else " ⁇ " if kind == UNKNOWN else "")
-        flush()
+                    raw = raw[bad.start + 1 :]
         text = "".join(out)
-        return (text[1:] if self.prefix and text[:1] == MARK else text).replace(MARK, " ")
+        return text[1:] if self.prefix and text[:1] == " " and ids and self._begins_marked(ids) else text
+
+    def _begins_marked(self, ids: list[int]) -> bool:
+        """Whether the first text of a list is a piece's that begins with a mark."""
+        first = next((self.pieces[k] for k in ids if self.texts[k]), ("", 0.0, NORMAL))
+        return first[2] == NORMAL and first[0][:1] == MARK
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -216,11 +249,11 @@ def encode_pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in slices(batches, 256):
-            ids = [pieces.encode(x or "") for x in batch.column(1).to_pylist()]
+            ids = pieces.encode_all([x or "" for x in batch.column(1).to_pylist()])
             columns = [
                 batch.column(0),
                 pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(",".join(map(pieces.decimal.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()),
                 pa.array([hashlib.sha256(pieces.decode(x).encode()).hexdigest() for x in ids], pa.string()),
             ]
             if keep_ids:
