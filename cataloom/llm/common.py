@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, scratch, shared_folder  # noqa: F401 - for the operators
+from ..sources.shared import cut, release, scratch, shared_folder  # noqa: F401 - for the operators
 
 #: A word is a run of characters other than these six; bytes.split() cuts UTF-8 at exactly these.
 SPACES = " \t\n\x0b\x0c\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -29,5 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
         if now == seen or not now[0]:
             break
-        seen, edges = now, cut(_stars(edges), "links")
+        before, seen, edges = edges, now, cut(_stars(edges), "links")
+        release(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

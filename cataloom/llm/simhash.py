@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, cut, read, row_id, slices
+from .common import as_bytes, bound_batches, cut, read, release, row_id, slices
 from .components import components
 
 MAX_BITS = 3
@@ -188,6 +188,7 @@ def groups(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int =
     roots = cut(_components(fps, max_bits, most).join(first, "fp"), "simhash-roots")
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = cut(roots.join(least, "root").select("fp", "component_id"), "simhash-components")
+    release(roots)
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -201,8 +202,10 @@ def representatives(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, mo
     ids = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id")).join(fps.dropDuplicates(["rid"]), "rid")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = cut(ids.groupBy("fp").agg(F.min(order).alias("first")), "simhash-first")
-    kept = first.join(cut(_components(fps, max_bits, most), "simhash-roots"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    roots = cut(_components(fps, max_bits, most), "simhash-roots")
+    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = cut(kept.select(F.col("first.rid").alias("rid")), "simhash-kept")
+    release(fps, first, roots)
     return rows.join(kept, "rid").dropDuplicates(["rid"]).drop("rid")
 
 

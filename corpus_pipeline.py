@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.llm.bpe import VOCABULARY, tokenize
-from cataloom.llm.common import cut, packed, read, unpacked
+from cataloom.llm.common import cut, packed, read, release, unpacked
 from cataloom.llm.mixing import mix
 from cataloom.llm.quality_rules import apply_rules
 from cataloom.llm.simhash import representatives
@@ -75,7 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"pipeline-{name}")
+            release(before)  # nothing but this stage has read it
     return docs
