@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import names, text
+from ..sources.shared import cut
 
 
 def document_frequency(rows: DataFrame, id_: str, tokens: Column) -> DataFrame:
@@ -21,29 +22,101 @@ def distinctive(rows: DataFrame, id_: str, tokens: Column, most_share: float = 0
     return pairs.join(df.select("token", "df"), "token").select(id_, "token", "df")
 
 
-def score(a: Column, b: Column, codes_a: Column, codes_b: Column) -> Column:
-    """Dice of the keys; codes on both sides decide: a shared one lifts it to 0.85 or more, else 0.35 is the most."""
-    base = text.dice(a, b)
-    both = (F.size(codes_a) > 0) & (F.size(codes_b) > 0)
-    return F.when(both & F.arrays_overlap(codes_a, codes_b), F.greatest(base, F.lit(0.85))).when(both, F.least(base, F.lit(0.35))).otherwise(base)
+#: Pairs of rows meet by keys; one with so large a share of the known rows, or a larger one, is split. There are as many at most for each key of a row.
+COMMON = 1000
+SHARED_CODE, OTHER_CODE = 0.85, 0.35
 
 
-def best_matches(queries: DataFrame, catalog: DataFrame, tokens: str = "tokens", threshold: float = 0.5, most_share: float = 0.5, rarest: int = 3) -> DataFrame:
-    """(query_id, item_id, score) of the best item of each query.
+def titled(rows: DataFrame, id_: Column, title: Column) -> DataFrame:
+    """(id, form, works, codes, rest, grams, rest_grams, unit) of rows with titles, folded once."""
+    return rows.select(id_.alias("id"), names.title_facts(title).alias("facts"), text.pack_unit(title).alias("unit")).select("id", "facts.*", "unit")
 
-    Both frames have id, key, codes and an array of tokens. Candidates share one of a query's `rarest` tokens, of those that
-    the catalog has and at most `most_share` of it: common words pair nothing. Ties go to the smallest item id.
+
+def _dice(a: Column, b: Column) -> Column:
+    return F.coalesce(2.0 * F.size(F.array_intersect(a, b)) / F.nullif(F.size(a) + F.size(b), F.lit(0)), F.lit(0.0))
+
+
+def score(a: str, b: str) -> Column:
+    """How likely two titles (structs of `titled`'s columns) mean one thing, 0 to 1.
+
+    Codes on both sides decide: a shared one lifts the likeness to 0.85 or more, others hold it at 0.35. Else titles of one work
+    are compared by what is left without its names; all others as they are.
+    """
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    whole = F.when(x("form") == y("form"), F.when(F.length(x("form")) > 0, 1.0).otherwise(0.0)).otherwise(_dice(x("grams"), y("grams")))
+    coded = (F.size(x("codes")) > 0) & (F.size(y("codes")) > 0)
+    left = F.arrays_overlap(x("works"), y("works")) & (F.length(x("rest")) >= 2) & (F.length(y("rest")) >= 2)
+    return (
+        F.when(coded & F.arrays_overlap(x("codes"), y("codes")), F.greatest(whole, F.lit(SHARED_CODE)))
+        .when(coded, F.least(whole, F.lit(OTHER_CODE)))
+        .when(left, F.when(x("rest") == y("rest"), 1.0).otherwise(_dice(x("rest_grams"), y("rest_grams"))))
+        .otherwise(whole)
+    )
+
+
+def _met(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(query_id, item_id) of rows (query_id, key) and (item_id, key) with a key in common. Common keys are split by item."""
+    n = known.agg(F.count("*").alias("n"))
+    common = known.groupBy("key").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).where(F.col("c") * COMMON >= F.col("n"))  # one row
+    common = F.broadcast(common.select("key", F.ceil(F.col("c") * COMMON / F.col("n")).cast("int").alias("parts")))  # COMMON rows at most
+    split = lambda rows: rows.join(common, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    one = split(asked).select("query_id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    many = split(known).select("item_id", "key", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("part"))
+    return one.join(many, ["key", "part"]).select("query_id", "item_id")
+
+
+def _first_grams(rows: DataFrame, id_: str, grams: str, common: DataFrame, threshold: float, *also: str) -> DataFrame:
+    """(id, gram, *also): as many of a row's grams, common ones last, that two sets of Dice `threshold` must have one in common.
+
+    Of sets of n and m grams with that likeness, at least t * n / (2 - t) are in both: m is at least that much, or they could
+    not be as alike. So one of the first n - t * n / (2 - t) + 1 in an order that all share is in both.
     """
-    known = distinctive(catalog, "id", F.col(tokens), most_share).select(F.col("id").alias("item_id"), "token", "df")
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(tokens)).alias("token"))
-    ranked = asked.join(known.select("token", "df").distinct(), "token").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # one query's own tokens
-    asked = ranked.select("query_id", F.explode(F.slice("t", 1, rarest)).alias("t")).select("query_id", "t.token")
-    pairs = asked.join(known.select("item_id", "token"), "token").select("query_id", "item_id").distinct()
-    q = queries.select(F.col("id").alias("query_id"), F.col("key").alias("a"), F.col("codes").alias("ca"))
-    c = catalog.select(F.col("id").alias("item_id"), F.col("key").alias("b"), F.col("codes").alias("cb"))
-    scored = pairs.join(q, "query_id").join(c, "item_id").withColumn("score", score(F.col("a"), F.col("b"), F.col("ca"), F.col("cb")))
-    best = scored.groupBy("query_id").agg(F.max(F.struct("score", -F.col("item_id"))).alias("m"))
-    return best.select("query_id", (-F.col("m")["col2"]).alias("item_id"), F.col("m.score").alias("score")).where(F.col("score") >= threshold)
+    each = rows.select(F.col("id").alias(id_), *also, F.size(grams).alias("n"), F.posexplode(grams).alias("_", "gram")).join(F.broadcast(common), "gram", "left")
+    order = F.struct(F.coalesce("c", F.lit(0)).alias("c"), F.xxhash64("gram").alias("h"), "gram")
+    ranked = each.groupBy(id_, *also, "n").agg(F.array_sort(F.collect_list(order)).alias("g"))  # one title's own
+    least = F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
+    return ranked.select(id_, *also, F.explode(F.slice("g", F.lit(1), F.col("n") - least + 1)).alias("g")).select(id_, *also, F.col("g.gram").alias("gram"))
+
+
+def _alike(asked: DataFrame, known: DataFrame, grams: str, threshold: float, within: str | None = None) -> DataFrame:
+    """(query_id, item_id) of all rows whose grams have that likeness, and others; `within`: only rows with one of these in common."""
+    total = known.agg(F.count("*").alias("n"))
+    df = known.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    common = df.crossJoin(F.broadcast(total)).where(F.col("c") * COMMON >= F.col("n")).select("gram", "c")  # one row; COMMON rows for each gram of a title at most
+
+    def keys(rows: DataFrame, id_: str) -> DataFrame:
+        if within is None:
+            return _first_grams(rows, id_, grams, common, threshold).select(id_, F.col("gram").alias("key"))
+        first = _first_grams(rows.where(F.size(within) > 0), id_, grams, common, threshold, within)
+        return first.select(id_, "gram", F.explode(within).alias("w")).select(id_, F.concat_ws("\t", "w", "gram").alias("key"))
+
+    return _met(keys(asked, "query_id"), keys(known, "item_id"))
+
+
+def best_matches(queries: DataFrame, catalog: DataFrame, threshold: float = 0.5, units: bool = False) -> DataFrame:
+    """(query_id, item_id, score) of the likeliest item of each query, where that is `threshold` or more.
+
+    Both frames are `titled`. Tiers find candidates: equal forms settle a query at once, for nothing is likelier; for those
+    left, items that share a code, items of one work that are alike without its names, and items that are alike. No pair
+    that reaches the threshold is missed. Ties go to an item of equal form, then to the smallest id. With `units`, an item is no
+    larger a unit of sale than what was asked for. Null and empty titles match nothing.
+    """
+    asked, known = (cut(x, "titles") for x in (queries, catalog))
+    fits = F.col("i.unit") <= F.col("q.unit") if units else F.lit(True)
+    named = lambda rows, id_: rows.where(F.length("form") > 0).select(F.col("id").alias(id_), F.col("form").alias("key"), "unit")
+    smallest = ["key", "unit"] if units else ["key"]
+    item = named(known, "item_id").groupBy(*smallest).agg(F.min("item_id").alias("item_id"))  # one for each form: equal titles make no pairs
+    same = named(asked, "query_id").alias("q").join(item.alias("i"), (F.col("q.key") == F.col("i.key")) & (fits if units else F.lit(True)))
+    settled = same.groupBy("query_id").agg(F.min("item_id").alias("item_id")).select("query_id", "item_id", F.lit(1.0).alias("score"))
+
+    open_ = asked.join(settled.select(F.col("query_id").alias("id")), "id", "left_anti")
+    keyed = lambda rows, id_: rows.select(F.col("id").alias(id_), F.explode("codes").alias("key"))
+    pairs = _met(keyed(open_, "query_id"), keyed(known, "item_id"))
+    pairs = pairs.unionByName(_alike(open_, known, "rest_grams", threshold, within="works")).unionByName(_alike(open_, known, "grams", threshold)).distinct()
+    facts = lambda rows, id_, name: rows.select(F.col("id").alias(id_), F.struct("form", "works", "codes", "rest", "grams", "rest_grams", "unit").alias(name))
+    scored = pairs.join(facts(open_, "query_id", "q"), "query_id").join(facts(known, "item_id", "i"), "item_id").where(fits).select("query_id", "item_id", score("q", "i").alias("score"))
+    best = scored.where(F.col("score") >= threshold).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("back"))).alias("m"))
+    return settled.where(F.lit(threshold) <= 1).unionByName(best.select("query_id", (-F.col("m.back")).alias("item_id"), F.col("m.score").alias("score")))
 
 
 def containing_sets(rows: DataFrame, least: float) -> DataFrame:
