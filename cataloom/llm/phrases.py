@@ -2,15 +2,15 @@
 
 The suffixes of all pieces of text, cut to `most` words, make one tree for each language; a phrase's count is the total of
 the leaves below it. The tree is built in parts (the vertical partitioning of ERA, Mansour et al. 2011): words are counted
-first, and each is the prefix of a subtree; one with more suffixes than the memory budget is extended by its second word,
-and so on. Words that occur fewer than `least` times have no subtree, and leaves end before them. Each task counts equal
-leaves before they are sent. Leaves go by prefix to partitions and arrive in order; there prefixes are grouped, as many as
+and runs of them first, and each word is the prefix of a subtree; one with more suffixes than the memory budget is extended by
+its second word, and so on. Prefixes that occur fewer than `least` times have no subtree: leaves end before a word that is so rare, or a run of
+words. Each task counts equal leaves before they are sent. Leaves go by prefix to partitions and arrive in order; there prefixes are grouped, as many as
 fit the budget, and a group's subtrees are built, read from their leaves up, and dropped, whatever the other groups hold. A
 node above its prefixes is the sum of what their groups say of it.
 
 The budget grows only where the corpus has over `BUDGET` x `PREFIXES` words, so that no more than `PREFIXES` prefixes of a
-level are ever extended: that is what tasks get as a whole, with a bitmap of bounded size for words of `least` or more (one that it
-takes for frequent by chance costs rows, not results). Counts of phrases' parts are joined: those of parts with more than a
+level are ever extended: that is what tasks get as a whole, with a bitmap of bounded size for each level's prefixes of `least` or
+more. Prefixes are known by 64 bits there; one that is taken for frequent or full by chance costs rows, not results. Counts of phrases' parts are joined: those of parts with more than a
 thousandth of all words, at most a thousand for each level, are broadcast, and of any other part no more than a
 ten-thousandth of all words can be candidates. Nothing is capped or sampled; the first `top` of a language are chosen in two steps.
 
@@ -27,16 +27,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, cut, read, slices
+from .common import as_bytes, bound_batches, cut, read, release, slices
 
 MOST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: Leaves of a group of subtrees in memory; most prefixes of a level that are extended; a task's words before it hands on their counts.
 BUDGET, PREFIXES, HELD = 250_000, 50_000, 1_000_000
-#: The bitmap of frequent words has at most 2^BITS bits: 2 MB.
-BITS = 24
+#: A bitmap of frequent prefixes has at most 2^BITS bits: 16 MB.
+BITS = 27
 #: Parts with so many words in all, or more, are broadcast: a thousand for each level at most.
 COMMON = 1000
 #: Shares of a language that are ranked by themselves first.
@@ -48,45 +49,60 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 END = b"."
 _FOLD = bytes.maketrans((UPPER + ENDS).encode(), UPPER.lower().encode() + END * len(ENDS))
 
-Prefixes = dict[str, set[tuple[bytes, ...]]]
-
-
 def word_list(text: bytes) -> list[bytes]:
     """The words of all pieces, and END where a piece ends; no white space but spaces and tabs is left to split at."""
     return text.translate(_FOLD).replace(END, b" . ").split()
 
 
+class Bits:
+    """A bitmap of the hashes that occur at least `least` times, of rows (h, c)."""
+
+    def __init__(self, counts: DataFrame, least: int, most_bits: int = BITS):
+        often = counts.where(F.col("c") >= least)
+        self.size = min(most_bits, max(6, (8 * often.count()).bit_length()))
+        at = F.col("h").bitwiseAND((1 << self.size) - 1)
+        ones = often.select(F.shiftright(at, 6).alias("row"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+        got = ones.groupBy("row").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^BITS / 64 rows at most
+        rows = np.zeros(1 << (self.size - 6), np.int64)
+        rows[got.column("row").to_numpy()] = got.column("bits").to_numpy()
+        self.packed = zlib.compress(rows.tobytes())
+        self.rows: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if self.rows is None:
+            self.rows = np.frombuffer(zlib.decompress(self.packed), np.uint64)
+        at = h & np.uint64((1 << self.size) - 1)
+        return self.rows[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
 class Numbers(dict):
-    """Numbers of a language's words in a task, from 1 on. END is 0, and so are words that are rarer than any candidate's."""
+    """Numbers of a language's words in a task, from 1 on, with a hash of each. END is 0."""
 
-    def __init__(self, lang: str, bits: np.ndarray | None):
+    def __init__(self, lang: str):
         super().__init__({END: 0})
-        self.bits, self.start = bits, zlib.crc32(lang.encode() + b" ")
-        self.words = [b""]
+        self.seed = xxhash.xxh64_intdigest(lang.encode())
+        self.words, self.hashes = [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
-        at = zlib.crc32(word, self.start) & (len(self.bits) * 64 - 1) if self.bits is not None else 0
-        number = 0
-        if self.bits is None or self.bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
-            number = len(self.words)
-            self.words.append(word)
-        self[word] = number
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
         return number
 
     def strings(self, at: np.ndarray) -> pa.Array:
         return pa.array(self.words, pa.binary()).cast(pa.string()).take(pa.array(at))
 
-
-def frequent_bits(words: DataFrame, least: int, most_bits: int = BITS) -> bytes:
-    """A bitmap of the words that occur at least `least` times, made of rows of 64 bits; eight bits for each of them, up to a fixed size."""
-    often = words.where(F.col("c") >= least)
-    size = min(most_bits, max(6, (8 * often.count()).bit_length()))
-    at = F.crc32(F.concat_ws(" ", "lang", "words")).bitwiseAND((1 << size) - 1)
-    ones = often.select(F.shiftright(at, 6).alias("row"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
-    got = ones.groupBy("row").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^BITS / 64 rows at most
-    out = np.zeros(1 << (size - 6), np.int64)
-    out[got.column("row").to_numpy()] = got.column("bits").to_numpy()
-    return zlib.compress(out.tobytes())
+    def hash_of(self, columns: list[np.ndarray]) -> np.ndarray:
+        """64 bits for each row's words."""
+        h = np.zeros(len(columns[0]), np.uint64)
+        known = np.array(self.hashes, np.uint64)
+        for w in columns:
+            h = (h ^ known[w]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
 
 
 def windows(numbers: np.ndarray, size: int) -> list[np.ndarray]:
@@ -101,8 +117,10 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the first, count) of each distinct row of numbers, in order."""
     code = columns[0].astype(np.int64)
     base = max((int(w.max(initial=0)) for w in columns), default=0) + 1
-    for w in columns[1:]:
-        _, code = np.unique(code * base + w, return_inverse=True)  # codes are places at most, so that no key passes 63 bits
+    for k, w in enumerate(columns[1:], 2):
+        code = code * base + w
+        if k < len(columns):
+            code = np.unique(code, return_inverse=True)[1]  # codes are places at most, so that no key passes 63 bits
     _, at, count = np.unique(code, return_index=True, return_counts=True)
     return at, count
 
@@ -110,13 +128,12 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 Counted = Callable[[str, np.ndarray, Numbers], dict[str, pa.Array]]
 
 
-def _counted(docs: DataFrame, of: Counted, schema: str, bits: bytes | None = None) -> DataFrame:
+def _counted(docs: DataFrame, of: Counted, schema: str) -> DataFrame:
     """What `of` counts in the numbered words of a language, for some `HELD` words of a task at a time."""
     bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = None if bits is None else np.frombuffer(zlib.decompress(bits), np.uint64)
         known: dict[str, Numbers] = {}
         held: dict[str, list[np.ndarray]] = {}
 
@@ -133,7 +150,7 @@ def _counted(docs: DataFrame, of: Counted, schema: str, bits: bytes | None = Non
         for batch in slices(batches, 64):
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if lang not in known:
-                    known[lang] = Numbers(lang, often)
+                    known[lang] = Numbers(lang)
                 numbers = list(map(known[lang].__getitem__, word_list(text)))
                 held.setdefault(lang, []).append(np.array([*numbers, 0], np.int64))
             if sum(len(x) for parts in held.values() for x in parts) > HELD:
@@ -144,72 +161,69 @@ def _counted(docs: DataFrame, of: Counted, schema: str, bits: bytes | None = Non
     return texts.mapInArrow(run, schema)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, words, c) of single words."""
+def run_counts(docs: DataFrame, most: int) -> DataFrame:
+    """(lang, size, h, c) of all runs of fewer than `most` words, by their hashes alone."""
 
     def of(_: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
-        count = np.bincount(numbers, minlength=len(known.words))
-        at = np.flatnonzero(count[1:]) + 1
-        return {"words": known.strings(at), "c": pa.array(count[at])}
-
-    return _counted(docs, of, "lang string, words string, c long").groupBy("lang", "words").agg(F.sum("c").alias("c"))
-
-
-def _below(columns: list[np.ndarray], over: set[tuple[bytes, ...]], known: Numbers) -> np.ndarray:
-    """Which rows' words are one of these prefixes."""
-    size = len(next(iter(over), ()))
-    asked = [tuple(known.get(w, 0) for w in p) for p in over]
-    if not size or not (asked := [p for p in asked if all(p)]):
-        return np.zeros(len(columns[0]), bool)
-    code, base = columns[0], len(known.words)
-    wanted = np.array([p[0] for p in asked])
-    for k in range(1, size):
-        every = np.unique(np.concatenate((code * base + columns[k], wanted * base + [p[k] for p in asked])), return_inverse=True)[1]
-        code, wanted = every[: len(code)], every[len(code) :]
-    return np.isin(code, wanted)
-
+        size, h, c = [], [], []
+        for k in range(1, most):
+            columns = windows(numbers, k)
+            there = columns[-1] != 0
+            columns = [w[there] for w in columns]
+            at, count = distinct(columns)
+            size.append(np.full(len(at), k))
+            h.append(known.hash_of([w[at] for w in columns]).view(np.int64))
+            c.append(count)
+        return {"size": pa.array(np.concatenate(size)), "h": pa.array(np.concatenate(h)), "c": pa.array(np.concatenate(c))}
+
+    return _counted(docs, of, "lang string, size long, h long, c long").groupBy("lang", "size", "h").agg(F.sum("c").alias("c"))
+
+
+def frequent(numbers: np.ndarray, known: Numbers, size: int, levels: list[Bits]) -> list[np.ndarray]:
+    """Each place's next words up to `size`, 0 from where a run of them is too rare for `levels`, or a piece ends."""
+    columns = windows(numbers, size)
+    fine = []
+    for k, bits in enumerate(levels, 1):  # whether the k words from a place on may be frequent
+        run = columns[:k] if k <= size else windows(numbers, k)
+        fine.append((run[-1] != 0) & bits.has(known.hash_of(run)))
+    out = []
+    ok = np.ones(len(numbers), bool)
+    for k, w in enumerate(columns, 1):
+        if m := min(k, len(levels)):  # the last m words of the k
+            shift = k - m
+            ok = ok & np.append(fine[m - 1][shift:], np.zeros(min(shift, len(numbers)), bool))
+        out.append(np.where(ok, w, 0))
+    return out
 
-def _extended(docs: DataFrame, above: Prefixes, level: int, bits: bytes) -> DataFrame:
-    """(lang, words, c) of the prefixes of `level` words below those of `above`."""
 
-    def of(lang: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
-        columns = windows(numbers, level)
-        asked = (columns[-1] != 0) & _below(columns[:-1], above.get(lang, set()), known)
-        columns = [w[asked] for w in columns]
-        at, count = distinct(columns)
-        return {"words": pc.binary_join_element_wise(*(known.strings(w[at]) for w in columns), " "), "c": pa.array(count)}
-
-    return _counted(docs, of, "lang string, words string, c long", bits).groupBy("lang", "words").agg(F.sum("c").alias("c"))
-
-
-def prefixes(docs: DataFrame, words: DataFrame, most: int, budget: int, bits: bytes) -> list[Prefixes]:
-    """Of each level, the prefixes of each language that more than `budget` suffixes begin with."""
-    out: list[Prefixes] = []
-    for level in range(1, most):
-        counts = words if level == 1 else _extended(docs, out[-1], level, bits)
-        over: Prefixes = {}
-        for r in counts.where(F.col("c") > budget).select("lang", "words").collect():  # at most all words / budget
-            over.setdefault(r.lang, set()).add(tuple(r.words.encode().split(b" ")))
-        out.append(over)
-        if not over:
-            break
-    return out
+def partitioned(runs: DataFrame, most: int, least: int, budget: int) -> tuple[list[Bits], list[np.ndarray]]:
+    """For each level of prefixes, those that are frequent, and (by their hashes) those that more than `budget` suffixes begin with."""
+    levels: list[Bits] = []
+    full: list[np.ndarray] = []
+    for size in range(1, most):
+        counts = runs.where(F.col("size") == size)
+        over = counts.where(F.col("c") > budget).select("h").toArrow().column("h")  # at most all words / budget
+        full.append(np.unique(over.to_numpy().view(np.uint64)))
+        levels.append(Bits(counts, least))
+    return levels, full
 
 
-def _leaves(docs: DataFrame, most: int, over: list[Prefixes], bits: bytes) -> DataFrame:
+def _leaves(docs: DataFrame, most: int, levels: list[Bits], full: list[np.ndarray]) -> DataFrame:
     """(lang, leaf, depth, c): a leaf's `most` words, with empty ones beyond its end; the first `depth` are its prefix."""
 
     def of(lang: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
-        begins = numbers != 0
-        columns = [w[begins] for w in windows(numbers, most)]
+        columns = frequent(numbers, known, most, levels)
+        begins = columns[0] != 0
+        columns = [w[begins] for w in columns]
         at, count = distinct(columns)  # in the order of their words' numbers: rows that are alike lie together where they are packed
         columns = [w[at] for w in columns]
-        depth = np.ones(len(at), np.int64)
-        for k, level in enumerate(over, 1):
-            depth[_below(columns[:k], level.get(lang, set()), known)] = k + 1
+        depth, deeper = np.ones(len(at), np.int64), np.ones(len(at), bool)
+        for k, over in enumerate(full, 1):
+            deeper = deeper & (columns[k - 1] != 0) & np.isin(known.hash_of(columns[:k]), over)
+            depth[deeper] = k + 1
         return {"leaf": pc.binary_join_element_wise(*(known.strings(w) for w in columns), " "), "depth": pa.array(depth), "c": pa.array(count)}
 
-    return _counted(docs, of, "lang string, leaf string, depth long, c long", bits)
+    return _counted(docs, of, "lang string, leaf string, depth long, c long")
 
 
 class Subtrees:
@@ -245,10 +259,9 @@ class Subtrees:
             yield pa.RecordBatch.from_arrays([self.lang.take(at), pa.array(np.full(len(at), k + 1, np.int32)), phrase, total], names=["lang", "n_words", "phrase", "f"])
 
 
-def nodes(docs: DataFrame, words: DataFrame, most: int, least: int, budget: int) -> DataFrame:
+def nodes(docs: DataFrame, runs: DataFrame, most: int, least: int, budget: int) -> DataFrame:
     """(lang, n_words, phrase, f) of the nodes of all languages' trees that at least `least` suffixes begin with."""
-    bits = frequent_bits(words, least)
-    over = prefixes(docs, words, most, budget, bits)
+    levels, full = partitioned(runs, most, least, budget)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -267,7 +280,7 @@ def nodes(docs: DataFrame, words: DataFrame, most: int, least: int, budget: int)
         if rows:
             yield from Subtrees(pa.Table.from_batches(held), most).nodes(least)
 
-    leaves = _leaves(docs, most, over, bits)
+    leaves = _leaves(docs, most, levels, full)
     ordered = leaves.repartition("lang", F.expr("substring_index(leaf, ' ', int(depth))")).sortWithinPartitions("lang", "leaf")
     found = ordered.mapInArrow(build, "lang string, n_words int, phrase string, f long")
     return found.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
@@ -289,12 +302,13 @@ def _looked_up(rows: DataFrame, part: str, name: str, known: DataFrame, common:
 def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, inside: int = INSIDE, top: int = TOP, budget: int = BUDGET) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to `most` words."""
     spark = docs.sparkSession
-    words = cut(word_counts(docs), "words")
-    n = words.groupBy("lang").agg(F.sum("c").alias("n"))
-    total = words.agg(F.sum("c")).first()[0] or 0
+    runs = cut(run_counts(docs, most), "runs")
+    n = cut(runs.where("size = 1").groupBy("lang").agg(F.sum("c").alias("n")), "words")
+    total = n.agg(F.sum("n")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     budget = max(1, total // PREFIXES, min(budget, total // (2 * partitions)))
-    tree = cut(nodes(docs, words, most, least, budget), "nodes")
+    tree = cut(nodes(docs, runs, most, least, budget), "nodes")
+    release(runs)
 
     parts = tree.where(F.col("n_words") < most)
     common = parts.where(F.col("f") * COMMON >= total)

@@ -130,12 +130,18 @@ def test_phrases_of_few_words(spark, most, budget):
 
 def test_prefixes_are_extended_where_they_are_full(spark):
     frame = spark.createDataFrame([("en", "a b c. a b d. a e f. g h i")], "lang string, text string")
-    words = phrases.word_counts(frame)
-    bits = phrases.frequent_bits(words, 1)
-    assert phrases.prefixes(frame, words, 3, 1, bits) == [{"en": {(b"a",), (b"b",)}}, {"en": {(b"a", b"b")}}]
-    over = [{"en": {(b"a",)}}, {"en": {(b"a", b"b")}}]
-    got = {r.leaf: (r.depth, r.c) for r in phrases._leaves(frame, 3, over, bits).collect()}
-    assert got["a b c"] == (3, 1) and got["a e f"] == (2, 1) and got["g h i"] == (1, 1) and got["i  "] == (1, 1)
+    levels, full = phrases.partitioned(phrases.run_counts(frame, 3), 3, 1, 1)
+    assert [len(x) for x in full] == [2, 1]  # a and b; a b
+    got = {r.leaf: (r.depth, r.c) for r in phrases._leaves(frame, 3, levels, full).collect()}
+    assert got == {"a b c": (3, 1), "a b d": (3, 1), "a e f": (2, 1), "b c ": (2, 1), "b d ": (2, 1), "e f ": (1, 1), "g h i": (1, 1), "h i ": (1, 1), "c  ": (1, 1), "d  ": (1, 1), "f  ": (1, 1), "i  ": (1, 1)}
+
+
+def test_leaves_end_before_what_is_rare(spark):
+    """Of six words that are all frequent: a pair that is rare ends the leaves that hold it."""
+    frame = spark.createDataFrame([("en", "a b c. a b c. b c d. a d. d")], "lang string, text string")
+    levels, full = phrases.partitioned(phrases.run_counts(frame, 3), 3, 2, 100)
+    got = {r.leaf: r.c for r in phrases._leaves(frame, 3, levels, full).collect()}
+    assert got == {"a b c": 2, "b c ": 3, "c  ": 3, "a  ": 1, "d  ": 3}
 
 
 def test_phrases_of_hard_rows(spark):
