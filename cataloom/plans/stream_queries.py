@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import landing
 from ..sources.shared import scratch
 from ..streaming import events, rotation
 from .catalog_queries import query, table
@@ -42,3 +43,19 @@ def _(spark, sf):
     out, check = scratch(spark, "fetch-stream"), scratch(spark, "fetch-checks")
     _ran(events.write_batches(rotation.changes(raw.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("fetched_at")), "2 hours"), out, check, mode="update"))
     return rotation.fetched(spark, out).select("id", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+
+
+@query(
+    "landed_stream",
+    r"""SELECT page_id, title FROM (SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages)""",
+)
+def _(spark, sf):
+    """Pages landed in five batches, read as a stream of new ones, decoded and read for their titles."""
+    folder, out, check = (scratch(spark, x) for x in ("landed", "landed-out", "landed-checks"))
+    pages = table(spark, sf, "pages").select((F.col("page_id") % 5).alias("batch"), F.struct("page_id", F.concat_ws("#", "url", "page_id").alias("url"), F.lit("text/html; charset=utf-8").alias("content_type"), F.base64(F.encode("html", "utf-8")).alias("content")).alias("p"))
+    landing.land(pages.select("batch", F.to_json("p").alias("line")), folder)
+    _ran(events.write_batches(landing.stream(spark, folder), out, check))
+    got = spark.read.schema(landing.PAGES).parquet(out)
+    html = landing.page_text("content", "content_type")
+    title = F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return got.select(F.substring_index("url", "#", -1).cast("long").alias("page_id"), title.alias("title"))

@@ -32,21 +32,22 @@ def items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM).parquet(path)
 
 
+def text_of(raw: bytes | None, content_type: str | None = None) -> str | None:
+    """A page's text, by the charset that its header or its head names, else as UTF-8; bytes that don't fit become U+FFFD."""
+    if raw is None:
+        return None
+    found = re.search(r"charset=[\"']?([A-Za-z0-9_-]+)", content_type or "") or re.search(r"charset=[\"']?([A-Za-z0-9_-]+)", raw[:2048].decode("latin-1"))
+    name = found[1].lower() if found else "utf-8"
+    try:
+        return raw.decode("cp932" if name in ("shift_jis", "shift-jis", "sjis", "x-sjis") else name, "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
 @F.arrow_udf(StringType())
 def decoded(content: pa.Array) -> pa.Array:
     """Pages as text: the charset that their head names, else UTF-8; bytes that don't fit become U+FFFD."""
-    out = []
-    for raw in content.to_pylist():
-        if raw is None:
-            out.append(None)
-            continue
-        found = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", raw[:2048])
-        name = found[1].decode().lower() if found else "utf-8"
-        try:
-            out.append(raw.decode("cp932" if name in ("shift_jis", "shift-jis", "sjis", "x-sjis") else name, "replace"))
-        except LookupError:
-            out.append(raw.decode("utf-8", "replace"))
-    return pa.array(out, pa.string())
+    return pa.array([text_of(raw) for raw in content.to_pylist()], pa.string())
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -64,10 +65,10 @@ def extracted(pages_: DataFrame) -> DataFrame:
 
 
 def products(json_text: Column) -> Column:
-    """Products of a shop's JSON: array<struct<id, handle, title, price, published_at>>; null if broken."""
-    kind = "struct<products: array<struct<id: long, handle: string, title: string, published_at: string, variants: array<struct<price: string>>>>>"
+    """Products of a shop's JSON: array<struct<id, handle, title, price, published_at, image>>; null if broken."""
+    kind = "struct<products: array<struct<id: long, handle: string, title: string, published_at: string, variants: array<struct<price: string>>, images: array<struct<src: string>>>>>"
     rows = F.from_json(json_text, kind)["products"]
-    return F.transform(rows, lambda p: F.struct(p["id"].alias("id"), p["handle"].alias("handle"), p["title"].alias("title"), p["variants"][0]["price"].alias("price"), p["published_at"].alias("published_at")))
+    return F.transform(rows, lambda p: F.struct(p["id"].alias("id"), p["handle"].alias("handle"), p["title"].alias("title"), p["variants"][0]["price"].alias("price"), p["published_at"].alias("published_at"), p["images"][0]["src"].alias("image")))
 
 
 def linked_data(html: Column) -> Column:

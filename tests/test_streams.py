@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import datetime
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from cataloom.sources import landing
 from cataloom.streaming import events, rotation
 
 DAY0 = datetime.datetime(2024, 1, 1)
@@ -89,3 +92,39 @@ def test_windows_close_when_the_watermark_has_passed(spark, tmp_path):
     got = {(r.window.start.hour, r.event_type): (r.n, r.total) for r in spark.read.parquet(out).collect()}
     assert got == {(0, "a"): (3, 7.0), (1, "b"): (1, 1.0)}  # the event of 0:30 came after its window had closed
     assert spark.read.parquet(out).where(F.col("n") > 3).count() == 0
+
+
+def land_pages(folder, number, pages):
+    folder.mkdir(exist_ok=True)
+    rows = [{"url": u, "content_type": t, "content": c if c is None else base64.b64encode(c).decode()} for u, t, c in pages]
+    (folder / f"{number}.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+
+
+def test_landed_batches_are_read_once_and_only_new_ones(spark, tmp_path):
+    folder, out, check = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "check")
+
+    def go():
+        q = events.write_batches(landing.stream(spark, str(folder)), out, check)
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    sjis, shop = "text/html; charset=Shift_JIS", "https://www.shop.example/products.json?page=1"
+    products = {"products": [{"id": 1, "handle": "one", "title": "ガンダム プラモ", "published_at": "2026-08-01T10:00:00+09:00", "variants": [{"price": "1200.00"}], "images": [{"src": "https://i/1.png"}]}, {"id": 2, "handle": "", "title": "x"}]}
+    land_pages(folder, 3, [("https://a.example/x?utm_source=y", sjis, "日本".encode("cp932")), ("https://b.example/", None, '<meta charset="euc-jp">日本'.encode("euc_jp")), (None, None, None)])
+    (folder / "notes.txt").write_text("no batch")
+    go()
+    land_pages(folder, 12, [("https://m.a.example/x/", None, "新しい".encode()), ("https://b.example/bad", "text/html; charset=none", b"\xff ok"), (shop, "application/json", json.dumps(products).encode())])
+    products["products"][0]["variants"][0]["price"] = "980"
+    land_pages(folder, 20, [(shop, "application/json", json.dumps(products).encode())])
+    go()
+    go()
+    got = spark.read.schema(landing.PAGES).parquet(out)
+    texts = got.select("landing", "url", landing.page_text("content", "content_type").alias("t"))
+    rows = {(r.landing, r.url): r.t for r in texts.collect()}
+    assert len(rows) == 7 == got.count() and rows[3, "https://a.example/x?utm_source=y"] == "日本" and rows[3, "https://b.example/"].endswith("日本") and rows[3, None] is None
+    assert rows[12, "https://b.example/bad"] == "� ok"
+    newest = {r.page: r.t for r in landing.newest_pages(texts).collect()}
+    assert newest["a.example/x"] == "新しい" and len(newest) == 4
+    (item,) = landing.shop_items(F.col("t"), texts, F.lit("shop")).collect()
+    assert (item.source_id, item.price, item.url, item.image_url, item.genre) == ("one", "980円", "https://www.shop.example/products/one", "https://i/1.png", "プラモ")
+    assert item.event_date is None and item.store_listed_at is not None
