@@ -1,12 +1,13 @@
 """Phrases whose words occur together more often than apart, counted in suffix subtrees of a partition by prefixes.
 
 The suffixes of all pieces of text, cut to `most` words, make one tree for each language; a phrase's count is the total of
-the leaves below it. The tree is built in parts (the vertical partitioning of ERA, Mansour et al. 2011): words are counted
-and runs of them first, and each word is the prefix of a subtree; one with more suffixes than the memory budget is extended by
-its second word, and so on. Prefixes that occur fewer than `least` times have no subtree: leaves end before a word that is so rare, or a run of
-words. Each task counts equal leaves before they are sent. Leaves go by prefix to partitions and arrive in order; there prefixes are grouped, as many as
-fit the budget, and a group's subtrees are built, read from their leaves up, and dropped, whatever the other groups hold. A
-node above its prefixes is the sum of what their groups say of it.
+the leaves below it. The tree is built in parts (the vertical partitioning of ERA, Mansour et al. 2011). Words, and runs of
+them, are counted first; each word is the prefix of a subtree, and one with more suffixes than the memory budget is extended
+by its second word, and so on. Prefixes that occur fewer than `least` times have no subtree: leaves end before a word, or a
+run of words, that is so rare. Each task counts equal leaves before they are sent. Leaves go by prefix to partitions, where
+those of a prefix lie together and in order; prefixes are grouped, as many as fit the budget, and a group's subtrees are
+built, read from their leaves up, and dropped, whatever the other groups hold. A node above its prefixes, up to a language's
+root with all its words, is the sum of what their groups say of it.
 
 The budget grows only where the corpus has over `BUDGET` x `PREFIXES` words, so that no more than `PREFIXES` prefixes of a
 level are ever extended: that is what tasks get as a whole, with a bitmap of bounded size for each level's prefixes of `least` or
@@ -162,7 +163,7 @@ def _counted(docs: DataFrame, of: Counted, schema: str) -> DataFrame:
 
 
 def run_counts(docs: DataFrame, most: int) -> DataFrame:
-    """(lang, size, h, c) of all runs of fewer than `most` words, by their hashes alone."""
+    """(size, h, c) of all runs of fewer than `most` words of all languages, by their hashes alone."""
 
     def of(_: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
         size, h, c = [], [], []
@@ -176,7 +177,7 @@ def run_counts(docs: DataFrame, most: int) -> DataFrame:
             c.append(count)
         return {"size": pa.array(np.concatenate(size)), "h": pa.array(np.concatenate(h)), "c": pa.array(np.concatenate(c))}
 
-    return _counted(docs, of, "lang string, size long, h long, c long").groupBy("lang", "size", "h").agg(F.sum("c").alias("c"))
+    return _counted(docs, of, "lang string, size long, h long, c long").groupBy("size", "h").agg(F.sum("c").alias("c"))
 
 
 def frequent(numbers: np.ndarray, known: Numbers, size: int, levels: list[Bits]) -> list[np.ndarray]:
@@ -209,7 +210,10 @@ def partitioned(runs: DataFrame, most: int, least: int, budget: int) -> tuple[li
 
 
 def _leaves(docs: DataFrame, most: int, levels: list[Bits], full: list[np.ndarray]) -> DataFrame:
-    """(lang, leaf, depth, c): a leaf's `most` words, with empty ones beyond its end; the first `depth` are its prefix."""
+    """(lang, leaf, depth, c): a leaf's `most` words, with empty ones beyond its end; the first `depth` are its prefix.
+
+    Suffixes that begin with a rare word are a leaf without words, so that all of a language add up to its words.
+    """
 
     def of(lang: str, numbers: np.ndarray, known: Numbers) -> dict[str, pa.Array]:
         columns = frequent(numbers, known, most, levels)
@@ -221,6 +225,8 @@ def _leaves(docs: DataFrame, most: int, levels: list[Bits], full: list[np.ndarra
         for k, over in enumerate(full, 1):
             deeper = deeper & (columns[k - 1] != 0) & np.isin(known.hash_of(columns[:k]), over)
             depth[deeper] = k + 1
+        rare = int((numbers != 0).sum() - begins.sum())
+        columns, depth, count = [np.append(w, 0) for w in columns], np.append(depth, 1), np.append(count, rare)
         return {"leaf": pc.binary_join_element_wise(*(known.strings(w) for w in columns), " "), "depth": pa.array(depth), "c": pa.array(count)}
 
     return _counted(docs, of, "lang string, leaf string, depth long, c long")
@@ -236,6 +242,7 @@ class Subtrees:
         words = pc.list_flatten(pc.split_pattern(leaves.column("leaf").combine_chunks(), " "))
         self.words = [words.take(pa.array(np.arange(k, n * most, most))) for k in range(most)]
         changes = lambda x: np.append(True, pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False))
+        self.roots = leaves.group_by("lang").aggregate([("c", "sum")])
         begins = changes(self.lang)
         self.begins = []
         for w in self.words:
@@ -248,7 +255,9 @@ class Subtrees:
         return int(np.flatnonzero(begin)[-1])
 
     def nodes(self, least: int) -> Iterator[pa.RecordBatch]:
-        """Of each level, nodes whose leaves add up to at least `least`, and all that other groups have a part of."""
+        """Of each level, nodes whose leaves add up to at least `least`, and all that other groups have a part of; each language's root."""
+        for lang, total in zip(*(self.roots.column(x).to_pylist() for x in ("lang", "c_sum")), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([total])], names=["lang", "n_words", "phrase", "f"])
         for k, begins in enumerate(self.begins):
             at = np.flatnonzero(begins)
             total = np.add.reduceat(self.count, at)
@@ -260,7 +269,7 @@ class Subtrees:
 
 
 def nodes(docs: DataFrame, runs: DataFrame, most: int, least: int, budget: int) -> DataFrame:
-    """(lang, n_words, phrase, f) of the nodes of all languages' trees that at least `least` suffixes begin with."""
+    """(lang, n_words, phrase, f) of the nodes of all languages' trees that at least `least` suffixes begin with, and of the roots."""
     levels, full = partitioned(runs, most, least, budget)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +290,11 @@ def nodes(docs: DataFrame, runs: DataFrame, most: int, least: int, budget: int)
             yield from Subtrees(pa.Table.from_batches(held), most).nodes(least)
 
     leaves = _leaves(docs, most, levels, full)
-    ordered = leaves.repartition("lang", F.expr("substring_index(leaf, ' ', int(depth))")).sortWithinPartitions("lang", "leaf")
+    prefix = F.expr("substring_index(leaf, ' ', int(depth))")
+    # a number first: most places in the order are told by it, without looking at texts
+    ordered = leaves.repartition("lang", prefix).sortWithinPartitions(F.xxhash64("lang", prefix), "lang", "leaf")
     found = ordered.mapInArrow(build, "lang string, n_words int, phrase string, f long")
-    return found.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return found.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n_words") == 0))
 
 
 def _part(first: Column | int, size: Column | int) -> Column:
@@ -303,14 +314,14 @@ def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, inside:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to `most` words."""
     spark = docs.sparkSession
     runs = cut(run_counts(docs, most), "runs")
-    n = cut(runs.where("size = 1").groupBy("lang").agg(F.sum("c").alias("n")), "words")
-    total = n.agg(F.sum("n")).first()[0] or 0
+    total = runs.where("size = 1").agg(F.sum("c")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     budget = max(1, total // PREFIXES, min(budget, total // (2 * partitions)))
     tree = cut(nodes(docs, runs, most, least, budget), "nodes")
     release(runs)
 
-    parts = tree.where(F.col("n_words") < most)
+    n = tree.where("n_words = 0").select("lang", F.col("f").alias("n"))
+    parts = tree.where(F.col("n_words").between(1, most - 1))
     common = parts.where(F.col("f") * COMMON >= total)
     size = F.col("n_words")
     w = F.split("phrase", " ")

@@ -133,7 +133,7 @@ def test_prefixes_are_extended_where_they_are_full(spark):
     levels, full = phrases.partitioned(phrases.run_counts(frame, 3), 3, 1, 1)
     assert [len(x) for x in full] == [2, 1]  # a and b; a b
     got = {r.leaf: (r.depth, r.c) for r in phrases._leaves(frame, 3, levels, full).collect()}
-    assert got == {"a b c": (3, 1), "a b d": (3, 1), "a e f": (2, 1), "b c ": (2, 1), "b d ": (2, 1), "e f ": (1, 1), "g h i": (1, 1), "h i ": (1, 1), "c  ": (1, 1), "d  ": (1, 1), "f  ": (1, 1), "i  ": (1, 1)}
+    assert got == {"a b c": (3, 1), "a b d": (3, 1), "a e f": (2, 1), "b c ": (2, 1), "b d ": (2, 1), "e f ": (1, 1), "g h i": (1, 1), "h i ": (1, 1), "c  ": (1, 1), "d  ": (1, 1), "f  ": (1, 1), "i  ": (1, 1), "  ": (1, 0)}
 
 
 def test_leaves_end_before_what_is_rare(spark):
@@ -141,7 +141,7 @@ def test_leaves_end_before_what_is_rare(spark):
     frame = spark.createDataFrame([("en", "a b c. a b c. b c d. a d. d")], "lang string, text string")
     levels, full = phrases.partitioned(phrases.run_counts(frame, 3), 3, 2, 100)
     got = {r.leaf: r.c for r in phrases._leaves(frame, 3, levels, full).collect()}
-    assert got == {"a b c": 2, "b c ": 3, "c  ": 3, "a  ": 1, "d  ": 3}
+    assert got == {"a b c": 2, "b c ": 3, "c  ": 3, "a  ": 1, "d  ": 3, "  ": 0}
 
 
 def test_phrases_of_hard_rows(spark):
