@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clock, predicates, price, stores, text, urls
-from ..operators import analytics, attribution, findings, ingest
+from ..functions import clock, labels, predicates, price, stores, text, urls
+from ..operators import analytics, attribution, findings, ingest, search
 from ..schema import ITEM, conform
 from . import views
 from .catalog_queries import ITEMS, SHOWN, TODAY, items, query, table
@@ -632,3 +632,28 @@ def _(spark, sf):
     d = F.col("event_date")
     said = F.when(F.col("id") % 5 == 0, "1998/02/30").otherwise(F.concat(F.lit("掲載日 "), F.date_format(d, "yyyy/M/d")))
     return items(spark, sf).select("id", clock.is_recent(said, TODAY).alias("recent"))
+
+
+NEAREST = """CASE WHEN abs(date_diff('day', {d}, {t})) <= abs(date_diff('day', {d} - INTERVAL 1 YEAR, {t})) AND abs(date_diff('day', {d}, {t})) <= abs(date_diff('day', {d} + INTERVAL 1 YEAR, {t})) THEN {d}
+  WHEN abs(date_diff('day', {d} - INTERVAL 1 YEAR, {t})) <= abs(date_diff('day', {d} + INTERVAL 1 YEAR, {t})) THEN {d} - INTERVAL 1 YEAR ELSE {d} + INTERVAL 1 YEAR END"""
+
+
+@query("displayed_days", f"{ITEMS} SELECT id, event_date AS long, CAST(CASE WHEN year(event_date) = 1998 THEN {NEAREST.format(d='event_date', t=DAY)} ELSE event_date END AS DATE) AS short FROM items WHERE event_date IS NOT NULL")
+def _(spark, sf):
+    """Labels of days as they are shown, read back: those with a year are the day itself, others the nearest to today."""
+    d = F.col("event_date")
+    back = lambda label: labels.displayed_day(label, TODAY)
+    return items(spark, sf).where(d.isNotNull()).select("id", back(clock.format_long(d)).alias("long"), back(clock.format_short_en(d, TODAY)).alias("short"))
+
+
+@query(
+    "search_hits",
+    """WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) AS word FROM part UNION SELECT DISTINCT substr(p_name, 2, 3) FROM part UNION SELECT DISTINCT lower(substr(p_brand, 6)) FROM part)
+  SELECT word, count(*) AS n FROM w JOIN (SELECT lower(p_name || ' ' || p_brand) AS title FROM part) ON contains(title, word) GROUP BY word""",
+)
+def _(spark, sf):
+    """Words found in titles by an index of their runs of characters, each word by its rarest run."""
+    p = table(spark, sf, "part")
+    words = p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).union(p.select(F.substring("p_name", 2, 3))).union(p.select(F.lower(F.substr("p_brand", F.lit(6))))).distinct()
+    postings = search.index(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title")))
+    return search.found(search.forms(words, ()).withColumnRenamed("word", "key"), postings).groupBy(F.col("key").alias("word")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clock, predicates, stores
+from ..functions import names, clock, predicates, stores
 from ..operators import resolve as r
 
 def by_day(items: DataFrame) -> DataFrame:
@@ -132,3 +132,25 @@ def related(items: DataFrame, franchises: DataFrame, id_: int, limit: int = 8) -
     near = x.join(words, F.contains(F.col("title"), F.col("word")), "left_semi").withColumn("tier", F.lit(0))
     fill = x.join(own.select("genre"), "genre", "left_semi").join(near.select("id"), "id", "left_anti").withColumn("tier", F.lit(1))
     return near.unionByName(fill, allowMissingColumns=True).orderBy("tier", F.col("event_date").asc_nulls_last(), F.col("id").desc()).limit(limit)
+
+
+CARDS = "トレカ"
+
+
+def card_games(items: DataFrame, today: str, raw: bool = True) -> DataFrame:
+    """Upcoming card products, after the resolution (or as they are), with the games each belongs to."""
+    x = filtered(items, today, genre=CARDS)
+    x = x if raw else r.resolve(x, today)
+    return x.withColumn("games", names.card_games(F.col("source"), F.col("sub_genre"), F.col("title")))
+
+
+def card_game_counts(items: DataFrame, today: str, raw: bool = False) -> DataFrame:
+    """(label, n) of the card games with upcoming rows, in the order of display; a row counts for each of its games."""
+    n = card_games(items, today, raw).select(F.explode("games").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    place = F.array_position(F.array(*[F.lit(label) for label, *_ in names.CARD_GAMES]), F.col("label"))
+    return n.orderBy(place).select("label", "n")
+
+
+def card_game_page(items: DataFrame, today: str, label: str, raw: bool = False) -> DataFrame:
+    """One game's upcoming rows, the soonest first; none for an unknown label."""
+    return card_games(items, today, raw).where(F.array_contains("games", label)).drop("games").orderBy(F.col("event_date").asc_nulls_last(), F.col("id").desc())

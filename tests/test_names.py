@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cataloom.functions import names, text
 from cataloom.operators import matching
+from cataloom.plans import views
+from cataloom.schema import ITEM, conform
 
 
 def ask(spark, column, rows, schema="t string"):
@@ -145,3 +147,22 @@ def test_forms_are_those_of_the_native_rules(spark):
     rows = ask(spark, F.struct(names.title_facts(F.col("t")).alias("f"), text.title_form(F.col("t")).alias("form"), text.model_codes(F.col("t")).alias("codes")), titles)
     assert [(r.f.form, r.f.codes) for r in rows] == [(r.form, r.codes) for r in rows]
     assert all(re.fullmatch(r"\S*", r.f.rest) for r in rows)
+
+
+def test_pages_of_card_games(spark):
+    """Counts in the order of display, rows that belong to two games, and what isn't upcoming or of another scope."""
+    rows = [
+        (1, "a", "MTG 新弾", "2026-09-01", None, None),
+        (2, "a", "ポケカ 新弾", None, None, None),
+        (3, "a", "ポケカ と デジモン", "2026-08-20", None, None),
+        (4, "a", "ポケカ 旧弾", "2026-08-01", None, None),
+        (5, "a", "ポケカ abroad", "2026-09-01", "en", None),
+        (6, "pokemoncard", "スリーブ", "2026-08-16", "jp", "x"),
+        (7, "a", "なにか", "2026-09-01", None, None),
+    ]
+    frame = spark.createDataFrame(rows, "id long, source string, title string, event_date string, scope string, sub_genre string").withColumn("genre", F.lit(views.CARDS)).withColumn("event_date", F.to_date("event_date"))
+    x = conform(frame, ITEM)
+    assert [tuple(r) for r in views.card_game_counts(x, "2026-08-16", raw=True).collect()] == [("ポケカ", 3), ("MTG", 1), ("デジモンカード", 1)]
+    assert [r.id for r in views.card_game_page(x, "2026-08-16", "ポケカ", raw=True).collect()] == [6, 3, 2]
+    assert [r.id for r in views.card_game_page(x, "2026-08-16", "ポケカ").collect()] == [6, 3, 2]
+    assert views.card_game_page(x, "2026-08-16", "none", raw=True).count() == 0
