@@ -10,7 +10,8 @@ Pieces of more than `LONG` bytes (runs of letters without a space) would move lo
 row with links to its neighbours instead of a moved tail, in linear memory.
 
 A worker remembers at most `REMEMBERED` pieces, then starts afresh; results don't depend on it. Nulls are empty texts: no
-ids. Special tokens in a text are ordinary text. Lone surrogates can't occur in UTF-8.
+ids. Special tokens in a text are ordinary text. Lone surrogates can't occur in UTF-8. Rows of equal id, or of equal text,
+each give a row; empty tables give empty ones; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ still fails is a row with `error` set and no payload; the others of the range ar
 
 Stores are reached through pyarrow's file systems, by the URI of the directory, from executors and driver alike.
 
-Nulls: a null id stays null, a null text is empty. Equal rows are members of their own. Empty tables make no archive.
+Nulls: a null id stays null, a null text is empty. Equal rows are members of their own, so that ties can't matter. Empty
+tables make no archive. Very long texts are one member each, read whole. Columns other than doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
