@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, labels, predicates, price, stores, text, urls
-from ..operators import analytics, attribution, findings, ingest, search
+from ..operators import analytics, attribution, findings, ingest, places, search
 from ..schema import ITEM, conform
 from . import views
 from .catalog_queries import ITEMS, SHOWN, TODAY, items, query, table
@@ -657,3 +657,15 @@ def _(spark, sf):
     words = p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).union(p.select(F.substring("p_name", 2, 3))).union(p.select(F.lower(F.substr("p_brand", F.lit(6))))).distinct()
     postings = search.index(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title")))
     return search.found(search.forms(words, ()).withColumnRenamed("word", "key"), postings).groupBy(F.col("key").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "page_domains",
+    """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages), t AS (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)[.]', '') AS key FROM h),
+  j AS (SELECT page_id, key FROM h JOIN t ON host = key OR ends_with(host, '.' || key)) SELECT page_id, arg_max(key, length(key)) AS domain FROM j GROUP BY page_id""",
+)
+def _(spark, sf):
+    """The most exact of the table's own domains that a page's host is under."""
+    h = table(spark, sf, "pages").select(F.col("page_id").alias("id"), urls.host(F.col("url")).alias("host"))
+    domains = h.select(F.regexp_replace("host", r"^(www|m|blog)\.", "").alias("key")).distinct().withColumn("value", F.col("key"))
+    return places.by_host(h, domains).select(F.col("id").alias("page_id"), F.col("key").alias("domain"))
