@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import PRIZE, STORE
-from .clock import day
+from .clock import _bound, day
 
 DEADLINE, OPENING = "締切", "開始"
 SUMMARY_PREFIX = "受付中ストア："
@@ -29,13 +29,13 @@ def parse_stores(json: Column) -> Column:
             F.when(s["at"].rlike(r"^\d{4}-\d{2}-\d{2}$"), s["at"]).alias("at"), F.when(s["kind"].isin(DEADLINE, OPENING), s["kind"]).alias("kind"),
         ),
     )
-    return F.when(F.size(made) > 0, made)
+    return _bound(made, lambda x: F.when(F.size(x) > 0, x))
 
 
 def parse_prizes(json: Column) -> Column:
     rows = F.from_json(F.nullif(json, F.lit("")), f"array<{PRIZE.simpleString()}>", {"mode": "PERMISSIVE"})
     named = F.filter(rows, lambda p: F.coalesce(F.length(F.trim(p["name"])) > 0, F.lit(False)) & p["label"].isNotNull())
-    return F.when(F.size(named) > 0, named)
+    return _bound(named, lambda x: F.when(F.size(x) > 0, x))
 
 
 def store_days(stores: Column) -> Column:
@@ -104,16 +104,21 @@ def preferred_url(stores: Column) -> Column:
 
 
 def merge_prizes(old: Column, new: Column) -> Column:
-    """New prizes, with the resale facts of old ones of the same label where they have none. Arrays of one item's prizes."""
+    """New prizes, with the resale facts of old ones of the same label where they have none. Arrays of one item's prizes.
+
+    Old ones are bound: they may be parsed from a text, which would else be done again for each prize and fact.
+    """
     facts = ("resalePrice", "resaleText", "resaleUrl", "resaleSource")
 
-    def carried(p: Column) -> Column:
-        was = F.filter(old, lambda o: o["label"] == p["label"])
-        first = F.when(F.size(was) > 0, was[0])
+    def carried(p: Column, first: Column) -> Column:
         take = p["resalePrice"].isNull()
         return F.struct(*[(F.when(take, first[n]).otherwise(p[n]) if n in facts else p[n]).alias(n) for n in PRIZE.names])
 
-    return F.when(old.isNull(), new).otherwise(F.transform(new, carried))
+    def merged(was: Column) -> Column:
+        same = lambda p: F.get(F.filter(was, lambda o: o["label"] == p["label"]), F.lit(0))
+        return F.when(was.isNull(), new).otherwise(F.transform(new, lambda p: _bound(same(p), lambda first: carried(p, first))))
+
+    return _bound(old, merged)
 
 
 #: What a line-up of prizes begins with, what stands between prizes, and labels of those that collectors pay for (fixed values).

@@ -178,8 +178,8 @@ def _(spark, sf):
     n = F.col("p_size").cast("string")
     old = stores.parse_prizes(F.concat(F.lit('[{"label":"A","name":"x","resalePrice":'), n, F.lit('},{"label":"B","name":"y","resalePrice":9}]')))
     new = stores.parse_prizes(F.concat(F.lit('[{"label":"A","name":"x"},{"label":"B","name":"y","resalePrice":5},{"label":"C","name":"'), F.when(F.col("p_size") % 2 == 0, "z").otherwise(" "), F.lit('"}]')))
-    m = stores.merge_prizes(old, new)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), m[0]["resalePrice"].alias("a"), m[1]["resalePrice"].alias("b"), (F.size(m) == 3).alias("named"))
+    x = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), stores.merge_prizes(old, new).alias("m"))
+    return x.select("id", F.col("m")[0]["resalePrice"].alias("a"), F.col("m")[1]["resalePrice"].alias("b"), (F.size("m") == 3).alias("named"))
 
 
 @query("store_addresses", "SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'https://shop.example/1' WHEN 1 THEN 'https://forms.gle/a' ELSE 'https://x.com/s' END AS url, CASE p_size % 3 WHEN 0 THEN 'S（抽選・2口）、T、U 他1店' ELSE 'S（抽選・2口）、T' END AS summary FROM part")
