@@ -9,12 +9,14 @@ from .common import cut, release
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """Large stars: each node's larger neighbours are tied to its smallest; then small stars: its smaller ones and itself."""
+    """No side is broadcast: it would pass whole through the driver, and a table's bytes on disk say little of its rows.
+
+    Large stars: each node's larger neighbours are tied to its smallest; then small stars: its smaller ones and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    small = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -11,6 +11,8 @@ Equal fingerprints are one entry. A posting of more than `most` entries is dealt
 its entries may differ in: at most 3 nibbles differ, so the same blocks lose no link, and the new postings fix 48 of 64
 bits, so that none ever has more than 65,536 entries. A posting gives a spanning forest of its links, never all pairs.
 
+Joins are sorted ones: whatever grows with the documents is shuffled, and never broadcast through the driver.
+
 Nulls: a null text has no words, fingerprint zero. Rows of equal ids are rows of their own; a component's id is its
 smallest doc_id, nulls aside. Equal texts tie and are one group, whatever their order. Empty tables give empty results. Extra
 columns are ignored.
@@ -122,7 +124,7 @@ def postings(fps: DataFrame, most: int = MOST) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(_masks(8))])
     first = fps.select("fp", F.inline(entries))
     sizes = first.groupBy("block", "key").agg(F.count("*").alias("g")).where("g > 1")
-    first = first.join(sizes, ["block", "key"])
+    first = first.join(sizes.hint("merge"), ["block", "key"])
     return first.select("block", "key", "fp", F.explode(F.when(F.col("g") <= most, F.array(F.lit(0).cast("long"))).otherwise(_subs())).alias("sub"))
 
 
@@ -178,18 +180,18 @@ def _components(fps: DataFrame, max_bits: int, most: int) -> DataFrame:
     """(fp, root) of the distinct fingerprints of `fps`: root is the component's smallest fingerprint."""
     first = fps.select("fp").distinct()
     roots = components(links(first, max_bits, most))
-    return first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return first.join(roots.hint("merge"), first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def groups(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     fps = cut(fingerprints(docs, size), "simhash")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = cut(_components(fps, max_bits, most).join(first, "fp"), "simhash-roots")
+    roots = cut(_components(fps, max_bits, most).join(first.hint("merge"), "fp"), "simhash-roots")
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = cut(roots.join(least, "root").select("fp", "component_id"), "simhash-components")
+    ids = cut(roots.join(least.hint("merge"), "root").select("fp", "component_id"), "simhash-components")
     release(roots)
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:
@@ -199,14 +201,14 @@ def representatives(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, mo
     """
     rows = docs.withColumn("rid", row_id("doc_id", "text"))
     fps = cut(fingerprints(rows, size, "rid", "binary"), "simhash")
-    ids = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id")).join(fps.dropDuplicates(["rid"]), "rid")
+    ids = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id")).join(fps.dropDuplicates(["rid"]).hint("merge"), "rid")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = cut(ids.groupBy("fp").agg(F.min(order).alias("first")), "simhash-first")
     roots = cut(_components(fps, max_bits, most), "simhash-roots")
-    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = first.join(roots.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = cut(kept.select(F.col("first.rid").alias("rid")), "simhash-kept")
     release(fps, first, roots)
-    return rows.join(kept, "rid").dropDuplicates(["rid"]).drop("rid")
+    return rows.join(kept.hint("merge"), "rid").dropDuplicates(["rid"]).drop("rid")
 
 
 def hex_of(fp: Column) -> Column:
