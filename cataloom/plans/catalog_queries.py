@@ -659,8 +659,8 @@ def _(spark, sf):
     brand = F.replace("p_brand", F.lit("#"), F.lit(""))
     c = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("k"))
     catalog = matching.titled(c, F.col("k"), F.concat_ws(" ", "p_name", brand))
-    asked = matching.titled(p, F.col("p_partkey"), F.concat_ws(" ", "p_type", "p_name", brand))
-    return matching.best_matches(asked, catalog, threshold=0.4).withColumn("score", F.round("score", 9))
+    asked = F.concat_ws(" ", "p_type", "p_name", brand)
+    return matching.best_of_rows(p, F.col("p_partkey"), asked, catalog, threshold=0.4).withColumn("score", F.round("score", 9))
 
 
 @query(
