@@ -655,8 +655,8 @@ def _(spark, sf):
     """Words found in titles by an index of their runs of characters, each word by its rarest run."""
     p = table(spark, sf, "part")
     words = p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).union(p.select(F.substring("p_name", 2, 3))).union(p.select(F.lower(F.substr("p_brand", F.lit(6))))).distinct()
-    postings = search.index(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title")))
-    return search.found(search.forms(words, ()).withColumnRenamed("word", "key"), postings).groupBy(F.col("key").alias("word")).agg(F.count("*").alias("n"))
+    index = search.index(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title")))
+    return search.found(search.forms(words, ()).withColumnRenamed("word", "key"), index).groupBy(F.col("key").alias("word")).agg(F.count("*").alias("n"))
 
 
 @query(
