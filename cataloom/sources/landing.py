@@ -1,8 +1,9 @@
 """Landed batches of pages as a streaming source: a file for each batch, its number the offset, read by tasks in bounded Arrow batches.
 
-A crawl lands `<number>.jsonl` in a folder that driver and executors share, a page on each line: url, content_type, and the
-bytes as they came, in base64. A stream reads each batch once: offsets are numbers, a batch's file never changes, and one
-that a stop cut short is read again from its start. Files that aren't named by a number are none of the source's. A line
+A crawl lands `<number>.jsonl` in a folder that driver and executors share, a file or a folder of files, a page on each line: url,
+content_type, and the bytes as they came, in base64. A stream reads each batch once: offsets are numbers, a batch never changes,
+and one that a stop cut short is read again from its start. A task reads a range of a file of at most RANGE_BYTES, and the rest
+of the line that it ends in. Files that aren't named by a number are none of the source's. A line
 without an address or without content is a page that has none; broken lines fail the task, as landed files are our own.
 """
 
@@ -27,6 +28,8 @@ PAGES = "landing long, url string, content_type string, content binary"
 _PAGES = pa.schema([("landing", pa.int64()), ("url", pa.string()), ("content_type", pa.string()), ("content", pa.binary())])
 SUFFIX = ".jsonl"
 BATCH_BYTES = 4 << 20
+#: A task's share of a landed file.
+RANGE_BYTES = 64 << 20
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -34,8 +37,10 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Batch(InputPartition):
-    def __init__(self, path: str, number: int):
-        self.path, self.number = path, number
+    """Lines of a file that begin at `start` or later, and before `end`."""
+
+    def __init__(self, path: str, number: int, start: int, end: int):
+        self.path, self.number, self.start, self.end = path, number, start, end
 
 
 class _Reader(DataSourceStreamReader):
@@ -44,9 +49,18 @@ class _Reader(DataSourceStreamReader):
 
     def _numbers(self) -> list[int]:
         files, folder = _opened(self.folder)
-        names = (f.base_name for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.is_file)
+        names = (f.base_name for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
         return sorted(int(n.removesuffix(SUFFIX)) for n in names if n.endswith(SUFFIX) and n.removesuffix(SUFFIX).isdigit())
 
+    def _ranges(self, number: int) -> Iterator[Batch]:
+        uri = f"{self.folder.rstrip('/')}/{number}{SUFFIX}"
+        files, path = _opened(uri)
+        found = files.get_file_info(path)
+        inside = [found] if found.is_file else [f for f in files.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name[0] not in "._"]
+        for f in sorted(inside, key=lambda f: f.base_name):
+            for start in range(0, f.size, RANGE_BYTES):
+                yield Batch(uri if found.is_file else f"{uri}/{f.base_name}", number, start, min(start + RANGE_BYTES, f.size))
+
     def initialOffset(self) -> dict:  # noqa: N802
         return {"batch": -1}
 
@@ -54,7 +68,7 @@ class _Reader(DataSourceStreamReader):
         return {"batch": max(self._numbers(), default=-1)}
 
     def partitions(self, start: dict, end: dict) -> list[Batch]:
-        return [Batch(f"{self.folder.rstrip('/')}/{n}{SUFFIX}", n) for n in self._numbers() if start["batch"] < n <= end["batch"]]
+        return [b for n in self._numbers() if start["batch"] < n <= end["batch"] for b in self._ranges(n)]
 
     def commit(self, end: dict) -> None:
         """Batches stay where they landed."""
@@ -63,12 +77,20 @@ class _Reader(DataSourceStreamReader):
         files, path = _opened(partition.path)
         rows: list[tuple] = []
         held = 0
-        with files.open_input_stream(path) as lines:
+        # a line that begins before the range is another task's: from the last byte before it, all to the first line end is left out
+        at = max(partition.start - 1, 0)
+        skip = partition.start > 0
+        with files.open_input_file(path) as lines:
+            lines.seek(at)
             rest = b""
-            while True:
+            while at < partition.end:
                 chunk = lines.read(1 << 20)
                 *whole, rest = (rest + chunk).split(b"\n") if chunk else (*((rest,) if rest else ()), b"")
                 for line in whole:
+                    begins, at = at, at + len(line) + 1
+                    if skip or begins >= partition.end:
+                        skip = False
+                        continue
                     if line.strip():
                         page = json.loads(line)
                         content = base64.b64decode(page["content"]) if page.get("content") is not None else None
@@ -98,17 +120,21 @@ class LandedPages(DataSource):
 
 
 def land(lines: DataFrame, folder: str) -> None:
-    """Writes batches of lines (batch, line) as `<number>.jsonl`: tasks write a batch's lines to one text file, which is then named."""
-    spark = lines.sparkSession
-    numbers = [r.batch for r in lines.select("batch").distinct().orderBy("batch").collect()]  # a batch is a crawl: there are few
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for n in numbers:
-        part = f"{folder.rstrip('/')}/_landing-{n}"
-        lines.where(F.col("batch") == n).select("line").coalesce(1).write.mode("overwrite").text(part)
-        files = hadoop.Path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        (written,) = [f.getPath() for f in files.globStatus(hadoop.Path(f"{part}/part-*"))]
-        files.rename(written, hadoop.Path(f"{folder.rstrip('/')}/{n}{SUFFIX}"))
-        files.delete(hadoop.Path(part), True)
+    """Writes batches of lines (batch, line) as `<number>.jsonl`: each task writes its lines of every batch, and a batch's folder is then named.
+
+    All batches are written in one pass. A batch is there as a whole, with its name; one that is landed again takes its place.
+    """
+    spark, folder = lines.sparkSession, folder.rstrip("/")
+    part = f"{folder}/_landing"
+    lines.where("batch is not null").write.mode("overwrite").partitionBy("batch").text(part)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for written in files.globStatus(path(f"{part}/batch=*")):  # a batch is a crawl: there are few
+        named = path(f"{folder}/{written.getPath().getName().removeprefix('batch=')}{SUFFIX}")
+        files.delete(named, True)
+        if not files.rename(written.getPath(), named):
+            raise OSError(f"{named} could not be named")
+    files.delete(path(part), True)
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
