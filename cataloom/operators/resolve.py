@@ -6,8 +6,11 @@ group is gathered. `pos` is a row's place in the order of input and decides what
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import clock, predicates, stores, text, urls
 from ..functions.price import parse_yen
@@ -123,22 +126,56 @@ def across_sources(items: DataFrame, key: Column, least: int = 6) -> DataFrame:
     return collapse(items, F.when(F.length(key) >= least, key), best_first(), sources=2)
 
 
-def contained_names(items: DataFrame, key: Column) -> DataFrame:
+#: A name is looked up by the least hash of the first WINDOW runs of RUN characters, a shorter one by its first HEAD characters.
+RUN, WINDOW, HEAD = 16, 16, 4
+LONG = RUN + WINDOW - 1
+
+
+def _least(name: str) -> list[str]:
+    """The least hash of each WINDOW runs of RUN characters that follow one another, each once: a name that is in another has its own there."""
+    codes = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(codes) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return [f"{x:016x}" for x in np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)).tolist()]
+
+
+@F.arrow_udf(StringType())
+def _own_anchor(names: pa.Array) -> pa.Array:
+    return pa.array([_least(x[:LONG])[0] if len(x) >= LONG else x[:HEAD] for x in names.to_pylist()], pa.string())
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _anchors_inside(names: pa.Array, short: pa.Array) -> pa.Array:
+    """Anchors of all names that a name may contain; those of names under LONG characters where there are such."""
+    pieces = lambda x: {x[i : i + n] for n in range(1, HEAD + 1) for i in range(len(x) - n + 1)}
+    return pa.array([[*(_least(x) if len(x) >= LONG else ()), *(pieces(x) if s else ())] for x, s in zip(names.to_pylist(), short.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+
+def contained_names(items: DataFrame, key: Column, names: DataFrame | None = None) -> DataFrame:
     """Within a source, page, stores and day the name that another of at least 8 characters contains goes into the longest such.
 
-    Only rows with a page: a group is one page's rows of one day. A name is contained only where its first characters are,
-    so the longer ones' pieces of up to `head` characters meet the shorter ones' beginnings; no group is compared as a whole.
+    Only rows with a page: a group is one page's rows of one day. A name is contained only where its anchor is, so the longer
+    ones' anchors meet the shorter ones' own; no group is compared as a whole. Groups of a single name are left out first,
+    and no name is repeated for each of its anchors. `names`: (id, name), where `key` only tells names apart.
     """
-    head = 4
     group = F.struct("source", "url", "stores", "event_date")
     x = items.where(blank(F.col("url")).isNotNull()).select("id", group.alias("g"), key.alias("name")).where(F.length("name") > 0)
-    place = F.sequence(F.lit(1), F.length("name"))
-    pieces = F.array_distinct(F.flatten(F.transform(place, lambda i: F.transform(F.sequence(F.lit(1), F.lit(head)), lambda n: F.substring("name", i, n)))))
-    a = x.where(F.length("name") >= 8).select("*", F.explode(pieces).alias("piece")).alias("a")
-    b = x.withColumn("piece", F.substring("name", 1, head)).alias("b")
-    inside = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.piece") == F.col("b.piece"))).where((F.col("a.name") != F.col("b.name")) & F.contains("a.name", "b.name"))
-    longest = inside.groupBy(F.col("b.id").alias("id")).agg(F.min(F.struct(-F.length("a.name"), F.col("a.id"))).alias("o"))
-    return fold(items, longest.select("id", F.col("o")["id"].alias("into")))
+    several = x.groupBy("g").agg(F.min("id").alias("group"), F.min("name").alias("n1"), F.max("name").alias("n2")).where("n1 <> n2").select("g", "group")
+    x = x.join(several, "g").select("id", "group", "name")
+    x = cut((x if names is None else x.drop("name").join(names.hint("merge"), "id")).withColumn("size", F.length("name")), "contained-names")
+    short = x.groupBy("group").agg((F.min("size") < LONG).alias("short"))
+    a = x.where(F.col("size") >= 8).join(short, "group").select("group", F.col("id").alias("a"), F.col("size").alias("as"), F.explode(_anchors_inside("name", "short")).alias("anchor"))
+    b = x.select("group", F.col("id").alias("b"), F.col("size").alias("bs"), _own_anchor("name").alias("anchor"))
+    met = a.join(b, ["group", "anchor"]).where(F.col("as") > F.col("bs")).select("a", "b", "as").distinct()
+    named = lambda one: x.select(F.col("id").alias(one), F.col("name").alias(f"{one}n"))
+    inside = met.join(named("a").hint("merge"), "a").join(named("b").hint("merge"), "b").where(F.contains("an", "bn"))
+    longest = inside.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(-F.col("as"), F.col("a").alias("id"))).alias("o"))
+    out = fold(items, longest.select("id", F.col("o")["id"].alias("into")))
+    release(x)
+    return out
 
 
 def already_listed(items: DataFrame, weaker: str, stronger: str) -> DataFrame:
@@ -150,9 +187,9 @@ def already_listed(items: DataFrame, weaker: str, stronger: str) -> DataFrame:
     return items.join(gone, "id", "left_anti")
 
 
-def sale_units(items: DataFrame) -> DataFrame:
-    """Boxes and cartons of one product: if all units differ, the plain row stays, else a dated one."""
-    unit, base = text.sale_unit(F.col("title")), text.unit_base(F.col("title"))
+def sale_units(items: DataFrame, unit: Column | None = None, base: Column | None = None) -> DataFrame:
+    """Boxes and cartons of one product: if all units differ, the plain row stays, else a dated one. Unit and base are the title's."""
+    unit, base = text.sale_unit(F.col("title")) if unit is None else unit, text.unit_base(F.col("title")) if base is None else base
     x = items.select("id", "source", "worth", "event_date", unit.alias("unit"), F.when(F.length(base) >= 8, F.struct("source", base.alias("base"))).alias("b"), F.coalesce(F.col("event_date").cast("string"), F.col("event_date_text")).alias("d")).where("b is not null")
     days = x.groupBy("b").agg(F.min("d").alias("d1"), F.max("d").alias("d2"))
     x = x.join(days, "b").withColumn("many", F.coalesce(F.col("d1") != F.col("d2"), F.lit(False))).where(~F.col("many") | F.col("d").isNotNull())
@@ -169,16 +206,29 @@ def same_name_with_stores(items: DataFrame, key: Column, today: str) -> DataFram
     return collapse(items, k, [near, -F.col("worth")])
 
 
+def brief(text_: Column) -> Column:
+    """A text to tell apart from others, and to ask for a length of up to 64 characters: longer ones are their hash."""
+    return F.when(F.length(text_) > 64, F.sha2(text_, 256)).otherwise(text_)
+
+
 def resolve(items: DataFrame, today: str, weaker: str = "snkrdunk", stronger: str = "nike_snkrs") -> DataFrame:
-    """All steps, in their order; `items` has the columns of schema.ITEM. Names are keyed once, for all steps."""
-    x = cut(with_order(live_deadlines(items, today)).withColumn("name_key", text.compare_key(text.clean_title(F.col("title")))), "resolve-keyed")
-    key, source = F.col("name_key"), F.col("source")
+    """All steps, in their order; `items` has the columns of schema.ITEM. Names are keyed once, for all steps.
+
+    Titles may be long: steps carry what tells them apart, and those that are left are joined to their titles at the end.
+    """
+    keyed = with_order(live_deadlines(items, today)).withColumn("name_key", text.compare_key(text.clean_title(F.col("title"))))
+    keyed = cut(keyed.withColumn("_row", F.monotonically_increasing_id()), "resolve-keyed")
+    key, source, title = F.col("name_key"), F.col("source"), F.col("title")
+    letters = F.when(F.length(key) >= 10, text.anagram_key(key))
+    said = {"title": title, "name_key": key, "_letters": letters, "_unit": text.sale_unit(title), "_base": text.unit_base(title)}
+    x = cut(keyed.withColumns({c: brief(t) for c, t in said.items()}), "resolve-brief")
     x = same_product_page(identical_titles(x))
     x = across_sources(x, key)
-    x = across_sources(x, F.when(F.length(key) >= 10, text.anagram_key(key)), 10)
+    x = across_sources(x, F.col("_letters"), 10)
     x = collapse(x, F.when(F.length(key) >= 8, F.struct("source", key.alias("name"), "event_date")), best_first())
-    x = already_listed(contained_names(x, key), weaker, stronger)
-    x = same_name_with_stores(sale_units(x), key, today)
+    x = already_listed(contained_names(x, key, keyed.select("id", F.col("name_key").alias("name"))), weaker, stronger)
+    x = same_name_with_stores(sale_units(x, F.col("_unit"), F.col("_base")), key, today)
     planned = clock.planned_date(F.col("event_date_text"))
     x = x.where(~clock.is_stale_plan(F.col("event_date"), F.col("event_date_text"), today) & ~predicates.is_mirror_without_day(source, F.col("event_date"), planned))
-    return x.drop("pos", "worth", "name_key")
+    titles = keyed.select("_row", "title")
+    return x.drop("title").join(titles.hint("merge"), "_row").select(*items.columns)
