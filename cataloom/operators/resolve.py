@@ -6,11 +6,14 @@ group is gathered. `pos` is a row's place in the order of input and decides what
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import clock, predicates, stores, text, urls
 from ..functions.price import parse_yen
@@ -126,53 +129,143 @@ def across_sources(items: DataFrame, key: Column, least: int = 6) -> DataFrame:
     return collapse(items, F.when(F.length(key) >= least, key), best_first(), sources=2)
 
 
-#: A name is looked up by the least hash of the first WINDOW runs of RUN characters, a shorter one by its first HEAD characters.
-RUN, WINDOW, HEAD = 16, 16, 4
-LONG = RUN + WINDOW - 1
-
-
-def _least(name: str) -> list[str]:
-    """The least hash of each WINDOW runs of RUN characters that follow one another, each once: a name that is in another has its own there."""
-    codes = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(codes) - RUN + 1, np.uint64)
-    for k in range(RUN):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return [f"{x:016x}" for x in np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)).tolist()]
-
-
-@F.arrow_udf(StringType())
-def _own_anchor(names: pa.Array) -> pa.Array:
-    return pa.array([_least(x[:LONG])[0] if len(x) >= LONG else x[:HEAD] for x in names.to_pylist()], pa.string())
-
-
-@F.arrow_udf(ArrayType(StringType()))
-def _anchors_inside(names: pa.Array, short: pa.Array) -> pa.Array:
-    """Anchors of all names that a name may contain; those of names under LONG characters where there are such."""
-    pieces = lambda x: {x[i : i + n] for n in range(1, HEAD + 1) for i in range(len(x) - n + 1)}
-    return pa.array([[*(_least(x) if len(x) >= LONG else ()), *(pieces(x) if s else ())] for x, s in zip(names.to_pylist(), short.to_pylist(), strict=True)], pa.list_(pa.string()))
+#: The columns of a page's rows of one day, within a source and with equal stores.
+PAGE = ("source", "url", "stores", "event_date")
+#: Names of up to HEAD characters are told apart as they stand, longer ones by their SHA-256 (as in `brief`).
+HEAD = 64
+#: A page of more bytes, or rows, is dealt over several tasks, SHARES at most: all of them get the page's short records.
+PAGE_BYTES, PAGE_ROWS, SHARES = 64 << 20, 20_000, 64
+#: Hashes are sums of characters times powers of an odd number, modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of BASE, and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 14), x, np.uint64)])) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _powers
+
+
+def sums(name: str) -> np.ndarray:
+    """At i the sum over the first i characters: a run's hash is the difference at its ends times the inverse power of its start."""
+    codes = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers(len(codes))[0][: len(codes)], dtype=np.uint64)])
+
+
+@F.arrow_udf(StructType([StructField("head", LongType()), StructField("whole", LongType())]))
+def _marks(names: pa.Array) -> pa.Array:
+    """Of names longer than HEAD, the hashes of the first HEAD characters and of all."""
+    out = []
+    for x in names.to_pylist():
+        at = sums(x) if x is not None and len(x) > HEAD else None
+        out.append(None if at is None else dict(zip(("head", "whole"), at[[HEAD, -1]].view(np.int64).tolist(), strict=True)))
+    return pa.array(out, pa.struct([("head", pa.int64()), ("whole", pa.int64())]))
+
+
+class _Page:
+    """One page's names that are looked for, until a name is found that contains them: names come longest first."""
+
+    def __init__(self) -> None:
+        self.sizes: dict[int, int] = {}
+        self.short: dict[str, list[int]] = {}
+        self.long: dict[int, dict[int, dict[int, list[tuple[str, int]]]]] = {}
+        self.table: np.ndarray | None = None
+
+    def add(self, id_: int, size: int, name: str, head: int | None, whole: int | None) -> None:
+        self.sizes[id_] = size
+        if size <= HEAD:
+            self.short.setdefault(name, []).append(id_)
+        else:
+            self.long.setdefault(head, {}).setdefault(size, {}).setdefault(whole, []).append((name, id_))
+
+    def inside(self, name: str) -> Iterator[int]:
+        """Ids of names that this one contains, each once and no longer looked for."""
+        names, size = self.short, len(name)
+        lengths = {len(x) for x in names}
+        # each name in turn, or all pieces of their lengths, whichever is less to do
+        if len(names) * (300 + size) <= 300 * size * len(lengths):
+            hits = [x for x in names if len(x) < size and x in name]
+        else:
+            hits = [x for n in lengths if n < size for x in {name[i : i + n] for i in range(size - n + 1)} if x in names]
+        for x in hits:
+            yield from names.pop(x)
+        if self.long and size > HEAD:
+            yield from self._long_inside(name, size)
+
+    def _long_inside(self, name: str, size: int) -> Iterator[int]:
+        if self.table is None:  # which 16-bit values the hashes of beginnings have
+            self.table = np.zeros(1 << 16, bool)
+            self.table[self._slots(np.array(list(self.long), np.int64).view(np.uint64))] = True
+        at, back = sums(name), powers(size)[1]
+        run = lambda start, n: (at[start + n] - at[start]) * back[start]
+        heads = (at[HEAD:] - at[:-HEAD]) * back[: size - HEAD + 1]
+        places = np.flatnonzero(self.table[self._slots(heads)])
+        found = heads[places].view(np.int64)
+        order = np.argsort(found, kind="stable")
+        places, found = places[order], found[order]
+        values, first = np.unique(found, return_index=True)
+        for head, starts in zip(values.tolist(), np.split(places, first[1:]), strict=True):
+            for n, known in list(self.long.get(head, {}).items()):
+                starts_n = starts[starts + n <= size] if n < size else starts[:0]
+                wholes = run(starts_n, n).view(np.int64)
+                for whole in set(wholes.tolist()) & known.keys():
+                    texts = {hashlib.sha256(name[p : p + n].encode("utf-8", "surrogatepass")).hexdigest() for p in starts_n[wholes == whole][:1].tolist()}
+                    hit = [id_ for sha, id_ in known[whole] if sha in texts]
+                    known[whole] = [(sha, id_) for sha, id_ in known[whole] if sha not in texts]
+                    if not known[whole]:
+                        del known[whole]
+                    yield from hit
+                if not known:
+                    del self.long[head][n]
+            if head in self.long and not self.long[head]:
+                del self.long[head]
+
+    @staticmethod
+    def _slots(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
+
+
+def _into_longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages whose records come first (kind 0), then the names, longest first: which name each goes into."""
+    at, page = None, _Page()
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            out: list[tuple[int, int, int]] = []
+            for r in batch.slice(low, 512).to_pylist():
+                if at != (r["page"], r["share"]):
+                    at, page = (r["page"], r["share"]), _Page()
+                if r["kind"] == 0:
+                    page.add(r["id"], r["size"], r["name"], r["head"], r["whole"])
+                elif page.sizes.get(r["id"]) == r["size"]:  # else a row that is no longer there
+                    out += [(id_, r["id"], r["size"]) for id_ in page.inside(r["name"])]
+            ids, into, sizes = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, into, sizes)], ["id", "into", "size"])
 
 
 def contained_names(items: DataFrame, key: Column, names: DataFrame | None = None) -> DataFrame:
     """Within a source, page, stores and day the name that another of at least 8 characters contains goes into the longest such.
 
-    Only rows with a page: a group is one page's rows of one day. A name is contained only where its anchor is, so the longer
-    ones' anchors meet the shorter ones' own; no group is compared as a whole. Groups of a single name are left out first,
-    and no name is repeated for each of its anchors. `names`: (id, name), where `key` only tells names apart.
+    Only rows with a page: a group is one page's rows of one day. Names are dealt out once, by page, and none is repeated or
+    written for its pieces: short records of all rows (`brief` names and hashes) come first, and are looked up in one name
+    after another. `names`: (id, name), and PAGE if it has that at hand, where `key` only tells names apart.
     """
-    group = F.struct("source", "url", "stores", "event_date")
-    x = items.where(blank(F.col("url")).isNotNull()).select("id", group.alias("g"), key.alias("name")).where(F.length("name") > 0)
-    several = x.groupBy("g").agg(F.min("id").alias("group"), F.min("name").alias("n1"), F.max("name").alias("n2")).where("n1 <> n2").select("g", "group")
-    x = x.join(several, "g").select("id", "group", "name")
-    x = cut((x if names is None else x.drop("name").join(names.hint("merge"), "id")).withColumn("size", F.length("name")), "contained-names")
-    short = x.groupBy("group").agg((F.min("size") < LONG).alias("short"))
-    a = x.where(F.col("size") >= 8).join(short, "group").select("group", F.col("id").alias("a"), F.col("size").alias("as"), F.explode(_anchors_inside("name", "short")).alias("anchor"))
-    b = x.select("group", F.col("id").alias("b"), F.col("size").alias("bs"), _own_anchor("name").alias("anchor"))
-    met = a.join(b, ["group", "anchor"]).where(F.col("as") > F.col("bs")).select("a", "b", "as").distinct()
-    named = lambda one: x.select(F.col("id").alias(one), F.col("name").alias(f"{one}n"))
-    inside = met.join(named("a").hint("merge"), "a").join(named("b").hint("merge"), "b").where(F.contains("an", "bn"))
-    longest = inside.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(-F.col("as"), F.col("a").alias("id"))).alias("o"))
+    paged = lambda x: x.where(blank(F.col("url")).isNotNull()).withColumn("page", brief(F.to_json(F.struct(*PAGE))))
+    names = items.select("id", *PAGE, key.alias("name")) if names is None else names
+    if not set(PAGE) <= set(names.columns):
+        names = names.join(items.select("id", *PAGE), "id")
+    names = paged(names).select("page", "id", F.length("name").alias("size"), "name").where("size > 0")
+    marks = names.select("id", "size", brief(F.col("name")).alias("name"), _marks("name").alias("m")).select("id", "size", "name", "m.*")
+    x = cut(paged(items).select("id", "page").join(marks, "id"), "contained-marks")
+    shares = F.least(F.lit(SHARES), F.greatest(F.ceil(F.sum("size") / PAGE_BYTES), F.ceil(F.count("*") / PAGE_ROWS)))
+    pages = x.groupBy("page").agg(F.min("size").alias("least"), F.max("size").alias("most"), shares.cast("int").alias("shares")).where("least < most and most >= 8").select("page", "shares")
+    records = x.join(pages, "page").select("page", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "id", "size", "name", "head", "whole")
+    large = F.broadcast(pages.where("shares > 1"))  # few: a page in PAGE_BYTES or PAGE_ROWS of the input at most
+    share = F.coalesce(F.pmod(F.hash("id"), F.col("shares")), F.lit(0))
+    whole = names.where("size >= 8").join(large, "page", "left").select("page", share.alias("share"), F.lit(1).alias("kind"), "id", "size", "name", *[F.lit(None).cast("bigint").alias(c) for c in ("head", "whole")])
+    met = records.unionByName(whole).repartition("page", "share").sortWithinPartitions("page", "share", "kind", F.desc("size"), "id")
+    found = met.mapInArrow(_into_longest, "id long, into long, size long")
+    longest = found.groupBy("id").agg(F.min(F.struct(-F.col("size"), F.col("into").alias("id"))).alias("o"))
     out = fold(items, longest.select("id", F.col("o")["id"].alias("into")))
     release(x)
     return out
@@ -216,17 +309,19 @@ def resolve(items: DataFrame, today: str, weaker: str = "snkrdunk", stronger: st
 
     Titles may be long: steps carry what tells them apart, and those that are left are joined to their titles at the end.
     """
-    keyed = with_order(live_deadlines(items, today)).withColumn("name_key", text.compare_key(text.clean_title(F.col("title"))))
-    keyed = cut(keyed.withColumn("_row", F.monotonically_increasing_id()), "resolve-keyed")
-    key, source, title = F.col("name_key"), F.col("source"), F.col("title")
-    letters = F.when(F.length(key) >= 10, text.anagram_key(key))
-    said = {"title": title, "name_key": key, "_letters": letters, "_unit": text.sale_unit(title), "_base": text.unit_base(title)}
-    x = cut(keyed.withColumns({c: brief(t) for c, t in said.items()}), "resolve-brief")
+    keyed = cut(with_order(live_deadlines(items, today)).withColumn("_row", F.monotonically_increasing_id()), "resolve-keyed")
+    key, source, title, name = F.col("name_key"), F.col("source"), F.col("title"), F.col("name")
+    letters = F.when(F.length(name) >= 10, text.anagram_key(name))
+    said = {"title": title, "name_key": name, "_letters": letters, "_unit": text.sale_unit(title), "_base": text.unit_base(title)}
+    named = keyed.withColumn("name", text.name_key(title))
+    named = cut(named.withColumns({c: brief(t) for c, t in said.items()}), "contained-names")
+    x = cut(named.drop("name"), "resolve-brief")
     x = same_product_page(identical_titles(x))
     x = across_sources(x, key)
     x = across_sources(x, F.col("_letters"), 10)
     x = collapse(x, F.when(F.length(key) >= 8, F.struct("source", key.alias("name"), "event_date")), best_first())
-    x = already_listed(contained_names(x, key, keyed.select("id", F.col("name_key").alias("name"))), weaker, stronger)
+    x = already_listed(contained_names(x, key, named.select("id", *PAGE, "name")), weaker, stronger)
+    release(named)
     x = same_name_with_stores(sale_units(x, F.col("_unit"), F.col("_base")), key, today)
     planned = clock.planned_date(F.col("event_date_text"))
     x = x.where(~clock.is_stale_plan(F.col("event_date"), F.col("event_date_text"), today) & ~predicates.is_mirror_without_day(source, F.col("event_date"), planned))

@@ -122,3 +122,24 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
     fps = spark.range(3000).select(F.xxhash64("id").alias("fp"))
     assert "Broadcast" not in simhash.postings(fps)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_names_are_not_dealt_out(spark, monkeypatch):
+    """Looking for names inside long ones deals out each name once, and no row for each of its pieces."""
+    rng = random.Random(7)
+    rows = [(k, "s", f"https://s.example/{k % 4}", "".join(rng.choices("abcdefgh", k=4000))) for k in range(40)]
+    rows += [(100 + k, *row[1:3], row[3][900 : 900 + n]) for k, (row, n) in enumerate(zip(rows[:8], (3, 30, 64, 65, 500, 3000, 3999, 4), strict=False))]
+    x = resolve.with_order(conform(spark.createDataFrame(rows, "id long, source string, url string, title string"), ITEM))
+    plans = []
+    monkeypatch.setattr(resolve, "cut", lambda df, name: (plans.append((name, plan(df))), shared.cut(df, name))[1])
+    left = {r.id for r in resolve.contained_names(x, F.col("title")).collect()}
+    assert left == {k for k, _, u, t in rows if not any(v == u and t != o and t in o for _, _, v, o in rows)} and len(left) < len(rows)
+    # of all names, one after another; the only rows that are multiplied are the short records of large pages
+    into = next(p for name, p in plans if name == "fold-into")
+    assert into.count("Generate") == 1 and "Generate explode(sequence(0" in into
+
+
+def test_repeated_and_nested_names_go_into_the_longest(spark):
+    rows = [(n, "s", "https://s.example/x", "ab" * n) for n in (1, 3, 4, 40, 50, 600)] + [(7, "s", "https://s.example/x", "ba" * 45), (8, "s", "https://s.example/x", "ab" * 45 + "c")]
+    x = resolve.with_order(conform(spark.createDataFrame(rows, "id long, source string, url string, title string"), ITEM))
+    assert {r.id for r in resolve.contained_names(x, F.col("title")).collect()} == {600, 8}
