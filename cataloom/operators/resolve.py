@@ -6,8 +6,9 @@ group is gathered. `pos` is a row's place in the order of input and decides what
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,14 @@ def collapse(items: DataFrame, key: Column, order: list[Column], sources: int =
     return fold(items, targets(items, key, order, sources))
 
 
+def then(items: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Steps one after another that each end in a fold; the table that a step has read is deleted."""
+    for step in steps:
+        before, items = items, step(items)
+        release(before)
+    return items
+
+
 def best_first() -> list[Column]:
     return [-F.col("worth")]
 
@@ -113,16 +122,14 @@ def identical_titles(items: DataFrame) -> DataFrame:
     firsts = x.select(mark.alias("k"), rank.alias("rank"), "pos", "id").groupBy("k").agg(F.min(F.struct("rank", "pos", "id")).alias("first"))
     pairs = x.select("id", mark.alias("k"), rank.alias("rank")).join(firsts, "k")
     goes = ((F.col("first.rank") == 0) & (F.col("rank") > 0)) | ((F.col("first.rank") == 1) & (F.col("rank") == 2))
-    return fold(x, pairs.where(goes).select("id", F.col("first.id").alias("into")))
+    return then(x, lambda x: fold(x, pairs.where(goes).select("id", F.col("first.id").alias("into"))))
 
 
 def same_product_page(items: DataFrame) -> DataFrame:
     """Rows of several sources that point to one product page on one day. A row's two addresses count one after the other."""
-    for column in ("url", "official_url"):
-        page = urls.product_key(F.col(column))
-        key = F.when(F.col("event_date").isNotNull() & page.isNotNull(), F.struct(page.alias("page"), "event_date"))
-        items = collapse(items, key, best_first(), sources=2)
-    return items
+    page = lambda column: urls.product_key(F.col(column))
+    key = lambda p: F.when(F.col("event_date").isNotNull() & p.isNotNull(), F.struct(p.alias("page"), "event_date"))
+    return then(collapse(items, key(page("url")), best_first(), sources=2), lambda x: collapse(x, key(page("official_url")), best_first(), sources=2))
 
 
 def across_sources(items: DataFrame, key: Column, least: int = 6) -> DataFrame:
@@ -210,7 +217,7 @@ class _Page:
                 starts_n = starts[starts + n <= size] if n < size else starts[:0]
                 wholes = run(starts_n, n).view(np.int64)
                 for whole in set(wholes.tolist()) & known.keys():
-                    texts = {hashlib.sha256(name[p : p + n].encode("utf-8", "surrogatepass")).hexdigest() for p in starts_n[wholes == whole][:1].tolist()}
+                    texts = {base64.b64encode(hashlib.sha256(name[p : p + n].encode("utf-8", "surrogatepass")).digest()).decode() for p in starts_n[wholes == whole][:1].tolist()}
                     hit = [id_ for sha, id_ in known[whole] if sha in texts]
                     known[whole] = [(sha, id_) for sha, id_ in known[whole] if sha not in texts]
                     if not known[whole]:
@@ -300,8 +307,8 @@ def same_name_with_stores(items: DataFrame, key: Column, today: str) -> DataFram
 
 
 def brief(text_: Column) -> Column:
-    """A text to tell apart from others, and to ask for a length of up to 64 characters: longer ones are their hash."""
-    return F.when(F.length(text_) > 64, F.sha2(text_, 256)).otherwise(text_)
+    """A text to tell apart from others, and to ask for a length of up to HEAD characters, or 44: longer ones are their hash."""
+    return F.when(F.length(text_) > HEAD, F.base64(F.unhex(F.sha2(text_, 256)))).otherwise(text_)
 
 
 def resolve(items: DataFrame, today: str, weaker: str = "snkrdunk", stronger: str = "nike_snkrs") -> DataFrame:
@@ -316,14 +323,19 @@ def resolve(items: DataFrame, today: str, weaker: str = "snkrdunk", stronger: st
     named = keyed.withColumn("name", text.name_key(title))
     named = cut(named.withColumns({c: brief(t) for c, t in said.items()}), "contained-names")
     x = cut(named.drop("name"), "resolve-brief")
-    x = same_product_page(identical_titles(x))
-    x = across_sources(x, key)
-    x = across_sources(x, F.col("_letters"), 10)
-    x = collapse(x, F.when(F.length(key) >= 8, F.struct("source", key.alias("name"), "event_date")), best_first())
-    x = already_listed(contained_names(x, key, named.select("id", *PAGE, "name")), weaker, stronger)
+    x = then(
+        x,
+        identical_titles,
+        lambda x: same_product_page(x.drop("title")),
+        lambda x: across_sources(x, key),
+        lambda x: across_sources(x, F.col("_letters"), 10),
+        lambda x: collapse(x.drop("_letters"), F.when(F.length(key) >= 8, F.struct("source", key.alias("name"), "event_date")), best_first()),
+        lambda x: contained_names(x, key, named.select("id", *PAGE, "name")),
+        lambda x: sale_units(already_listed(x, weaker, stronger), F.col("_unit"), F.col("_base")),
+        lambda x: same_name_with_stores(x.drop("_unit", "_base"), key, today),
+    )
     release(named)
-    x = same_name_with_stores(sale_units(x, F.col("_unit"), F.col("_base")), key, today)
     planned = clock.planned_date(F.col("event_date_text"))
     x = x.where(~clock.is_stale_plan(F.col("event_date"), F.col("event_date_text"), today) & ~predicates.is_mirror_without_day(source, F.col("event_date"), planned))
     titles = keyed.select("_row", "title")
-    return x.drop("title").join(titles.hint("merge"), "_row").select(*items.columns)
+    return x.join(titles.hint("merge"), "_row").select(*items.columns)
